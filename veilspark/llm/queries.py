@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import language_id, quality_mil
+from veilspark.llm import language_id, pii_spans, quality_mil
 from veilspark.llm.util import table
 
 
@@ -14,13 +14,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans.op4(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op8_language_id)}
+    return {f.__name__: f for f in (op2_quality, op4_pii, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pii": pii_spans.ORACLE_SQL}
