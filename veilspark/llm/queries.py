@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import language_id, pii_spans, quality_mil
+from veilspark.llm import language_id, line_templates, pii_spans, quality_mil
 from veilspark.llm.util import table
 
 
@@ -18,13 +18,17 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.op5(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_pii, op8_language_id)}
+    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii_spans.ORACLE_SQL}
+    return {"op4_pii": pii_spans.ORACLE_SQL, "op5_lines": line_templates.ORACLE_SQL}
