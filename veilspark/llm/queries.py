@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import language_id, line_templates, pii_spans, quality_mil
+from veilspark.llm import language_id, line_templates, pii_spans, quality_mil, warc
 from veilspark.llm.util import table
 
 
@@ -26,9 +26,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op9(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op8_language_id)}
+    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op8_language_id, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii_spans.ORACLE_SQL, "op5_lines": line_templates.ORACLE_SQL}
+    return {"op4_pii": pii_spans.ORACLE_SQL, "op5_lines": line_templates.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
