@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import language_id, line_templates, pii_spans, quality_mil, warc
+from veilspark.llm import cube_mixing, language_id, line_templates, pii_spans, quality_mil, warc
 from veilspark.llm.util import table
 
 
@@ -22,6 +22,10 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mixing.op6(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op8_language_id, op9_warc)}
+    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op6_mixing, op8_language_id, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
