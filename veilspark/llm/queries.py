@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import cube_mixing, language_id, line_templates, pii_spans, quality_mil, warc
+from veilspark.llm import cube_mixing, language_id, line_templates, pii_spans, quality_mil, quality_rules, warc
 from veilspark.llm.util import table
 
 
@@ -34,8 +34,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op9(table(spark, sf_dir, "pages"))
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op6_mixing, op8_language_id, op9_warc)}
+    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op6_mixing, op8_language_id, op9_warc, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,9 +8,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,33 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _store(uri: str) -> tuple[object | None, str]:
+    """(filesystem or None for plain files, path)."""
+    if uri.startswith("file:") or ":/" not in uri:
+        return None, unquote(urlparse(uri).path) if uri.startswith("file:") else uri
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def open_uri(uri: str, mode: str):
+    """A file of the shared folder, on driver or executor."""
+    store, path = _store(uri)
+    if store is None:
+        if mode == "wb":
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+        return open(path, mode)
+    return store.open_output_stream(path) if mode == "wb" else store.open_input_file(path)
+
+
+def rename_uri(a: str, b: str) -> None:
+    store, source = _store(a)
+    if store is None:
+        os.replace(source, _store(b)[1])
+    else:
+        store.move(source, _store(b)[1])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches handed to Python workers by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -20,16 +20,14 @@ read back as null, never the target of a revisit unless no other row has the pay
 from __future__ import annotations
 
 import hashlib
-import os
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import materialize, new_path, small_batches
+from veilspark.llm.util import materialize, new_path, open_uri, rename_uri, small_batches
 
 MIN_REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
@@ -39,32 +37,6 @@ DATE = "2024-01-01T00:00:00Z"  # fixed: reruns give the same bytes
 FIELDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
-def _store(uri: str) -> tuple[object | None, str]:
-    """(filesystem or None for plain files, path)."""
-    if uri.startswith("file:") or ":/" not in uri:
-        return None, unquote(urlparse(uri).path) if uri.startswith("file:") else uri
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def _open(uri: str, mode: str):
-    store, path = _store(uri)
-    if store is None:
-        if mode == "wb":
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-        return open(path, mode)
-    return store.open_output_stream(path) if mode == "wb" else store.open_input_file(path)
-
-
-def _rename(a: str, b: str) -> None:
-    store, source = _store(a)
-    if store is None:
-        os.replace(source, _store(b)[1])
-    else:
-        store.move(source, _store(b)[1])
-
-
 def encode(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
     """One gzip member. A revisit has no payload, but keeps the digest and length of the full one."""
     revisit = refers_to is not None
@@ -98,11 +70,11 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    out = _open(name + ".open", "wb")
+                    out = open_uri(name + ".open", "wb")
                 size += out.write(encode(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["refers_to"]))
         if out is not None:
             out.close()
-            _rename(name + ".open", name + ".warc.gz")
+            rename_uri(name + ".open", name + ".warc.gz")
             yield pa.RecordBatch.from_pydict({"path": [name + ".warc.gz"], "size": [size]})
 
     return pages.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "path string, size long")
@@ -176,7 +148,7 @@ def parse(record: bytes) -> dict:
 
 def read_range(uri: str, start: int, end: int, size: int) -> Iterator[dict]:
     """All records whose member starts in [start, end)."""
-    with _open(uri, "rb") as file:
+    with open_uri(uri, "rb") as file:
         window, at = _Window(file, start, size), start
         while at < end:
             window.fill(at, READ)
