@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import cube_mixing, language_id, line_templates, pii_spans, quality_mil, quality_rules, warc
+from veilspark.llm import cube_mixing, decontamination, language_id, line_templates, pii_spans, quality_mil, quality_rules, warc
 from veilspark.llm.util import table
 
 
@@ -14,6 +14,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.op4(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_pii, op5_lines, op6_mixing, op8_language_id, op9_warc, op10_rules)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_pii, op5_lines, op6_mixing, op8_language_id, op9_warc, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
