@@ -73,6 +73,12 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     low = ascii_lower(buf)
+    # capital Latin letters with accents are C3 80 to C3 9E but for the multiplication sign
+    accented = np.zeros(n, bool)
+    accented[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    low[accented] += 32
+    capital = _UPPER[buf]
+    capital[:-1] |= accented[1:]
     inside = _WORDCHAR[buf]
     digit = _DIGIT[buf]
     glue = np.zeros(n, bool)
@@ -96,8 +102,9 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         before = np.where(blank, before - 1, before)
     opens = (before < off[row]) | _STOP[buf[np.maximum(before, 0)]]
     # in writing that is all capitals, or mostly, capitals do not make names
-    second_upper = (e - s > 1) & _UPPER[buf[np.minimum(s + 1, n - 1)]]
-    name = _UPPER[buf[s]] & ~opens & ~second_upper
+    behind = s + 1 + (buf[s] >= 0xC0)
+    second_upper = (behind < e) & capital[np.minimum(behind, n - 1)]
+    name = capital[s] & ~opens & ~second_upper
     after_number = np.zeros(len(s), bool)
     after_number[1:] = number[:-1] & (row[1:] == row[:-1])
     unit = after_number & _is_in(exact, _UNIT_HASHES)
