@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import cube_mixing, decontamination, language_id, line_templates, pii_spans, quality_mil, quality_rules, warc
+from veilspark.llm import cube_mixing, decontamination, jaccard_join, language_id, line_templates, pii_spans, quality_mil, quality_rules, warc
 from veilspark.llm.util import table
 
 
@@ -30,6 +30,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mixing.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op7(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op8(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_pii, op5_lines, op6_mixing, op8_language_id, op9_warc, op10_rules)}
+    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_pii, op5_lines, op6_mixing, op7_jaccard, op8_language_id, op9_warc, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
