@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import cube_mixing, decontamination, jaccard_join, language_id, line_templates, pii_spans, quality_mil, quality_rules, warc
+from veilspark.llm import cube_mixing, decontamination, jaccard_join, language_id, line_templates, pii_spans, quality_mil, quality_rules, suffix_dedup, warc
 from veilspark.llm.util import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontaminate, op4_pii, op5_lines, op6_mixing, op7_jaccard, op8_language_id, op9_warc, op10_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_decontaminate, op4_pii, op5_lines, op6_mixing, op7_jaccard, op8_language_id, op9_warc, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
