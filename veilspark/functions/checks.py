@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
+from veilspark.functions.spans import let
 
 
 def compact(value: Column, dropped: str = r"[\s.-]") -> Column:
@@ -29,13 +30,14 @@ def iban_length(code: Column) -> Column:
 
 def iban(code: Column) -> Column:
     """ISO 13616: moved to the front, letters as two digits, remainder 1 modulo 97."""
-    moved = F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4))
+    def remainder(moved: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            c = F.ascii(F.substring(moved, i, F.lit(1)))
+            return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
 
-    def step(acc: Column, i: Column) -> Column:
-        c = F.ascii(F.substring(moved, i, F.lit(1)))
-        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
+        return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(moved)), F.lit(0), step) == 1
+    return let(F.concat(F.substring(code, F.lit(5), F.length(code)), F.substring(code, 1, 4)), remainder) == 1
 
 
 def vat(digits: Column) -> Column:
@@ -90,9 +92,9 @@ def protocol(value: Column) -> Column:
 
 def organization(value: Column) -> Column:
     """A legal form anywhere, a business keyword in front, or a university or department; a bare keyword is none."""
-    plain = F.lower(F.regexp_replace(F.trim(value), r"(?U)\s+", " "))
     academic = value.rlike(fixed.ACADEMIC.replace(r"(?U)\b", r"(?U)^", 1) + "$")
-    return ~plain.isin(fixed.BARE_COMPANY_WORDS) & (academic | plain.rlike(fixed.FIRM_MARK) | plain.rlike(fixed.FIRM_START))
+    marked = lambda plain: ~plain.isin(fixed.BARE_COMPANY_WORDS) & (academic | plain.rlike(fixed.FIRM_MARK) | plain.rlike(fixed.FIRM_START))
+    return let(F.lower(F.regexp_replace(F.trim(value), r"(?U)\s+", " ")), marked)
 
 
 def words(value: Column) -> Column:
@@ -100,8 +102,7 @@ def words(value: Column) -> Column:
 
 
 def person(value: Column) -> Column:
-    parts = words(value)
-    return (F.size(parts) >= 2) & ~F.exists(parts, lambda w: F.trim(w, F.lit(" .")).isin(fixed.PERSON_STOP)) & ~organization(value)
+    return let(words(value), lambda parts: (F.size(parts) >= 2) & ~F.exists(parts, lambda w: F.trim(w, F.lit(" .")).isin(fixed.PERSON_STOP))) & ~organization(value)
 
 
 def surname_spreads(surname: Column) -> Column:

@@ -16,6 +16,11 @@ FINDING = "struct<entity_type:string,start:int,end:int,score:double,source:strin
 FINDINGS = f"array<{FINDING}>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, as a lambda variable; expressions used twice in lambdas would run twice."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(text: Column) -> Column:
     """Text of the same length without the two marks; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), OPEN + FIELD, "\u0003\u0003")
@@ -29,19 +34,27 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), value: int =
     """
     taken = [value, *groups]
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(OPEN + "$0" + "".join(f"{FIELD}${g}" for g in taken) + FIELD))
-    pieces = F.split(marked, OPEN)
     names = ", ".join(["start:int", "end:int", "value:string", "from:int", "to:int", *(f"g{g}:string" for g in groups)])
     none = F.array().cast(f"array<struct<{names}>>")
 
+    width = len(taken)
+
     def step(acc: Column, piece: Column) -> Column:
-        fields = F.split(piece, FIELD, len(taken) + 2)
-        to = acc["at"] + F.length(fields[0])
-        span = F.struct(
-            (to - F.length(fields[1])).alias("start"), to.alias("end"), fields[1].alias("value"), acc["at"].alias("from"), to.alias("to"), *(fields[2 + i].alias(f"g{g}") for i, g in enumerate(groups))
-        )
-        return F.struct((to + F.length(fields[len(taken) + 1])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.struct(F.length(pieces[0]).alias("at"), none.alias("out")), step, lambda a: a["out"])
+        def of_fields(fields: Column) -> Column:
+            def of_end(to: Column) -> Column:
+                span = F.struct(
+                    (to - F.length(fields[1])).alias("start"), to.alias("end"), fields[1].alias("value"), acc["at"].alias("from"), to.alias("to"), *(fields[2 + i].alias(f"g{g}") for i, g in enumerate(groups))
+                )
+                return F.struct((to + F.length(fields[width + 1])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+            return let(acc["at"] + F.length(fields[0]), of_end)
+
+        return let(F.split(piece, FIELD, width + 2), of_fields)
+
+    def fold(pieces: Column) -> Column:
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.struct(F.length(pieces[0]).alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    return let(F.split(marked, OPEN), fold)
 
 
 def gated(gate: Column, found: Column, kind: str = FINDINGS) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, fixed
-from veilspark.functions.spans import FINDINGS, any_of, before, finding, gated, spans, trimmed
+from veilspark.functions.spans import FINDINGS, any_of, before, finding, gated, let, spans, trimmed
 
 #: A four-word name is shorter than this many characters.
 NAME_REACH = 1000
@@ -95,30 +95,36 @@ def tabular_fiscal_codes(t: Column) -> Column:
         return F.when(d == ",", F.split(row, ",", -1)).when(d == ";", F.split(row, ";", -1)).otherwise(F.split(row, "\t", -1))
 
     bare = lambda cell: F.trim(cell, F.lit(" \t\"'"))
-    named = lambda row: F.exists(cells(row, delimiter(row)), lambda c: bare(c).rlike(f"^{fixed.FISCAL_HEADER}$"))
-    marked = F.transform(lines, lambda x: F.struct(x["at"].alias("at"), x["row"].alias("row"), (delimiter(x["row"]).isNotNull() & F.coalesce(named(x["row"]), F.lit(False))).alias("head")))
-    # place of the header among all lines but the last
-    where = F.array_position(F.transform(marked, lambda x: x["head"]), True).cast("int")
-    header = F.get(marked, where - 1)
-    after = F.when((where > 0) & (where < F.size(marked)), F.slice(marked, where + 1, F.size(marked) - where))
-    empty = F.array_position(F.transform(after, lambda x: x["row"]), "").cast("int")
-    rows = F.when(empty > 0, F.slice(after, 1, empty - 1)).otherwise(after)
-    d = delimiter(header["row"])
-    columns = F.filter(F.transform(cells(header["row"], d), lambda c, i: F.when(bare(c).rlike(f"^{fixed.FISCAL_HEADER}$"), i)), lambda i: i.isNotNull())
-
-    def of_row(x: Column) -> Column:
-        parts = cells(x["row"], d)
-
-        def cell(i: Column) -> Column:
-            raw = F.get(parts, i)
-            value = bare(raw)
-            start = x["at"] + F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, c: a + F.length(c) + 1) + F.length(raw) - F.length(F.ltrim(raw, F.lit(" \t\"'")))
-            ok = F.coalesce(value.rlike(f"^{fixed.FISCAL_SHAPE}$"), F.lit(False))
-            return F.when(ok, finding("CODICE_FISCALE", start, start + F.length(value), 0.9))
-
-        return F.filter(F.transform(columns, cell), lambda f: f.isNotNull())
-
-    found = F.coalesce(F.flatten(F.transform(rows, of_row)), F.array().cast(FINDINGS))
+    def is_head(row: Column) -> Column:
+        return let(delimiter(row), lambda d: d.isNotNull() & F.coalesce(F.exists(cells(row, d), lambda c: bare(c).rlike(f"^{fixed.FISCAL_HEADER}$")), F.lit(False)))
+
+    def below(header: Column, d: Column, after: Column) -> Column:
+        empty = F.array_position(F.transform(after, lambda x: x["row"]), "").cast("int")
+        rows = F.when(empty > 0, F.slice(after, 1, empty - 1)).otherwise(after)
+        columns = F.filter(F.transform(cells(header, d), lambda c, i: F.when(bare(c).rlike(f"^{fixed.FISCAL_HEADER}$"), i)), lambda i: i.isNotNull())
+        return let(columns, lambda at: F.flatten(F.transform(rows, lambda x: let(cells(x["row"], d), lambda parts: of_row(x["at"], parts, at)))))
+
+    def of_row(offset: Column, parts: Column, columns: Column) -> Column:
+        def of_cell(i: Column) -> Column:
+            def of_raw(raw: Column) -> Column:
+                value = bare(raw)
+                start = offset + F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, c: a + F.length(c) + 1) + F.length(raw) - F.length(F.ltrim(raw, F.lit(" \t\"'")))
+                return F.when(F.coalesce(value.rlike(f"^{fixed.FISCAL_SHAPE}$"), F.lit(False)), finding("CODICE_FISCALE", start, start + F.length(value), 0.9))
+
+            return let(F.get(parts, i), of_raw)
+
+        return F.filter(F.transform(columns, of_cell), lambda f: f.isNotNull())
+
+    def of_lines(lines: Column) -> Column:
+        # place of the header among all lines but the last
+        def of_place(where: Column) -> Column:
+            header = F.get(lines, where - 1)["row"]
+            found = let(header, lambda h: let(delimiter(h), lambda d: let(F.slice(lines, where + 1, F.size(lines) - where), lambda after: below(h, d, after))))
+            return F.when((where > 0) & (where < F.size(lines)), found)
+
+        return let(F.array_position(F.transform(lines, lambda x: is_head(x["row"])), True).cast("int"), of_place)
+
+    found = F.coalesce(let(lines, of_lines), F.array().cast(FINDINGS))
     return gated(t.rlike(r"(?i)c\.?[ \t]*f|fiscale") & t.rlike("[,;\t]") & t.rlike(fixed.FISCAL_SHAPE), found)
 
 
@@ -133,15 +139,20 @@ def ibans(t: Column) -> Column:
     A candidate is cut to its country's length, counted without blanks and hyphens.
     """
     def candidate(s: Column) -> Column:
-        whole = F.regexp_extract(F.substring(t, s["start"] + 1, F.lit(100)), fixed.IBAN_WHOLE, 0)
-        code = F.upper(checks.compact(whole, r"[\s-]"))
-        n = checks.iban_length(code)
-        cut = F.substring(code, F.lit(1), n)
-        # as many characters as hold n letters or digits
-        marks = F.transform(F.filter(F.split(whole, ""), lambda c: c != ""), lambda c: F.when(c.rlike(r"(?U)[\s-]"), 0).otherwise(1))
-        end = F.aggregate(marks, F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at")), lambda a, m: F.when(a["seen"] < n, F.struct((a["seen"] + m).alias("seen"), (a["at"] + 1).alias("at"))).otherwise(a), lambda a: a["at"])
-        ok = F.coalesce((F.length(code) >= n) & checks.iban(cut), F.lit(False))
-        return F.struct(s["start"].alias("start"), F.when(ok, s["start"] + end).alias("end"))
+        def of_whole(whole: Column) -> Column:
+            def of_code(code: Column) -> Column:
+                def of_length(n: Column) -> Column:
+                    # as many characters as hold n letters or digits
+                    marks = F.transform(F.filter(F.split(whole, ""), lambda c: c != ""), lambda c: F.when(c.rlike(r"(?U)[\s-]"), 0).otherwise(1))
+                    end = F.aggregate(marks, F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at")), lambda a, m: F.when(a["seen"] < n, F.struct((a["seen"] + m).alias("seen"), (a["at"] + 1).alias("at"))).otherwise(a), lambda a: a["at"])
+                    ok = F.coalesce((F.length(code) >= n) & checks.iban(F.substring(code, F.lit(1), n)), F.lit(False))
+                    return F.struct(s["start"].alias("start"), F.when(ok, s["start"] + end).alias("end"))
+
+                return let(checks.iban_length(code), of_length)
+
+            return let(F.upper(checks.compact(whole, r"[\s-]")), of_code)
+
+        return let(F.regexp_extract(F.substring(t, s["start"] + 1, F.lit(100)), fixed.IBAN_WHOLE, 0), of_whole)
 
     tried = F.filter(F.transform(spans(t, fixed.IBAN_HEAD), candidate), lambda s: s["end"].isNotNull())
     none = F.array().cast(FINDINGS)
@@ -179,13 +190,14 @@ def cadastral(t: Column) -> Column:
     strong = lambda label: F.lower(F.regexp_replace(label, r"(?U)[\s.]", "")).rlike(fixed.CADASTRE_STRONG)
     found = F.transform(spans(t, fixed.CADASTRE, (1,), 2), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["start"].alias("start"), s["end"].alias("end"), strong(s["g1"]).alias("strong")))
 
-    def accepted(s: Column) -> Column:
+    def accepted(s: Column, all_: Column) -> Column:
         lo, hi = F.greatest(s["from"] - 100, F.lit(0)), s["to"] + 100
         domain = F.substring(t, lo + 1, hi - lo).rlike(fixed.CADASTRE_DOMAIN)
-        near = F.exists(found, lambda o: (o["from"] != s["from"]) & o["strong"] & (o["from"] < F.least(hi, F.length(t))) & (lo < o["to"]))
+        near = F.exists(all_, lambda o: (o["from"] != s["from"]) & o["strong"] & (o["from"] < F.least(hi, F.length(t))) & (lo < o["to"]))
         return s["strong"] | domain | near
 
-    return gated(t.rlike("(?i)f[og]|part|lla|mapp|sub|sez|cat"), F.transform(F.filter(found, accepted), lambda s: finding("CATASTO", s["start"], s["end"], 0.9)))
+    kept = let(found, lambda all_: F.filter(all_, lambda s: accepted(s, all_)))
+    return gated(t.rlike("(?i)f[og]|part|lla|mapp|sub|sez|cat"), F.transform(kept, lambda s: finding("CATASTO", s["start"], s["end"], 0.9)))
 
 
 def cards(t: Column) -> Column:
@@ -220,8 +232,8 @@ def organizations(t: Column) -> Column:
     """Legal forms, business keywords, forms broken by a hyphen (which outrank what they overlap), and academic bodies."""
     broken = _trimmed(t, "ORGANIZATION", fixed.FIRM_BROKEN, 0.94, period=False)
     plain = F.concat(_trimmed(t, "ORGANIZATION", fixed.FIRM_SUFFIX, 0.9, period=False), _trimmed(t, "ORGANIZATION", fixed.FIRM_PREFIX, 0.88, period=False))
-    apart = F.filter(plain, lambda f: ~F.exists(broken, lambda b: (f["start"] < b["end"]) & (b["start"] < f["end"])))
-    found = F.concat(apart, broken, _trimmed(t, "ORGANIZATION", fixed.ACADEMIC, 0.9))
+    joined = let(broken, lambda bs: F.concat(F.filter(plain, lambda f: ~F.exists(bs, lambda b: (f["start"] < b["end"]) & (b["start"] < f["end"]))), bs))
+    found = F.concat(joined, _trimmed(t, "ORGANIZATION", fixed.ACADEMIC, 0.9))
     gate = t.rlike(r"(?i)s\.?[ \t]*[rpnas]|coop|onlus|aps|ets|ditta|societ|impresa|azienda|ragione|denominazione|universit|dipartimento")
     return gated(gate, F.filter(found, lambda f: checks.organization(F.substring(t, f["start"] + 1, f["end"] - f["start"]))))
 
@@ -296,17 +308,20 @@ def dictionary_places(t: Column, words: Dictionaries) -> Column:
     tokens = F.transform(spans(t, fixed.PLACE_TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     reach = words.longest
 
-    def longest(s: Column, i: Column) -> Column:
+    def longest(tokens: Column, s: Column, i: Column) -> Column:
         def phrase(k: int) -> Column:
+            def of_value(value: Column) -> Column:
+                glued = F.regexp_replace(value, rf"(?U)[{fixed.LETTERS}'’/\-\s]", "") == ""
+                apart = F.size(F.regexp_extract_all(value, F.lit(fixed.PLACE_TOKEN), F.lit(0))) == k
+                return glued & apart & checks.normal_place(value).isin(words.places)
+
             last = F.get(tokens, i + (k - 1))
-            value = F.substring(t, s["start"] + 1, last["end"] - s["start"])
-            glued = F.regexp_replace(value, rf"(?U)[{fixed.LETTERS}'’/\-\s]", "") == ""
-            apart = F.size(F.regexp_extract_all(value, F.lit(fixed.PLACE_TOKEN), F.lit(0))) == k
-            return F.when(last.isNotNull() & glued & apart & checks.normal_place(value).isin(words.places), F.struct(s["start"].alias("start"), last["end"].alias("end")))
+            known = let(F.substring(t, s["start"] + 1, last["end"] - s["start"]), of_value)
+            return F.when(last.isNotNull() & known, F.struct(s["start"].alias("start"), last["end"].alias("end")))
 
         return F.coalesce(*(phrase(k) for k in range(reach, 0, -1)))
 
-    known = F.filter(F.transform(tokens, longest), lambda s: s.isNotNull())
+    known = F.filter(let(tokens, lambda ts: F.transform(ts, lambda s, i: longest(ts, s, i))), lambda s: s.isNotNull())
     kept = F.aggregate(
         known,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from veilspark.functions import checks, fixed
-from veilspark.functions.spans import FINDINGS, finding
+from veilspark.functions.spans import FINDINGS, finding, let
 
 
 def lookup(pairs: dict[str, object], key: Column, default: Column) -> Column:
@@ -45,14 +45,13 @@ def overlaps(f: Column, others: Column) -> Column:
 
 def _places_of(text: Column, literal: Column) -> Column:
     """Whole-word places of a literal that differs from row to row."""
-    pieces = F.split(text, F.concat(F.lit(r"(?U)\b\Q"), literal, F.lit(r"\E\b")), -1)
     none = F.array().cast("array<int>")
-    at = F.aggregate(
+    at = let(F.split(text, F.concat(F.lit(r"(?U)\b\Q"), literal, F.lit(r"\E\b")), -1), lambda pieces: F.aggregate(
         F.slice(pieces, 1, F.size(pieces) - 1),
         F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda a, p: F.struct((a["at"] + F.length(p) + F.length(literal)).alias("at"), F.concat(a["out"], F.array(a["at"] + F.length(p))).alias("out")),
         lambda a: a["out"],
-    )
+    ))
     return F.transform(at, lambda s: F.struct(s.alias("start"), (s + F.length(literal)).alias("end")))
 
 
@@ -62,20 +61,20 @@ def coreferences(text: Column, found: Column) -> Column:
     many = F.filter(persons, lambda p: F.size(checks.words(p["name"])) >= 2)
 
     def surname(p: Column) -> Column:
-        parts = checks.words(p["name"])
-        upper = F.aggregate(
-            parts,
-            F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("out")),
-            lambda a, w: F.when(a["on"] & checks.all_upper(F.trim(w, F.lit(" .'’"))), F.struct(F.lit(True).alias("on"), F.concat(a["out"], F.array(F.trim(w, F.lit(" .")))).alias("out"))).otherwise(F.struct(F.lit(False).alias("on"), a["out"].alias("out"))),
-            lambda a: F.array_join(a["out"], " "),
-        )
-        return F.when(p["source"] == "surname_first_rule", upper).otherwise(F.trim(F.element_at(parts, -1), F.lit(" .")))
-
-    surnames = F.filter(F.transform(many, surname), lambda s: (F.length(s) >= 3) & s.rlike(r"^\p{Lu}") & checks.surname_spreads(s))
-    literals = F.array_distinct(F.concat(F.transform(many, lambda p: p["name"]), surnames))
-    again = F.flatten(F.transform(literals, lambda x: _places_of(text, x)))
-    new = F.transform(F.filter(again, lambda s: ~overlaps(s, found)), lambda s: finding("PERSON", s["start"], s["end"], 0.75, "coreference"))
-    return F.when(F.exists(found, lambda f: f["entity_type"] == "PERSON"), dedupe(F.concat(found, new))).otherwise(found)
+        def upper(parts: Column) -> Column:
+            lead = F.aggregate(parts, F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda a, w: let(a["on"] & checks.all_upper(F.trim(w, F.lit(" .'’"))), lambda on: F.struct(on.alias("on"), (a["n"] + on.cast("int")).alias("n"))), lambda a: a["n"])
+            return F.array_join(F.transform(F.slice(parts, F.lit(1), lead), lambda w: F.trim(w, F.lit(" ."))), " ")
+
+        return let(checks.words(p["name"]), lambda parts: F.when(p["source"] == "surname_first_rule", upper(parts)).otherwise(F.trim(F.element_at(parts, -1), F.lit(" ."))))
+
+    def spread(people: Column) -> Column:
+        surnames = F.filter(F.transform(people, surname), lambda s: (F.length(s) >= 3) & s.rlike(r"^\p{Lu}") & checks.surname_spreads(s))
+        literals = F.array_distinct(F.concat(F.transform(people, lambda p: p["name"]), surnames))
+        again = F.flatten(F.transform(literals, lambda x: _places_of(text, x)))
+        new = F.transform(F.filter(again, lambda s: ~overlaps(s, found)), lambda s: finding("PERSON", s["start"], s["end"], 0.75, "coreference"))
+        return dedupe(F.concat(found, new))
+
+    return F.when(F.exists(found, lambda f: f["entity_type"] == "PERSON"), let(many, spread)).otherwise(found)
 
 
 def merge(found: Column, extra: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
+from veilspark.functions.spans import let
 from veilspark.operators.resolve import lookup
 
 MODES = ("standard", "maximum", "reversible")
@@ -29,7 +30,7 @@ def placeholder(entity: Column) -> Column:
 def initials(value: Column) -> Column:
     runs = F.filter(F.regexp_extract_all(value, F.lit(f"[{fixed.LETTERS}0-9]+"), F.lit(0)), lambda w: ~w.rlike("^[0-9]+$"))
     joined = F.array_join(F.transform(runs, lambda w: F.concat(F.substring(w, 1, 1), F.lit("."))), " ")
-    return F.when(joined == "", fixed.NO_INITIALS).otherwise(joined)
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit(fixed.NO_INITIALS))
 
 
 def _whole(pattern: str) -> str:
@@ -64,13 +65,16 @@ def _rewritten(text: Column, found: Column, new: callable, swallow: bool) -> Col
     ordered = F.array_sort(found, lambda a, b: a["start"] - b["start"])
 
     def step(a: Column, f: Column) -> Column:
-        value = F.substring(text, f["start"] + 1, f["end"] - f["start"])
-        r = new(f, value)
-        head = F.concat(a["out"], F.substring(text, a["at"] + 1, f["start"] - a["at"]))
-        dot = F.lit(swallow) & r.endswith(".") & (F.substring(text, f["end"] + 1, F.lit(1)) == ".")
-        span = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(r)).alias("end"))
-        taken = F.struct((f["end"] + F.when(dot, 1).otherwise(0)).alias("at"), F.concat(head, r).alias("out"), F.concat(a["spans"], F.array(span)).alias("spans"))
-        return F.when(f["start"] < a["at"], a).otherwise(taken)
+        def put(r: Column) -> Column:
+            def behind(head: Column) -> Column:
+                dot = F.lit(swallow) & r.endswith(".") & (F.substring(text, f["end"] + 1, F.lit(1)) == ".")
+                span = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(r)).alias("end"))
+                return F.struct((f["end"] + F.when(dot, 1).otherwise(0)).alias("at"), F.concat(head, r).alias("out"), F.concat(a["spans"], F.array(span)).alias("spans"))
+
+            return let(F.concat(a["out"], F.substring(text, a["at"] + 1, f["start"] - a["at"])), behind)
+
+        fresh = let(F.substring(text, f["start"] + 1, f["end"] - f["start"]), lambda value: let(new(f, value), put))
+        return F.when(f["start"] < a["at"], a).otherwise(fresh)
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     return F.aggregate(ordered, zero, step, lambda a: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))).alias("text"), a["spans"].alias("spans")))
