@@ -26,9 +26,12 @@ def clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), OPEN + FIELD, "\u0003\u0003")
 
 
-def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), value: int = 0) -> Column:
+def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), value: int = 0, keep=None) -> Column:
     """array<struct<start, end, value, from, to, g<i>...>> of all matches in ``clean`` text.
 
+    ``keep`` is a test of the value: matches that fail it are not gathered at all, which matters for
+    patterns that match every word.
+
     ``start`` and ``end`` are of group ``value``, which has to end the match; ``from`` and ``to`` are of
     the match.
     """
@@ -45,7 +48,8 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), value: int =
                 span = F.struct(
                     (to - F.length(fields[1])).alias("start"), to.alias("end"), fields[1].alias("value"), acc["at"].alias("from"), to.alias("to"), *(fields[2 + i].alias(f"g{g}") for i, g in enumerate(groups))
                 )
-                return F.struct((to + F.length(fields[width + 1])).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+                grown = F.concat(acc["out"], F.array(span))
+                return F.struct((to + F.length(fields[width + 1])).alias("at"), (grown if keep is None else F.when(keep(fields[1]), grown).otherwise(acc["out"])).alias("out"))
 
             return let(acc["at"] + F.length(fields[0]), of_end)
 

@@ -257,7 +257,7 @@ def dictionary_persons(t: Column, words: Dictionaries) -> Column:
     """From each known first name on, up to four capitalised words; not behind a street word; no start inside a person."""
     if not words.first_names:
         return F.array().cast(FINDINGS)
-    tokens = F.filter(spans(t, fixed.NAME_TOKEN), lambda s: checks.is_first_name(s["value"], words.first_names))
+    tokens = spans(t, fixed.NAME_TOKEN, keep=lambda v: checks.is_first_name(v, words.first_names))
     runs = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), _person_value(F.regexp_extract(F.substring(t, s["start"] + 1, F.lit(NAME_REACH)), fixed.NAME_RUN, 0)).alias("value")))
     good = F.filter(runs, lambda s: (s["value"] != "") & checks.person(s["value"]) & ~before(t, s["start"], 16).rlike(fixed.AFTER_STREET))
 
@@ -305,23 +305,20 @@ def dictionary_places(t: Column, words: Dictionaries) -> Column:
     """Longest run of words that the place dictionary knows; words are used up before context is asked for."""
     if not words.places:
         return F.array().cast(FINDINGS)
-    tokens = F.transform(spans(t, fixed.PLACE_TOKEN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    reach = words.longest
+    first_words = sorted({p.split()[0] for p in words.places})
+    tokens = spans(t, fixed.PLACE_TOKEN, keep=lambda v: checks.normal_place(v).isin(first_words))
 
-    def longest(tokens: Column, s: Column, i: Column) -> Column:
-        def phrase(k: int) -> Column:
-            def of_value(value: Column) -> Column:
-                glued = F.regexp_replace(value, rf"(?U)[{fixed.LETTERS}'’/\-\s]", "") == ""
-                apart = F.size(F.regexp_extract_all(value, F.lit(fixed.PLACE_TOKEN), F.lit(0))) == k
-                return glued & apart & checks.normal_place(value).isin(words.places)
+    def longest(s: Column) -> Column:
+        def of_rest(rest: Column) -> Column:
+            def phrase(k: int) -> Column:
+                known = lambda value: F.when((value != "") & checks.normal_place(value).isin(words.places), F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end")))
+                return let(F.regexp_extract(rest, rf"(?U)^{fixed.PLACE_TOKEN}(?:\s+{fixed.PLACE_TOKEN}){{{k - 1}}}", 0), known)
 
-            last = F.get(tokens, i + (k - 1))
-            known = let(F.substring(t, s["start"] + 1, last["end"] - s["start"]), of_value)
-            return F.when(last.isNotNull() & known, F.struct(s["start"].alias("start"), last["end"].alias("end")))
+            return F.coalesce(*(phrase(k) for k in range(words.longest, 0, -1)))
 
-        return F.coalesce(*(phrase(k) for k in range(reach, 0, -1)))
+        return let(F.substring(t, s["start"] + 1, F.lit(NAME_REACH)), of_rest)
 
-    known = F.filter(let(tokens, lambda ts: F.transform(ts, lambda s, i: longest(ts, s, i))), lambda s: s.isNotNull())
+    known = F.filter(F.transform(tokens, longest), lambda s: s.isNotNull())
     kept = F.aggregate(
         known,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
