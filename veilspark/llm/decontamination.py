@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, ascii_lower, chunked, mix64, small_batches, text_bytes
+from veilspark.llm.util import PrefixHash, ascii_lower, chunked, lean, mix64, small_batches, text_bytes
 
 WINDOW = 6
 COVERAGE = 0.5
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "matched_windows", "item_windows", "slot_consistency"])
 
-        part = docs.select("doc_id", "text").where(F.length("text") > 0).mapInArrow(run, "doc_id long, item_id long, matched_windows long, item_windows long, slot_consistency double")
+        part = docs.select("doc_id", "text").where(F.length("text") > 0).mapInArrow(lean(run), "doc_id long, item_id long, matched_windows long, item_windows long, slot_consistency double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, matched_windows long, item_windows long, slot_consistency double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import ascii_lower, bounded_sample, chunked, held_out, small_batches, text_bytes
+from veilspark.llm.util import ascii_lower, bounded_sample, chunked, held_out, lean, small_batches, text_bytes
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, epochs: int = EPOCHS, see
     """Train on rows that are not held out and have a language; None if there are none."""
     small_batches(docs.sparkSession, 256)
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rows = bounded_sample(usable, train_docs).mapInArrow(_counts, "doc_id long, lang string, buckets binary, counts binary").collect()
+    rows = bounded_sample(usable, train_docs).mapInArrow(lean(_counts), "doc_id long, lang string, buckets binary, counts binary").collect()
     rows = sorted((r for r in rows if r.buckets), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang))
     if not rows:
         return None
@@ -232,7 +232,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)], [*names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return plain.mapInArrow(lean(run), f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, bounded_sample, chunked, held_out, small_batches, text_bytes, word_bounds
+from veilspark.llm.util import PrefixHash, bounded_sample, chunked, held_out, lean, small_batches, text_bytes, word_bounds
 
 PASSAGE_BYTES = 512
 TRAIN_DOCS = 2500
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, epochs
     small_batches(docs.sparkSession, 256)
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = bounded_sample(known, train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "doc_id long, quality int, x binary").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_features), "doc_id long, quality int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, r.x))
     model = GatedAttention(seed)
     y = np.array([r.quality for r in rows], float)
@@ -178,13 +178,13 @@ def classify(docs: DataFrame, model: GatedAttention) -> DataFrame:
         for batch in batches:
             buf, off = text_bytes(batch.column(at))
             score = np.zeros(batch.num_rows)
-            for lo, hi in chunked(off, 1 << 20):
+            for lo, hi in chunked(off):
                 X, owner = passages(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 score[lo:hi] = model.score(X, owner, hi - lo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return plain.mapInArrow(run, f"{schema}, score double, predicted int")
+    return plain.mapInArrow(lean(run), f"{schema}, score double, predicted int")
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:

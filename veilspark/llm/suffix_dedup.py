@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, chunked, materialize, mix64, ranges_concat, shuffle_parts, small_batches, text_bytes
+from veilspark.llm.util import PrefixHash, chunked, lean, materialize, mix64, ranges_concat, shuffle_parts, small_batches, text_bytes
 
 LENGTH = 100
 GRAM = 20
@@ -267,20 +267,20 @@ def removals(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     small_batches(spark)
     texts = rows.where(F.length("text") > 0)
-    sampled = texts.select("rank", "text").mapInArrow(_sample, "rank long, anchor long, mark long, lo int, width int, lead short, met boolean")
+    sampled = texts.select("rank", "text").mapInArrow(lean(_sample), "rank long, anchor long, mark long, lo int, width int, lead short, met boolean")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = sampled.repartition(shuffle_parts(spark), "anchor").sortWithinPartitions("rank", "lo")
-    found = materialize(dealt.mapInArrow(_scan_contexts, "rank long, anchor long, lo int, width int, lead short, kind byte"), "contexts")
+    found = materialize(dealt.mapInArrow(lean(_scan_contexts), "rank long, anchor long, lo int, width int, lead short, kind byte"), "contexts")
     small_batches(spark)
     noted = found.where(F.col("kind") == 2)
     salted = noted.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts"))
     per_text = materialize(noted.join(salted, "anchor").groupBy("rank").agg(F.collect_list(F.struct("anchor", "salts", "lo", "width", "lead")).alias("noted")), "noted")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    cut = texts.select("rank", "text").join(per_text.where(F.size("noted") > 0), "rank").mapInArrow(_cut_contexts, "rank long, anchor long, salts int, lo int, lead short, bytes binary")
+    cut = texts.select("rank", "text").join(per_text.where(F.size("noted") > 0), "rank").mapInArrow(lean(_cut_contexts), "rank long, anchor long, salts int, lo int, lead short, bytes binary")
     spread = cut.select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "rank", "lo", "bytes", "lead")
     shards = max(shuffle_parts(spark), noted.count() // SPLIT + 1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
-    windows = spread.repartition(shards, "anchor", "salt").sortWithinPartitions("rank", "lo").mapInArrow(_scan_windows, "rank long, lo int, width int")
+    windows = spread.repartition(shards, "anchor", "salt").sortWithinPartitions("rank", "lo").mapInArrow(lean(_scan_windows), "rank long, lo int, width int")
     windows = materialize(windows, "windows")
     small_batches(spark)
     return found.where(F.col("kind") == 1).select("rank", "lo", "width").unionByName(windows)
@@ -290,7 +290,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) of every row."""
     rows = ranked(docs)
     ranges = removals(rows).groupBy("rank").agg(F.collect_list(F.struct("lo", "width")).alias("ranges"))
-    return rows.join(ranges, "rank", "left").select("doc_id", "text", "ranges").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.join(ranges, "rank", "left").select("doc_id", "text", "ranges").mapInArrow(lean(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1(docs: DataFrame) -> DataFrame:

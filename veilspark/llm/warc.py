@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import materialize, new_path, open_uri, rename_uri, small_batches
+from veilspark.llm.util import lean, materialize, new_path, open_uri, rename_uri, small_batches
 
 MIN_REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
@@ -77,7 +77,7 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
             rename_uri(name + ".open", name + ".warc.gz")
             yield pa.RecordBatch.from_pydict({"path": [name + ".warc.gz"], "size": [size]})
 
-    return pages.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(run, "path string, size long")
+    return pages.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(lean(run), "path string, size long")
 
 
 class _Window:
@@ -196,7 +196,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    return ranges.mapInArrow(run, FIELDS)
+    return ranges.mapInArrow(lean(run), FIELDS)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
