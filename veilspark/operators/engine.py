@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,26 @@ from veilspark.operators.rewrite import check_mode
 MOST_CHARACTERS = 100_000
 
 
+_built: dict[tuple, Column] = {}
+
+
+def built(key: tuple, make: Callable[[], Column]) -> Column:
+    """A column expression made once for each JVM: it names its inputs, so it serves any frame that has them.
+
+    Putting the large expressions together call by call costs more than planning them.
+    """
+    key = (id(SparkContext._gateway), *key)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
+def rule_column(name: str, rule: Callable, words: Dictionaries) -> Column:
+    if name not in WITH_WORDS:
+        return built((name,), lambda: rule(F.col("_clean")).alias(f"_{name}"))
+    return built((name, tuple(words.first_names), tuple(words.regions), tuple(words.places)), lambda: rule(F.col("_clean"), words).alias(f"_{name}"))
+
+
 def candidates(docs: DataFrame, mode: str = "standard", words: Dictionaries | None = None, only: set[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` and one array column ``_<rule>`` per recognizer, in four projections, so that generated code stays small."""
     check_mode(mode)
@@ -23,7 +44,7 @@ def candidates(docs: DataFrame, mode: str = "standard", words: Dictionaries | No
     out = docs.withColumn("_clean", clean(F.col(text)))
     rules = [(n, f) for n, f in RULES if (mode != "standard" or n != "dates") and (only is None or n in only)]
     for at in range(0, len(rules), 7):
-        out = out.select("*", *((f(F.col("_clean"), words) if n in WITH_WORDS else f(F.col("_clean"))).alias(f"_{n}") for n, f in rules[at : at + 7]))
+        out = out.select("*", *(rule_column(n, f, words) for n, f in rules[at : at + 7]))
     return out
 
 
@@ -44,13 +65,13 @@ def detect(
     """
     found = candidates(docs, mode, words, only, text)
     rules = [c for c in found.columns if c.startswith("_") and c != "_clean" and c not in docs.columns]
-    out = found.withColumn("findings", resolve.dedupe(F.concat(*(F.col(c) for c in rules))))
+    out = found.withColumn("findings", built(("dedupe", *rules), lambda: resolve.dedupe(F.concat(*(F.col(c) for c in rules)))))
     if extra is not None:
         out = out.withColumn("findings", resolve.merge(F.col("findings"), F.col(extra)))
     if detector is not None:
         out = out.withColumn("findings", resolve.merge(F.col("findings"), detector(F.col(text))))
     if coreference:
-        out = out.withColumn("findings", resolve.coreferences(F.col("_clean"), F.col("findings")))
+        out = out.withColumn("findings", built(("coreferences",), lambda: resolve.coreferences(F.col("_clean"), F.col("findings"))))
     return out.select(*docs.columns, F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 

@@ -44,6 +44,7 @@ def iban(wrong: int = 0) -> str:
     return f"'IT' || lpad(CAST((98 - {remainder} + {wrong} - 1) % 97 + 1 AS STRING), 2, '0') || 'X000000000000' || {body}"
 
 
+# Check-letter weights at odd places, two digits for each of A to Z (digits share the first ten).
 _ODD = "0100050709131517192102041820110306081214161022252423"
 
 
