@@ -10,11 +10,11 @@ the set and its size). Then candidates come in two ways:
 
 The boundary is the largest size at which enumerating costs less than scanning lists, whose mean length comes from a
 count sketch of all shingles. The sketch has a fixed size (2 MB) whatever the corpus; it also gives the order. Any order is
-exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link.
+exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity sketch of each set (256 bytes).
 
-No group is expanded into all its pairs. Round one verifies every member of a list against one pivot of it, and
+No group is expanded into all its pairs. Round one verifies every set against one pivot of its lists, and
 links are contracted to components; round two takes only pairs of a list that are still in different
-components. Verification compares whole shingle sets. All links matter only through the components
+components, and brings texts together by cells of such pairs. Verification compares whole shingle sets. All links matter only through the components
 (and the exact number of components' members); none between different texts is lost.
 
 Defined cases: null, empty or blank text = empty set, linked with nothing; fewer than five words = one shingle, the whole
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, ascii_lower, chunked, materialize, mix64, shuffle_parts, small_batches, text_bytes, word_bounds
+from veilspark.llm.util import PrefixHash, ascii_lower, chunked, lean, materialize, mix64, ranges_concat, shuffle_parts, small_batches, text_bytes, word_bounds
 
 SHINGLE = 5
 #: The similarity as a fraction, so that comparisons stay in whole numbers.
@@ -42,6 +42,8 @@ SKETCH_BITS = 19
 SKETCH_PARTS = 16
 MOST_LIGHT = 14
 PIVOT_SPLIT = 2000
+CHUNK = 400
+PARITY_BITS = 2048
 _WORDS = PrefixHash(29)
 
 
@@ -78,6 +80,11 @@ def set_key(unique: np.ndarray) -> int:
     return int(mix64(np.array([a ^ mix64(np.array([b + np.uint64(len(unique))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
+def parity(unique: np.ndarray) -> bytes:
+    """Parity of the set's hashes in ``PARITY_BITS`` cells. Two sets differ in at least as many shingles as cells."""
+    return np.packbits((np.bincount((unique & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+
+
 def need(a: int, b: int) -> int:
     """Smallest intersection that links sets of these sizes: DEN * x >= NUM * (a + b - x)."""
     return -(-NUM * (a + b) // (NUM + DEN))
@@ -103,24 +110,24 @@ def boundary(sketch: np.ndarray) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of each set; at the end this task's sketch in parts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         buf, off = text_bytes(batch.column(1))
-        n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        n, key, cells = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
         for lo, hi in chunked(off):
             h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             for i in range(hi - lo):
                 if first[i + 1] > first[i]:
                     u = np.unique(h[first[i] : first[i + 1]])
-                    n[lo + i], key[lo + i] = len(u), set_key(u)
+                    n[lo + i], key[lo + i], cells[lo + i] = len(u), set_key(u), parity(u)
         none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(cells, pa.binary()), *none], schema=schema)
     if sketch.any():
         pieces = np.split(np.minimum(sketch, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
         k = len(pieces)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +140,14 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, key of every document, and the summed sketch."""
+    """doc_id, n, key, parity of every document, and the summed sketch."""
     small_batches(docs.sparkSession)
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n long, key long, part int, sketch binary"), "sets")
-    parts = rows.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(_add_sketches, "part int, sketch binary").collect()
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(lean(_describe), "doc_id long, n long, key long, parity binary, part int, sketch binary"), "sets")
+    parts = rows.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_add_sketches), "part int, sketch binary").collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in parts:  # of fixed size
         sketch[r.part] = np.frombuffer(r.sketch, np.int64)
-    return rows.where(F.col("part").isNull()).select("doc_id", "n", "key"), sketch.ravel()
+    return rows.where(F.col("part").isNull()).select("doc_id", "n", "key", "parity"), sketch.ravel()
 
 
 def classes_of(sketch: np.ndarray) -> np.ndarray:
@@ -157,7 +164,7 @@ def _postings(classes, light: int):
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
             seen: set[int] = set()
-            for lo, hi in chunked(off, 8 << 20):
+            for lo, hi in chunked(off):
                 h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 # class first, then hash: the global order; 58 bits of hash name a token
                 ordered = (rank[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(58)) | (h >> np.uint64(6))
@@ -227,41 +234,44 @@ def _lists(light: int):
     return run
 
 
-def _cross_pairs(light: int):
+def _cross_pairs(light: int, most: int = 1 << 21):
     """Pairs within a list that are in different components and may link by size and position."""
 
     def pairs(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # lists, by rising size within each
+        t = t[np.lexsort((t["n"], t["pos"] >= 0, t["token"]))]
+        n, subset = t["n"].astype(np.int64), t["pos"] < 0
         new = np.ones(len(t), bool)
-        new[1:] = (t["token"][1:] != t["token"][:-1]) | ((t["pos"][1:] < 0) != (t["pos"][:-1] < 0))
-        starts = np.append(np.flatnonzero(new), len(t))
-        out_a, out_b = [], []
-        for a, b in zip(starts[:-1], starts[1:]):
-            part = t[a:b]
-            if (part["comp"] == part["comp"][0]).all():
-                continue
-            part = part[np.argsort(part["n"], kind="stable")]
-            n = part["n"].astype(np.int64)
-            reach = np.searchsorted(n, n * DEN // NUM, side="right")  # sizes that can link at all
-            subset = part["pos"][0] < 0
-            for i in range(len(part) - 1):
-                j = np.arange(i + 1, reach[i])
-                ok = part["comp"][j] != part["comp"][i]
-                if not subset:
-                    least = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
-                    ok &= np.minimum(n[i] - part["pos"][i], n[j] - part["pos"][j]) >= least
-                    ok &= n[j] > light  # two light sets meet by their subsets
-                j = j[ok]
-                if len(j):
-                    x, y = np.full(len(j), part["key"][i]), part["key"][j]
-                    out_a.append(np.minimum(x, y))
-                    out_b.append(np.maximum(x, y))
-            if sum(map(len, out_a)) > 200_000:
-                ab = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
-                out_a, out_b = [], []
-        if out_a:
-            ab = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+        new[1:] = (t["token"][1:] != t["token"][:-1]) | (subset[1:] != subset[:-1])
+        starts = np.flatnonzero(new)
+        owner = np.cumsum(new) - 1
+        # whoever is too large to link begins behind; both in one search over (list, size)
+        wide = int(n.max()) * DEN // NUM + 2
+        reach = np.searchsorted(owner * wide + n, owner * wide + n * DEN // NUM, side="right")
+        count = reach - np.arange(len(t)) - 1
+        comp, first = t["comp"], t["comp"][starts]
+        mixed = np.add.reduceat(comp != first[owner], starts) > 0
+        count[~mixed[owner]] = 0
+        cuts = np.append(0, np.cumsum(count))
+        lo = 0
+        while lo < len(t):
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + most, side="right")) - 1)
+            i = np.repeat(np.arange(lo, hi), count[lo:hi])
+            j = ranges_concat(np.arange(lo, hi) + 1, count[lo:hi])
+            ok = comp[i] != comp[j]
+            i, j = i[ok], j[ok]
+            least = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
+            fits = (np.minimum(n[i] - t["pos"][i], n[j] - t["pos"][j]) >= least) & (n[j] > light)  # two light sets meet by their subsets
+            fits |= subset[i]
+            x, y = t["key"][i[fits]], t["key"][j[fits]]
+            if len(x):
+                both = np.empty(len(x), [("a", np.int64), ("b", np.int64)])
+                both["a"], both["b"] = np.minimum(x, y), np.maximum(x, y)
+                both = both[np.lexsort((both["b"], both["a"]))]
+                keep = np.ones(len(both), bool)
+                keep[1:] = both[1:] != both[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(both["a"][keep]), pa.array(both["b"][keep])], ["a", "b"])
+            lo = hi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -304,22 +314,91 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of set keys whose sets link. A pivot's members are split among tasks beyond ``PIVOT_SPLIT``."""
-    spark = docs.sparkSession
-    # lets the optimiser drop, before the shuffle, texts that no pair asks for
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    pairs = materialize(pairs, "pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = materialize(reps.join(keys, "key", "left_semi"), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.where(F.col("doc_id") >= F.lit(-(2**63))), "doc_id").select("key", "text")
-    texts = materialize(texts, "texts")
+def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a cell: its texts, then its pairs; links come out."""
+    cell, sets = None, {}
+    for batch in batches:
+        cells, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        is_text = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+        buf, off = text_bytes(batch.column(3))
+        x, y = [], []
+        for lo, hi in chunked(off):
+            h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            for i in range(hi - lo):
+                k = lo + i
+                if cells[k] != cell:
+                    cell, sets = cells[k], {}
+                if is_text[k]:
+                    u = np.unique(h[first[i] : first[i + 1]])
+                    if len(u) and set_key(u) == a[k]:
+                        sets[a[k]] = u
+                elif a[k] in sets and b[k] in sets:
+                    u, v = sets[a[k]], sets[b[k]]
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    if DEN * both >= NUM * (len(u) + len(v) - both):
+                        x.append(a[k])
+                        y.append(b[k])
+        if x:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities differ in no more cells than linked sets of their sizes may differ in shingles."""
+    for b in batches:
+        if b.num_rows:
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (3, 5))
+            least = -(-NUM * (n + m) // (NUM + DEN))
+            ok = np.bitwise_count(x ^ y).sum(1) <= n + m - 2 * least
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+
+def near_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """An exact filter of pairs (a, b): no link is lost, and almost all that share only common shingles go."""
+    one = reps.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
+    two = reps.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(lean(_near), "a long, b long")
+
+
+def texts_of(keys: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, text of the sets in ``keys``."""
+    # lets the optimiser drop, before the shuffle, texts that nobody asks for
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    wanted = materialize(reps.select("key", "doc_id").join(keys, "key", "left_semi"), "wanted")
+    return materialize(docs.select("doc_id", "text").join(wanted.where(F.col("doc_id") >= F.lit(-(2**63))), "doc_id").select("key", "text"), "texts")
+
+
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+
+
+def verify_stars(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a: pivot, b: member) of set keys that link. A pivot's members are split among tasks beyond ``PIVOT_SPLIT``."""
+    n = shuffle_parts(pairs.sparkSession)
     sized = pairs.groupBy("a").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / PIVOT_SPLIT).cast("int"))
     members = pairs.join(sized, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("member")).join(texts, F.col("member") == F.col("key"))
     pivots = sized.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("member")).join(texts, F.col("pivot") == F.col("key"))
     rows = members.select("pivot", "member", "text", "salt").unionByName(pivots.select("pivot", "member", "text", "salt"))
-    dealt = rows.repartition(shuffle_parts(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member") != F.col("pivot"), "member")
-    return dealt.mapInArrow(_verify, "a long, b long")
+    dealt = rows.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member") != F.col("pivot"), "member")
+    return dealt.mapInArrow(lean(_verify), "a long, b long")
+
+
+def verify_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Any pairs (a, b) of set keys that link.
+
+    Pairs that hang together form a group; a group of m sets is cut into chunks of about ``CHUNK``, and each two chunks are
+    a cell. So a text travels once to each cell that needs it, not once for each pair.
+    """
+    groups = components(pairs)
+    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    placed = materialize(groups.join(sizes, "comp").select("key", "comp", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk")), "placed")
+    left, right = placed.select(F.col("key").alias("a"), "comp", F.col("chunk").alias("ca")), placed.select(F.col("key").alias("b"), F.col("chunk").alias("cb"))
+    celled = materialize(pairs.join(left, "a").join(right, "b").select(F.xxhash64("comp", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("cell"), "a", "b"), "celled")
+    needed = celled.select("cell", F.col("a").alias("key")).union(celled.select("cell", F.col("b").alias("key"))).distinct()
+    rows = needed.join(texts, "key").select("cell", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = rows.unionByName(celled.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
+    dealt = rows.select("cell", "a", F.coalesce("b", F.lit(0)).alias("b"), "text").repartition(shuffle_parts(pairs.sparkSession), "cell").sortWithinPartitions("cell", F.col("text").isNull(), "a")
+    return dealt.mapInArrow(lean(_verify_cells), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,27 +422,28 @@ def cluster(docs: DataFrame) -> DataFrame:
     light = boundary(sketch)
     classes = spark.sparkContext.broadcast(classes_of(sketch))
     small_batches(spark)
-    reps = sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity")), "reps")
     n = shuffle_parts(spark)
-    made = docs.select("text").where(F.length("text") > 0).mapInArrow(_postings(classes, light), "token long, key long, n int, pos int")
+    made = docs.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light)), "token long, key long, n int, pos int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     listed = made.repartition(n, "token").dropDuplicates(["token", "key", "pos"]).sortWithinPartitions("token", "pos")
-    lists = materialize(listed.mapInArrow(_lists(light), "token long, key long, n int, pos int, pivot long, pivot_n int"), "lists")
+    lists = materialize(listed.mapInArrow(lean(_lists(light)), "token long, key long, n int, pos int, pivot long, pivot_n int"), "lists")
     small_batches(spark)
+    # round one: each set against the pivot that most of its lists share
     may = (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM) & (F.col("key") != F.col("pivot"))
-    star = lists.where(may).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = materialize(verify(star, docs, reps), "links")
+    votes = lists.where(may).groupBy("key", "pivot").count().groupBy("key").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a"))
+    star = materialize(near_pairs(votes.select("a", F.col("key").alias("b")), reps), "star")
+    links = materialize(verify_stars(star, texts_of(both_ends(star), docs, reps)), "links")
     comps = components(links)
-    # members of contracted groups share a label; what has none is a component of its own
+    # round two: members of contracted groups share a label; what has none is a component of its own
     tagged = lists.select("token", "key", "n", "pos").join(comps, "key", "left").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
-    mixed = tagged.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(F.col("c0") != F.col("c1")).select("token")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    cross = tagged.join(mixed, "token").repartition(n, "token").sortWithinPartitions("token", "pos").mapInArrow(_cross_pairs(light), "a long, b long").distinct()
+    cross = tagged.repartition(n, "token").sortWithinPartitions("token", "pos").mapInArrow(lean(_cross_pairs(light)), "a long, b long").distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(cross.join(tested, ["a", "b"], "left_anti"), "cross")
+    cross = materialize(near_pairs(cross.join(tested, ["a", "b"], "left_anti"), reps), "cross")
     small_batches(spark)
     if not cross.isEmpty():
-        more = materialize(verify(cross, docs, reps), "links")
+        more = materialize(verify_pairs(cross, texts_of(both_ends(cross), docs, reps)), "links")
         if not more.isEmpty():
             comps = components(links.unionByName(more))
     labelled = sets.join(comps, "key", "left").withColumn("group", F.coalesce("comp", "key"))
