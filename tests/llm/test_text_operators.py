@@ -184,7 +184,12 @@ def test_op3_finds_renumbered_questions(spark):
     assert {(1, 7), (2, 7)} <= got and not any(d in (3, 4, 5) for d, _ in got)
     small = {(r.doc_id, r.item_id) for r in rows_of(decontamination.leaks(docs, bench, block=1))}
     assert small == got
-    assert sorted(r.doc_id for r in rows_of(decontamination.decontaminate(docs, bench)))[:2] != [1, 2]
+    bad = {d for d, _ in got}
+    nameless = docs.selectExpr("cast(null as long) as doc_id", "text").unionByName(docs)
+    for block in (1, 1 << 20):
+        kept = decontamination.decontaminate(nameless, bench, block=block)
+        assert sorted(r.doc_id for r in rows_of(kept.where("doc_id is not null"))) == sorted(set(range(1, 8)) - bad)
+        assert kept.where("doc_id is null").count() == 7 - len(bad)
 
 
 def test_op6_meets_targets(corpus):

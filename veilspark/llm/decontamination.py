@@ -254,10 +254,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     return out.groupBy("doc_id", "item_id").agg(F.max("matched_windows").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max("slot_consistency").alias("slot_consistency"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """``docs`` without the contaminated ones; rows without doc_id are judged one by one by text equality of the pair."""
-    bad = leaks(docs, benchmark, **parameters).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT, block: int = BLOCK_WINDOWS) -> DataFrame:
+    """``docs`` without the rows that hold an item; each row is judged by its own text, so ids may repeat or be null."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index("text")
+    for templates in blocks(benchmark, window, block):
+        sent = spark.sparkContext.broadcast(templates)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                buf, off = text_bytes(batch.column(at))
+                for lo, hi in chunked(off):
+                    for d, *_ in sent.value.match(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], coverage, consistent):
+                        clean[lo + d] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(lean(run), docs.schema)
+    return docs
 
 
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
