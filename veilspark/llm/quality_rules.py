@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, chunked, materialize, mix64, new_path, open_uri, rename_uri, shuffle_parts, small_batches, text_bytes, word_bounds
+from veilspark.llm.util import PrefixHash, chunked, lean, materialize, mix64, new_path, open_uri, rename_uri, shuffle_parts, small_batches, text_bytes, word_bounds
 
 ORDER = 5
 BAND = 8.0
@@ -35,7 +35,9 @@ LEAST_WIDTH = 0.2  # in nats of log perplexity, on either side of the median
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of words
 #: A task hands on its counts beyond so many distinct grams.
-FLUSH = 2_000_000
+FLUSH = 400_000
+#: Bytes of text scored at a time; look-ups take some hundred bytes each.
+SCORE_BYTES = 1 << 18
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _HASH = PrefixHash(5)
@@ -65,7 +67,7 @@ def _count(languages_at: int, text_at: int):
         for batch in batches:
             buf, off = text_bytes(batch.column(text_at))
             names = np.array([x or "" for x in batch.column(languages_at).to_pylist()], object)
-            for lo, hi in chunked(off, 16 << 20):
+            for lo, hi in chunked(off):
                 code = grams(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 owner = np.repeat(np.arange(lo, hi), np.diff(off[lo : hi + 1]))
                 for lang in sorted(set(names[lo:hi])):
@@ -86,9 +88,9 @@ def _count(languages_at: int, text_at: int):
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram (packed bytes), c: over every byte of every text."""
-    small_batches(docs.sparkSession, 4000)
+    small_batches(docs.sparkSession)
     told = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").where(F.length("text") > 0)
-    return told.mapInArrow(_count(0, 1), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return told.mapInArrow(lean(_count(0, 1)), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: dict[int, int]) -> tuple[float, float, float]:
@@ -155,8 +157,8 @@ def build(docs: DataFrame) -> tuple[str, list[str]]:
             rename_uri(name + ".open", name + ".kn")
             yield pa.RecordBatch.from_pydict({"path": [name + ".kn"], "first": pa.array([int(h[order][0] >> np.uint64(1))], pa.int64())})
 
-    sharded = entries.mapInArrow(hashed, "h long, value float").repartition(shuffle_parts(spark), F.shiftrightunsigned("h", 40))
-    files = materialize(sharded.mapInArrow(store, "path string, first long"), "kneser-ney-files")
+    sharded = entries.mapInArrow(lean(hashed), "h long, value float").repartition(shuffle_parts(spark), F.shiftrightunsigned("h", 40))
+    files = materialize(sharded.mapInArrow(lean(store), "path string, first long"), "kneser-ney-files")
     return ",".join(r.path for r in files.orderBy("path").collect()), languages
 
 
@@ -269,7 +271,7 @@ def score(docs: DataFrame, model: tuple[str, list[str]]) -> DataFrame:
             buf, off = text_bytes(batch.column(2))
             names = np.array([x or "" for x in batch.column(1).to_pylist()], object)
             cols, ppl = {k: [] for k in COUNTS}, []
-            for lo, hi in chunked(off):
+            for lo, hi in chunked(off, SCORE_BYTES):
                 part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 for k, v in rule_counts(part, o).items():
                     cols[k].append(v)
@@ -283,7 +285,7 @@ def score(docs: DataFrame, model: tuple[str, list[str]]) -> DataFrame:
                 ppl = np.concatenate(ppl)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.concatenate(cols[k]).astype(np.int64)) for k in COUNTS), pa.array(ppl, mask=np.diff(off) == 0)], ["doc_id", "lang", *COUNTS, "log_perplexity"])
 
-    out = docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id long, lang string, {', '.join(f'{k} long' for k in COUNTS)}, log_perplexity double")
+    out = docs.select("doc_id", "lang", "text").mapInArrow(lean(run), f"doc_id long, lang string, {', '.join(f'{k} long' for k in COUNTS)}, log_perplexity double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
