@@ -10,7 +10,8 @@ the set and its size). Then candidates come in two ways:
 
 The boundary is the largest size at which enumerating costs less than scanning lists, whose mean length comes from a
 count sketch of all shingles. The sketch has a fixed size (2 MB) whatever the corpus; it also gives the order. Any order is
-exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity sketch of each set (256 bytes).
+exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity
+sketch of each set: 64 bytes of it stand in the lists, 256 are compared before any text travels.
 
 No group is expanded into all its pairs. Round one verifies every set against one pivot of its lists, and
 links are contracted to components; round two takes only pairs of a list that are still in different
@@ -44,6 +45,7 @@ MOST_LIGHT = 14
 PIVOT_SPLIT = 2000
 CHUNK = 400
 PARITY_BITS = 2048
+FOLD_BITS = 512
 _WORDS = PrefixHash(29)
 
 
@@ -85,6 +87,11 @@ def parity(unique: np.ndarray) -> bytes:
     return np.packbits((np.bincount((unique & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
 
 
+def folded(cells: bytes) -> bytes:
+    """The parity in ``FOLD_BITS`` cells, from the larger one."""
+    return np.bitwise_xor.reduce(np.frombuffer(cells, np.uint8).reshape(-1, FOLD_BITS // 8), axis=0).tobytes()
+
+
 def need(a: int, b: int) -> int:
     """Smallest intersection that links sets of these sizes: DEN * x >= NUM * (a + b - x)."""
     return -(-NUM * (a + b) // (NUM + DEN))
@@ -110,7 +117,7 @@ def boundary(sketch: np.ndarray) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of each set; at the end this task's sketch in parts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("fold", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         buf, off = text_bytes(batch.column(1))
@@ -123,11 +130,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u = np.unique(h[first[i] : first[i + 1]])
                     n[lo + i], key[lo + i], cells[lo + i] = len(u), set_key(u), parity(u)
         none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(cells, pa.binary()), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(cells, pa.binary()), pa.array([c and folded(c) for c in cells], pa.binary()), *none], schema=schema)
     if sketch.any():
         pieces = np.split(np.minimum(sketch, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
         k = len(pieces)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +147,14 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, key, parity of every document, and the summed sketch."""
+    """doc_id, n, key, parity, fold of every document, and the summed sketch."""
     small_batches(docs.sparkSession)
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(lean(_describe), "doc_id long, n long, key long, parity binary, part int, sketch binary"), "sets")
+    rows = materialize(docs.select("doc_id", "text").mapInArrow(lean(_describe), "doc_id long, n long, key long, parity binary, fold binary, part int, sketch binary"), "sets")
     parts = rows.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_add_sketches), "part int, sketch binary").collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in parts:  # of fixed size
         sketch[r.part] = np.frombuffer(r.sketch, np.int64)
-    return rows.where(F.col("part").isNull()).select("doc_id", "n", "key", "parity"), sketch.ravel()
+    return rows.where(F.col("part").isNull()).select("doc_id", "n", "key", "parity", "fold"), sketch.ravel()
 
 
 def classes_of(sketch: np.ndarray) -> np.ndarray:
@@ -234,7 +241,7 @@ def _lists(light: int):
     return run
 
 
-def _cross_pairs(light: int, most: int = 1 << 21):
+def _cross_pairs(light: int, most: int = 1 << 18):
     """Pairs within a list that are in different components and may link by size and position."""
 
     def pairs(t: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -263,6 +270,8 @@ def _cross_pairs(light: int, most: int = 1 << 21):
             least = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
             fits = (np.minimum(n[i] - t["pos"][i], n[j] - t["pos"][j]) >= least) & (n[j] > light)  # two light sets meet by their subsets
             fits |= subset[i]
+            # sets that link differ in few cells of their parities
+            fits[fits] = np.bitwise_count(t["fold"][i[fits]] ^ t["fold"][j[fits]]).sum(1) <= (n[i] + n[j] - 2 * least)[fits]
             x, y = t["key"][i[fits]], t["key"][j[fits]]
             if len(x):
                 both = np.empty(len(x), [("a", np.int64), ("b", np.int64)])
@@ -276,9 +285,11 @@ def _cross_pairs(light: int, most: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            t = np.zeros(b.num_rows, [("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32), ("comp", np.int64)])
-            for i, f in enumerate(t.dtype.names):
+            t = np.zeros(b.num_rows, [("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32), ("comp", np.int64), ("fold", np.uint64, FOLD_BITS // 64)])
+            for i, f in enumerate(t.dtype.names[:-1]):
                 t[f] = b.column(i).to_numpy()
+            if b.num_rows:
+                t["fold"] = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(b.num_rows, -1)
             held = t if held is None else np.concatenate([held, t])
             cut = int(np.searchsorted(held["token"], held["token"][-1])) if len(held) else 0
             if cut:
@@ -422,7 +433,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     light = boundary(sketch)
     classes = spark.sparkContext.broadcast(classes_of(sketch))
     small_batches(spark)
-    reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity")), "reps")
+    reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("fold").alias("fold")), "reps")
     n = shuffle_parts(spark)
     made = docs.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light)), "token long, key long, n int, pos int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
@@ -436,8 +447,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     links = materialize(verify_stars(star, texts_of(both_ends(star), docs, reps)), "links")
     comps = components(links)
     # round two: members of contracted groups share a label; what has none is a component of its own
-    tagged = lists.select("token", "key", "n", "pos").join(comps, "key", "left").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    tagged = lists.select("token", "key", "n", "pos").join(comps, "key", "left").join(reps.select("key", "fold"), "key").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"), "fold")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     cross = tagged.repartition(n, "token").sortWithinPartitions("token", "pos").mapInArrow(lean(_cross_pairs(light)), "a long, b long").distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = materialize(near_pairs(cross.join(tested, ["a", "b"], "left_anti"), reps), "cross")
