@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -166,6 +167,38 @@ def test_op10_counts_and_bands(corpus):
     assert sum(r.kept for r in got) > 0
 
 
+def test_op10_rejects_at_both_ends(spark):
+    rng = random.Random(11)
+    syllables = ("ba", "ce", "di", "fo", "gu", "lan", "mer", "nis", "tor", "vul")
+    words = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(2, 3))) for _ in range(600)})
+    after = {w: rng.sample(words, 8) for w in words}  # prose: each word has eight successors
+
+    def prose(n):
+        out = [rng.choice(words)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return " ".join(out)
+
+    def shuffled(n):
+        out = prose(n).split()
+        rng.shuffle(out)
+        return " ".join(out)
+
+    boilerplate = prose(150)
+    rows = [("clean", prose(rng.randint(60, 500))) for _ in range(300)]
+    rows += [("part", f"{prose(300)}\n{boilerplate}") for _ in range(60)]
+    rows += [("shuffled", shuffled(300)) for _ in range(10)]
+    rows += [("letters", " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8))) for _ in range(200))) for _ in range(10)]
+    rows += [("boilerplate", f"{boilerplate}\n{i}") for i in range(10)]
+    docs = spark.createDataFrame([(i, "en", t) for i, (_, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    got, kinds = rows_of(quality_rules.op10(docs)), [k for k, _ in rows]
+    assert not any(r.base_failed for r in got)
+    share = collections.Counter(kinds[r.doc_id] for r in got if r.kept)
+    assert share["clean"] >= 290 and share["shuffled"] + share["letters"] + share["boilerplate"] == 0, share
+    for kind, high in (("shuffled", True), ("letters", True), ("boilerplate", False)):
+        assert all(r.log_perplexity > r.high if high else r.log_perplexity < r.low for r in got if kinds[r.doc_id] == kind)
+
+
 def test_op10_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(1, "en", "abracadabra " * 9), (2, "en", "a cab and a crab"), (3, None, "zz")], "doc_id long, lang string, text string")
     model = quality_rules.KneserNey(*quality_rules.build(docs))

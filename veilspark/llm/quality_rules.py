@@ -11,11 +11,16 @@ it goes to the driver but the counts of counts. The finished entries are hashed,
 plain arrays, range-partitioned, in the shared folder. A worker reads them once and looks a gram up by the
 top bits of its hash and a short scan.
 
-Each language has its own band of log perplexity, ``BAND`` robust deviations about its median, from a histogram over all
-documents that pass the rules; documents outside either end are rejected.
+No document is judged by its own counts: a hash of the text puts it into one of two halves, each half of a language has a
+model, and a document is scored by that of the other half. Equal texts are in one half.
 
-Defined cases: null text = empty (no words, fails the rules, perplexity null); null lang is a language of its own; languages
-whose deviation is 0 have the least width ``LEAST_WIDTH``; repeated rows repeat; extra columns are ignored.
+Each model has its own band of log perplexity about the median of what it scores and what passes the rules. The mean over n bytes
+strays as 1 / sqrt(n), so the band of a text of n bytes is ``BAND`` robust deviations of (log perplexity - median) * sqrt(n)
+wide on either side, divided by sqrt(n). Both come from histograms; documents outside either end are rejected.
+
+Defined cases: null text = empty (no words, fails the rules, perplexity null); null lang is a language of its own; models
+whose deviation is 0 have the width ``LEAST_WIDTH`` (so has a language with texts in one half only: nothing is known of it);
+repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import functions as F
 from veilspark.llm.util import PrefixHash, chunked, lean, materialize, mix64, new_path, open_uri, rename_uri, shuffle_parts, small_batches, text_bytes, word_bounds
 
 ORDER = 5
-BAND = 8.0
-LEAST_WIDTH = 0.2  # in nats of log perplexity, on either side of the median
+BAND = 4.0
+LEAST_WIDTH = 0.2  # in nats of log perplexity, on either side of the median, where the deviation is 0
 MIN_WORDS = 50
 MAX_REPEAT = 50  # per cent of words
 #: A task hands on its counts beyond so many distinct grams.
@@ -260,8 +265,14 @@ def rule_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def folded(docs: DataFrame, other: bool) -> DataFrame:
+    """``docs`` with ``model``: language and half of the row, or the ``other`` half. Equal texts are in one half."""
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    return docs.withColumn("model", F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), (1 - half if other else half).cast("string")))
+
+
 def score(docs: DataFrame, model: tuple[str, list[str]]) -> DataFrame:
-    """doc_id, lang, the rule counts, base_failed, log_perplexity (of a byte; null without text)."""
+    """doc_id, lang, the rule counts, base_failed, log_perplexity (of a byte, by the model of the other half; null without text)."""
     small_batches(docs.sparkSession)
     paths, languages = model
 
@@ -269,7 +280,7 @@ def score(docs: DataFrame, model: tuple[str, list[str]]) -> DataFrame:
         kn = KneserNey.open(paths, languages)
         for batch in batches:
             buf, off = text_bytes(batch.column(2))
-            names = np.array([x or "" for x in batch.column(1).to_pylist()], object)
+            names = np.array(batch.column(3).to_pylist(), object)
             cols, ppl = {k: [] for k in COUNTS}, []
             for lo, hi in chunked(off, SCORE_BYTES):
                 part, o = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
@@ -283,34 +294,43 @@ def score(docs: DataFrame, model: tuple[str, list[str]]) -> DataFrame:
                 ppl.append(-np.bincount(owner, logp, minlength=hi - lo) / np.maximum(1, np.diff(o)))
             if batch.num_rows:
                 ppl = np.concatenate(ppl)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.concatenate(cols[k]).astype(np.int64)) for k in COUNTS), pa.array(ppl, mask=np.diff(off) == 0)], ["doc_id", "lang", *COUNTS, "log_perplexity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.concatenate(cols[k]).astype(np.int64)) for k in COUNTS), pa.array(ppl, mask=np.diff(off) == 0), pa.array(np.diff(off)), batch.column(3)], ["doc_id", "lang", *COUNTS, "log_perplexity", "n_bytes", "model"])
 
-    out = docs.select("doc_id", "lang", "text").mapInArrow(lean(run), f"doc_id long, lang string, {', '.join(f'{k} long' for k in COUNTS)}, log_perplexity double")
+    out = folded(docs, other=True).select("doc_id", "lang", "text", "model").mapInArrow(lean(run), f"doc_id long, lang string, {', '.join(f'{k} long' for k in COUNTS)}, log_perplexity double, n_bytes long, model string")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def bands(scored: DataFrame, width: float = BAND, least: float = LEAST_WIDTH) -> DataFrame:
-    """lang, low, high of log perplexity: from a histogram of 0.001 nats a bin, at most some thousand bins a language."""
+def _middles(bins: DataFrame) -> dict[str, int]:
+    """The median bin of each model from rows of model and bin."""
+    rows, out = bins.groupBy("model", "bin").count().collect(), {}
+    for model in sorted({r.model for r in rows}):
+        b = np.array(sorted((r.bin, r["count"]) for r in rows if r.model == model))
+        out[model] = int(b[np.searchsorted(np.cumsum(b[:, 1]), b[:, 1].sum() / 2), 0])
+    return out
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """band_model, median, deviation (of a text of one byte): from histograms, at most some thousand bins a model."""
+    spark = scored.sparkSession
     passed = scored.where(~F.col("base_failed") & F.col("log_perplexity").isNotNull())
-    rows = passed.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.round(F.col("log_perplexity") * 1000).cast("int").alias("bin")).count().collect()
-    out = []
-    for lang in sorted({r.lang for r in rows}):
-        b = np.array(sorted((r.bin, r["count"]) for r in rows if r.lang == lang))
-        median = b[np.searchsorted(np.cumsum(b[:, 1]), b[:, 1].sum() / 2), 0]
-        away = np.abs(b[:, 0] - median)
-        order = np.argsort(away, kind="stable")
-        mad = away[order][np.searchsorted(np.cumsum(b[order, 1]), b[:, 1].sum() / 2)] / 1000 * 1.4826
-        reach = max(width * mad, least)
-        out.append((lang, float(median / 1000 - reach), float(median / 1000 + reach)))
-    return scored.sparkSession.createDataFrame(out, "band_lang string, low double, high double")
+    median = {m: x / 1000 for m, x in _middles(passed.select("model", F.round(F.col("log_perplexity") * 1000).cast("int").alias("bin"))).items()}
+    about = F.broadcast(spark.createDataFrame(list(median.items()), "model string, median double"))  # one row a model
+    strays = F.abs(F.col("log_perplexity") - F.col("median")) * F.sqrt("n_bytes")
+    # steps of a hundredth part; what lies within the rounding of the median counts as no deviation
+    bins = F.when(strays > 0.001 * F.sqrt("n_bytes"), F.round(F.log(strays) * 100).cast("int")).otherwise(-10_000)
+    away = _middles(passed.join(about, "model").select("model", bins.alias("bin")))
+    rows = [(m, median[m], 1.4826 * float(np.exp(away[m] / 100)) if away[m] > -10_000 else 0.0) for m in sorted(median)]
+    return spark.createDataFrame(rows, "band_model string, median double, deviation double")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Rule counts, perplexity, the language's band, and ``kept``."""
-    scored = materialize(score(docs, build(docs)), "scored")
-    limits = F.broadcast(bands(scored))  # one row a language
-    judged = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
+    model = build(folded(docs, other=False).select(F.col("model").alias("lang"), "text"))
+    scored = materialize(score(docs, model), "scored")
+    limits = F.broadcast(bands(scored))  # one row a model
+    reach = F.when(F.col("deviation") > 0, BAND * F.col("deviation") / F.sqrt(F.greatest("n_bytes", F.lit(1)))).otherwise(LEAST_WIDTH)
+    judged = scored.join(limits, F.col("model") == F.col("band_model"), "left").withColumns({"low": F.col("median") - reach, "high": F.col("median") + reach})
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & inside)
 
