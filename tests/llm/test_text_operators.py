@@ -225,6 +225,15 @@ def test_op3_finds_renumbered_questions(spark):
         assert kept.where("doc_id is null").count() == 7 - len(bad)
 
 
+def test_op3_finds_copies_in_other_letter_case(spark):
+    item = "A train leaves Turin at 10 km per hour and Mario counts 25 wagons while Anna waits at the old station for 3 hours."
+    german = "Der Zug aus Turin bringt 25 Wagen mit Kohle und Holz in die Stadt, wo Anna am alten Bahnhof mit Kindern und Hunden wartet."
+    texts = [item.upper(), item.lower(), german.upper(), f"Davor. {german.lower()} Danach.", "the train and the station of another town are old and nobody waits for it there"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, german)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in rows_of(decontamination.op3(docs, bench))} == {(0, 7), (1, 7), (2, 8), (3, 8)}
+
+
 def test_op6_meets_targets(corpus):
     got = rows_of(cube_mixing.op6(corpus))
     again = rows_of(cube_mixing.op6(corpus))

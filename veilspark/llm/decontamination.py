@@ -1,8 +1,8 @@
 """Operator 3: benchmark decontamination by template canonicalisation.
 
 Text becomes typed tokens: numbers (``<num>``), units behind a number (``<unit>``), names, that is capitalised words within a
-sentence (``<name>``), and plain words in lower case without punctuation. Windows of ``WINDOW`` typed tokens are hashed
-and joined with those of the benchmark items, so a question asked again with other numbers, names or
+sentence (``<name>``), and plain words in lower case without punctuation. Windows of ``WINDOW`` typed tokens, and the same
+windows with names as plain words (so that a copy in other letter case is found), are hashed and joined with those of the benchmark items, so a question asked again with other numbers, names or
 units gives the same windows. Slots then have to agree: along one alignment of document and item, equal slot
 values of the item must stay equal in the document, and different ones different, for at least ``CONSISTENT``
 of the slots. An item leaks into a document if aligned windows cover ``COVERAGE`` of its windows.
@@ -114,6 +114,15 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return kind, exact, row
 
 
+def untyped_names(kind: np.ndarray, exact: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`window_hashes` of the windows that hold a name, with names as plain words; the others hash as before."""
+    name = kind == NAME
+    held = np.concatenate([[0], np.cumsum(name)])
+    h, at = window_hashes(np.where(name, exact, kind), row, width)
+    own = held[at + width] > held[at]
+    return h[own], at[own]
+
+
 def window_hashes(kind: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each window of ``width`` tokens within a row, and its first token."""
     m = len(kind) - width + 1
@@ -138,10 +147,10 @@ class Templates:
         self.size = size
         hashes, places = [], []
         for width in sorted({min(window, int(x)) for x in size if x}):
-            h, at = window_hashes(kind, row, width)
-            own = np.minimum(window, size[row[at]]) == width
-            hashes.append(h[own])
-            places.append(at[own])
+            for h, at in (window_hashes(kind, row, width), untyped_names(kind, exact, row, width)):
+                own = np.minimum(window, size[row[at]]) == width
+                hashes.append(h[own])
+                places.append(at[own])
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         places = np.concatenate(places) if places else np.zeros(0, np.int64)
         order = np.argsort(self.hashes, kind="stable")
@@ -156,7 +165,7 @@ class Templates:
         kind, exact, row = tokens(buf, off)
         docs, items, shifts, offsets = [], [], [], []
         for width in self.widths:
-            h, at = window_hashes(kind, row, width)
+            h, at = (np.concatenate(x) for x in zip(window_hashes(kind, row, width), untyped_names(kind, exact, row, width)))
             hit = np.flatnonzero(_is_in(h, self.hashes))
             if not len(hit):
                 continue
@@ -173,6 +182,10 @@ class Templates:
         # alignments: the same item at nearly the same shift; insertions and deletions move it by a few tokens
         order = np.lexsort((offsets, shifts, items, docs))
         docs, items, shifts, offsets = docs[order], items[order], shifts[order], offsets[order]
+        # a window that hits in both typings is one
+        once = np.ones(len(docs), bool)
+        once[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (shifts[1:] != shifts[:-1]) | (offsets[1:] != offsets[:-1])
+        docs, items, shifts, offsets = docs[once], items[once], shifts[once], offsets[once]
         new = np.ones(len(docs), bool)
         new[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (shifts[1:] - shifts[:-1] > 3)
         group = np.cumsum(new) - 1
