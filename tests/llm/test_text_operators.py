@@ -234,6 +234,19 @@ def test_op3_finds_copies_in_other_letter_case(spark):
     assert {(r.doc_id, r.item_id) for r in rows_of(decontamination.op3(docs, bench))} == {(0, 7), (1, 7), (2, 8), (3, 8)}
 
 
+def test_op3_finds_runs_of_slots(spark):
+    ten = "Continue the sequence of numbers 2 3 5 7 11 13 17 19 23 29 and say which rule the next one follows."
+    seven = "The results of the week were 12 15 11 19 14 18 13 as the old clerk wrote them down in the book."
+    bare = "41 7 93 12 58 6 77 31 20 85"
+    texts = [f"Before. {ten} After.", seven, seven.replace("19", "90").replace("12", "21"), f"Row {bare} end", "Row 5 6 8 9 10 21 22 24 25 26 27 28 end"]
+    texts.append(ten.replace(" 11", " 11 12"))  # one number more
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ten), (2, seven), (3, bare)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in rows_of(decontamination.op3(docs, bench))}
+    assert set(got) == {(0, 1), (1, 2), (2, 2), (3, 3), (5, 1)}
+    assert got[0, 1].slot_consistency == got[1, 2].slot_consistency == 1.0 and got[0, 1].matched_windows == got[0, 1].item_windows
+
+
 def test_op6_meets_targets(corpus):
     got = rows_of(cube_mixing.op6(corpus))
     again = rows_of(cube_mixing.op6(corpus))

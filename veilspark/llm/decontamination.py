@@ -3,7 +3,9 @@
 Text becomes typed tokens: numbers (``<num>``), units behind a number (``<unit>``), names, that is capitalised words within a
 sentence (``<name>``), and plain words in lower case without punctuation. Windows of ``WINDOW`` typed tokens, and the same
 windows with names as plain words (so that a copy in other letter case is found), are hashed and joined with those of the benchmark items, so a question asked again with other numbers, names or
-units gives the same windows. Slots then have to agree: along one alignment of document and item, equal slot
+units gives the same windows. One monotone alignment of document and item is chosen, the one that covers most windows with
+fewest changes of shift, equal tokens first. An alignment of nothing but slots is held against the exact tokens, as any
+numbers in a row would fit it. Slots then have to agree: along the alignment, equal slot
 values of the item must stay equal in the document, and different ones different, for at least ``CONSISTENT``
 of the slots. An item leaks into a document if aligned windows cover ``COVERAGE`` of its windows.
 
@@ -29,6 +31,8 @@ from veilspark.llm.util import PrefixHash, ascii_lower, chunked, lean, mix64, sm
 WINDOW = 6
 COVERAGE = 0.5
 CONSISTENT = 0.8
+#: What a change of shift costs an alignment, in windows.
+SWITCH = 0.75
 BLOCK_WINDOWS = 1 << 20
 #: Units that count as such behind a number.
 UNITS = (
@@ -193,24 +197,66 @@ class Templates:
         starts = np.flatnonzero(new)
         count = np.diff(np.append(starts, len(docs)))
         for a, c in zip(starts[count >= coverage * self.windows[items[starts]] - 1e-9], count[count >= coverage * self.windows[items[starts]] - 1e-9]):
-            part = slice(a, a + c)
-            covered = len(np.unique(offsets[part]))
             d, i = int(docs[a]), int(items[a])
+            if len(np.unique(offsets[a : a + c])) < coverage * self.windows[i] - 1e-9:
+                continue
+            here, there, covered = self.alignment(i, shifts[a : a + c], offsets[a : a + c], exact)
             if covered < coverage * self.windows[i] - 1e-9:
                 continue
-            share = self.slot_share(i, shifts[part], offsets[part], kind, exact)
+            share = self.slot_share(here, there, exact)
             if share >= consistent and (covered, share) > best.get((d, i), (0, 0.0)):
                 best[d, i] = covered, share
         del group
         return [(d, i, c, int(self.windows[i]), s) for (d, i), (c, s) in sorted(best.items())]
 
-    def slot_share(self, item: int, shifts: np.ndarray, offsets: np.ndarray, kind: np.ndarray, exact: np.ndarray) -> float:
-        """Share of slots whose filling follows a one-to-one renaming of the item's."""
+    def alignment(self, item: int, shifts: np.ndarray, offsets: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Aligned tokens of item and document, each at most once and both in order, and the number of windows aligned."""
         width = min(self.window, int(self.size[item]))
-        there = (shifts + offsets)[:, None] + np.arange(width)
+        order = np.lexsort((shifts, offsets))
+        shifts, offsets = shifts[order], offsets[order]
         here = self.first[item] + offsets[:, None] + np.arange(width)
+        equal = self.exact[here] == exact[(shifts + offsets)[:, None] + np.arange(width)]
+        # equal tokens decide among as many windows
+        gain = 1 + equal.mean(1) / 2
+        place, at = np.unique(shifts + offsets, return_inverse=True)
+        kinds, lane = np.unique(shifts, return_inverse=True)
+        back = np.full(len(shifts), -1)
+        top, top_of = np.zeros(len(place) + 1), np.full(len(place) + 1, -1)
+        last, last_of = np.zeros(len(kinds)), np.full(len(kinds), -1)
+        cuts = np.append(np.flatnonzero(np.diff(offsets, prepend=-1)), len(offsets))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            p, k = at[lo:hi], lane[lo:hi]
+            # the best chain that ends before each place
+            upto = np.maximum.accumulate(top)
+            which = np.maximum.accumulate(np.where(top >= upto, np.arange(len(top)), 0))
+            moved, stayed = upto[p] - SWITCH, last[k]
+            stay = stayed >= moved
+            base = np.where(stay, stayed, moved)
+            back[lo:hi] = np.where(base > 0, np.where(stay, last_of[k], top_of[which[p]]), -1)
+            score = gain[lo:hi] + np.maximum(base, 0)
+            last[k], last_of[k] = score, np.arange(lo, hi)
+            better = score > top[p + 1]
+            top[p[better] + 1], top_of[p[better] + 1] = score[better], np.arange(lo, hi)[better]
+        x, chain = int(top_of[np.argmax(top)]), []
+        while x >= 0:
+            chain.append(x)
+            x = int(back[x])
+        chain = np.array(chain[::-1])
+        if (self.kind[here[chain]] <= UNIT).all():
+            chain = chain[equal[chain].all(1)]
+        pairs: list[tuple[int, int]] = []
+        for x in chain.tolist():
+            for h in here[x].tolist():
+                t = h - int(self.first[item]) + int(shifts[x])
+                if not pairs or (h > pairs[-1][0] and t > pairs[-1][1]):
+                    pairs.append((h, t))
+        aligned = np.array(pairs, np.int64).reshape(-1, 2)
+        return aligned[:, 0], aligned[:, 1], len(chain)
+
+    def slot_share(self, here: np.ndarray, there: np.ndarray, exact: np.ndarray) -> float:
+        """Share of slots whose filling follows a one-to-one renaming of the item's."""
         slot = self.kind[here] <= UNIT
-        pairs = set(zip(here[slot].tolist(), there[slot].tolist()))
+        pairs = list(zip(here[slot].tolist(), there[slot].tolist()))
         if not pairs:
             return 1.0
         votes: dict[tuple[int, int], int] = {}
