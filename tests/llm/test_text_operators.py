@@ -143,6 +143,15 @@ def test_op4_spans_and_scores(spark):
     assert masked[1].startswith("🙂 mail [email], server [ip] or 10.0.0.256; card [card] call [phone]") and masked[2] is None
 
 
+def test_op4_cuts_ibans_to_their_length(spark):
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    cases = [(f"{gb} BIC ABCD", [gb]), ("GB82WEST12345698765432 20 EUR", ["GB82WEST12345698765432"]), (f"{de} IBAN", [de]), (f"{gb} {de} EUR", [gb, de]), (f"IT12 {de} X", [de]), (f"AB12 {gb}", [gb]), (f"GB82 WEST 1234 5698 7654 33 {de}", [de]), (f"{gb}A", []), ("AB12 CD", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in rows_of(pii_spans.find_pii(df)):
+        text, want = cases[r.doc_id]
+        assert [(s.start, s.end, s.value) for s in r.pii_iban] == [(text.index(v), text.index(v) + len(v), v) for v in want]
+
+
 def brute_rules(t):
     t = t or ""
     w, seen, dup = WORD.findall(t), set(), 0

@@ -8,7 +8,8 @@ row: no shuffle, no Python worker. Offsets are recovered by zipping ``regexp_ext
 
 The patterns are the contract's with possessive quantifiers, and with a look-behind where a failed
 start inside a run of characters could only fail again; matches are the same and matching stays linear in very long
-runs. ``\\G`` lets a match begin right behind the one before it.
+runs. IBANs are tried at every head, as one may stand behind or inside a candidate that fails; a candidate is cut to its
+country's length, and one of a country without a known length reaches as far as the pattern does. ``\\G`` lets a match begin right behind the one before it.
 
 Defined cases: null text = no spans (counts 0, hash of the empty string); repeated rows repeat; other columns are ignored.
 """
@@ -20,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions import fixed
+
 CONTEXT_CHARS = 40
 
 
@@ -34,12 +37,14 @@ class Kind:
 
 
 CONTEXT_BONUS = 15
+#: Where an IBAN may begin; :func:`ibans` finds its end.
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])"
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 80, "mail|contact|write|kontakt|correo"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 60, "address|server|host|client|adresse"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 70, "card|visa|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 50, "phone|call|mobile|fax|telef"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "", 85, "iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", IBAN_HEAD, "", 85, "iban|bank|account|konto|compte|cuenta", base=False),
 )
 
 
@@ -59,6 +64,33 @@ def proposals(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
+def _iban_whole() -> str:
+    by_length: dict[int, list[str]] = {}
+    for country, n in sorted(fixed.IBAN_LENGTHS.items()):
+        by_length.setdefault(n, []).append(country)
+    arms = [rf"(?:{'|'.join(c)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in sorted(by_length.items())]
+    arms.append(rf"(?!{'|'.join(sorted(fixed.IBAN_LENGTHS))})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}")
+    return rf"^(?:{'|'.join(arms)})(?![A-Za-z0-9])"
+
+
+IBAN_WHOLE = _iban_whole()
+#: An IBAN of 34 characters with a blank before each, and what may not follow.
+IBAN_REACH = 70
+
+
+def ibans(text: Column) -> Column:
+    """Valid IBANs from left to right without overlaps."""
+
+    def candidate(s: Column) -> Column:
+        value = F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(IBAN_REACH)), IBAN_WHOLE, 0)
+        return F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end"), value.alias("value"))
+
+    tried = F.filter(F.transform(proposals(text, IBAN_HEAD), candidate), lambda s: (s["value"] != "") & valid("iban", s["value"]))
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    step = lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a)
+    return F.aggregate(tried, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -92,7 +124,7 @@ def valid(kind: str, value: Column) -> Column:
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind with their scores in hundredths."""
-    confirmed = F.filter(proposals(text, kind.pattern), lambda s: valid(kind.name, s["value"]))
+    confirmed = ibans(text) if kind.name == "iban" else F.filter(proposals(text, kind.pattern), lambda s: valid(kind.name, s["value"]))
 
     def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
