@@ -110,6 +110,15 @@ def test_op7_keep_one(corpus):
     assert sorted(r.doc_id for r in rows_of(kept)) == sorted(i for i, (_, c) in want.items() if c == i)
 
 
+def test_op7_keep_one_judges_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w30", "changed")
+    clean, lone, nameless = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(5, text), (5, text), (None, text), (7, near), (7, clean), (8, lone), (None, nameless), (None, nameless), (None, None), (None, "")]
+    got = sorted(((r.doc_id, r.text) for r in rows_of(jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")))), key=str)
+    assert got == sorted([(5, text), (7, clean), (8, lone), (None, nameless), (None, None), (None, "")], key=str)
+
+
 def test_op5_drops_recurring_templates(spark):
     texts = [f"Title number {i}\nShared header line of the site\nown words {'abcdefgh'[i]} {'ijklmnop'[i]} here {'qrstuvwx'[i]}\n\nPosted by user{i} on day {i}" for i in range(5)]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(9, None, "x"), (10, "", "x")], "doc_id long, text string, n_lines string")

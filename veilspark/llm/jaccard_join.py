@@ -463,9 +463,16 @@ def cluster(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the members of each class but its smallest doc_id; rows of empty sets all stay."""
-    spare = cluster(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("spare_id")).distinct()
-    return docs.join(spare, docs["doc_id"] == spare["spare_id"], "left_anti")
+    """One row of each class: that of the smallest doc_id, null last, and among equal ids any one; rows of empty sets all stay.
+
+    Classes and choice are of rows, not of ids: each row gets a number of its own, written so that it stays the same.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = materialize(cluster(rows.select(F.col("__row").alias("doc_id"), "text")), "classes").select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")
+    firsts = found.where(F.col("n_shingles") > 0).join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
+    stay = firsts.select(F.col("first.__row").alias("__row")).unionByName(found.where(F.col("n_shingles") == 0).select("__row"))
+    return rows.join(stay, "__row", "left_semi").drop("__row")
 
 
 def op7(docs: DataFrame) -> DataFrame:
