@@ -7,12 +7,17 @@ a token that fewer than ``MIN_DOCS`` (document, distinct line) pairs of the leaf
 template. Templates seen in at least ``MIN_DOCS`` documents recur: every line of theirs is dropped but the very
 first (smallest doc_id, then line number), so that no content is lost altogether.
 
-All of it is DataFrame operations. Only lines in leaves that ``MIN_DOCS`` documents reach travel with
-their text; counts are of distinct (leaf, line, document) rows, pre-aggregated before each shuffle, so a
-line that a third of all documents hold costs one row a document and is summed in partial aggregates.
+All of it is DataFrame operations. One pass over the texts writes a row for each line: its leaf, the hash of its masked
+form, and that form. What follows reads only the columns that it needs; masked lines travel only towards leaves that
+``MIN_DOCS`` documents reach. Counts are summed in partial aggregates before each shuffle, and both sides of every join with hot keys
+(a leaf, line or template that a third of all documents hold) are written tables or plain exchanges, so that adaptive
+execution can split such a key. A line is named by two hashes, of its leaf and of itself, 128 bits in all; a template likewise.
+
+A document is a row, not an id: where doc_ids repeat or are null, rows get numbers of their own.
 
 Defined cases: null text = no line, text stays null; blank lines belong to no template and always stay;
-empty text stays empty; repeated doc_ids are one document; null doc_id takes no part; other columns are kept.
+empty text stays empty; rows with equal doc_ids, with null doc_ids, and repeated rows are documents of their own, in the order of
+doc_id (null last), then text; other columns are kept, whatever their names, but for the two that are added.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import materialize
+from veilspark.llm.util import discard, fresh, materialize, numbered
 
 DEPTH = 3
 MIN_DOCS = 3
@@ -28,61 +33,74 @@ MIN_CONSTANT = 0.6
 VARIABLE = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line, joined by single spaces, those with a digit made variable."""
-    squeezed = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(squeezed.rlike("[0-9]"), F.regexp_replace(squeezed, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(squeezed)
+def masked(text: Column) -> Column:
+    """A text with its white space but line ends squeezed to single spaces, and tokens with a digit made variable.
+
+    Both patterns move forward only: a token is looked at from its start, once.
+    """
+    squeezed = F.regexp_replace(text, r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++", " ")
+    return F.regexp_replace(squeezed, r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+", VARIABLE)
+
 
+def lines_of(rows: DataFrame, key: str) -> DataFrame:
+    """row, line_no, leaf, line_id, line (masked) of every line with a token.
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line (masked), leaf of every line with a token."""
-    parts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    lines = parts.select("doc_id", "line_no", masked(F.col("raw")).alias("line")).where(F.col("line") != "")
-    tokens = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    return lines.select("doc_id", "line_no", "line", F.struct(tokens.alias("n"), F.substring_index("line", " ", DEPTH).alias("lead")).alias("leaf"))
+    The outer form of explode with a test behind it: for the plain form the optimiser would test the size of the split text first, and split twice.
+    """
+    parts = rows.select(F.col(key).alias("row"), F.posexplode_outer(F.split(masked(F.col("text")), "\n")).alias("line_no", "raw"))
+    lines = parts.select("row", "line_no", F.trim("raw").alias("line")).where(F.col("line") != "")
+    tokens = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    return lines.select("row", "line_no", F.xxhash64(tokens, F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("line_id"), "line")
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """Lines of recurring templates but the first of each: doc_id, line_no."""
-    lines = lines_of(docs)
-    reached = lines.select(F.xxhash64("leaf").alias("leaf_id"), "doc_id").distinct().groupBy("leaf_id").count().where(F.col("count") >= min_docs).select("leaf_id")
-    # doc_id and line_no of the lines in these leaves, one row for each; text goes on from here only
-    kept = lines.withColumn("leaf_id", F.xxhash64("leaf")).join(reached, "leaf_id").select("leaf_id", F.xxhash64("leaf", "line").alias("line_id"), "line", "doc_id", "line_no")
-    kept = materialize(kept, "lines")
-    per_doc = kept.groupBy("leaf_id", "line_id", "doc_id").agg(F.min("line_no").alias("line_no"))
-    distinct = per_doc.groupBy("leaf_id", "line_id").agg(F.count("*").alias("docs")).join(kept.groupBy("line_id").agg(F.min("line").alias("line")), "line_id")
-    tokens = distinct.select("leaf_id", "line_id", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    common = tokens.groupBy("leaf_id", "pos", "token").agg(F.sum("docs").alias("support")).where((F.col("support") >= min_docs) & (F.col("token") != VARIABLE)).drop("support")
+def recurring(rows: DataFrame, key: str, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
+    """Lines of recurring templates but the first of each: row, line_no. ``key`` numbers the rows; its order says which is first."""
+    lines = materialize(lines_of(rows, key), "lines")
+    reached = materialize(lines.select("leaf", "row").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    kept = materialize(lines.join(reached, "leaf").select("leaf", "line_id", "row", "line_no", "line"), "kept")
+    discard(lines, reached)
+    docs = kept.select("leaf", "line_id", "row").distinct().groupBy("leaf", "line_id").agg(F.count("*").alias("docs"))
+    distinct = materialize(docs.join(kept.groupBy("leaf", "line_id").agg(F.min("line").alias("line")), ["leaf", "line_id"]), "distinct-lines")
+    tokens = distinct.select("leaf", "line_id", "docs", F.posexplode_outer(F.split("line", " ")).alias("pos", "token"))
+    constant = (F.col("support") >= min_docs) & (F.col("token") != VARIABLE)
+    common = materialize(tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where(constant).select("leaf", "pos", "token", F.lit(1).alias("constant")), "constants")
     spelled = (
-        tokens.join(common.withColumn("constant", F.lit(1)), ["leaf_id", "pos", "token"], "left")
-        .groupBy("leaf_id", "line_id")
+        tokens.join(common, ["leaf", "pos", "token"], "left")
+        .groupBy("leaf", "line_id")
         .agg(
             F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("constant") == 1, F.col("token")).otherwise(VARIABLE).alias("token")))).alias("spelled"),
             F.count("constant").alias("constants"),
             F.count("*").alias("n"),
         )
         .where(F.col("constants") >= F.col("n") * F.lit(min_constant))
-        .select("line_id", F.xxhash64("leaf_id", F.array_join(F.col("spelled.token"), " ")).alias("template"))
+        .select("leaf", "line_id", F.xxhash64(F.array_join(F.col("spelled.token"), " ")).alias("template"))
     )
-    of_lines = kept.select("line_id", "doc_id", "line_no").join(spelled, "line_id")
-    stats = of_lines.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return (
-        of_lines.join(stats.where(F.col("docs") >= min_docs).select("template", F.col("first.doc_id").alias("d0"), F.col("first.line_no").alias("l0")), "template")
-        .where((F.col("doc_id") != F.col("d0")) | (F.col("line_no") != F.col("l0")))
-        .select("doc_id", "line_no")
-    )
-
-
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and ``n_lines``, ``n_dropped``."""
-    drops = recurring(docs, min_docs, min_constant).groupBy("doc_id").agg(F.collect_set("line_no").alias("dropped_lines"))
-    joined = docs.drop("n_lines", "n_dropped").join(drops, "doc_id", "left")
+    spelled = materialize(spelled, "spelled")
+    of_lines = materialize(kept.select("leaf", "line_id", "row", "line_no").join(spelled, ["leaf", "line_id"]).drop("line_id"), "spelled-lines")
+    per_row = of_lines.groupBy("leaf", "template", "row").agg(F.min("line_no").alias("line_no"))
+    stats = per_row.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(F.struct("row", "line_no")).alias("first")).where(F.col("docs") >= min_docs)
+    stats = materialize(stats.select("leaf", "template", F.col("first.row").alias("r0"), F.col("first.line_no").alias("l0")), "recurring")
+    discard(kept, distinct, common, spelled)
+    found = of_lines.join(stats, ["leaf", "template"])
+    return found.where((F.col("row") != F.col("r0")) | (F.col("line_no") != F.col("l0"))).select("row", "line_no")
+
+
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with recurring lines taken out of ``text``, and two columns: lines of a row, and lines dropped.
+
+    ``counts`` names these two; input columns of the same names are replaced.
+    """
+    columns = [c for c in docs.columns if c not in counts]
+    rows, key = numbered(docs)
+    gone = fresh(docs, "gone")
+    drops = recurring(rows.select(key, "text"), key, min_docs, min_constant).groupBy(F.col("row").alias(key)).agg(F.collect_set("line_no").alias(gone))
+    joined = rows.join(drops, key, "left")
     lines = F.split("text", "\n")
-    left = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("dropped_lines"), s["i"])), lambda s: s["x"]), "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     return joined.select(
-        *(F.when(F.col("dropped_lines").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in joined.columns if c != "dropped_lines"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("dropped_lines").isNull(), 0).otherwise(F.size("dropped_lines")).cast("long").alias("n_dropped"),
+        *(F.when(F.col(gone).isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(counts[1]),
     )
 
 

@@ -27,11 +27,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; set only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder for intermediate tables. A temporary one serves only a session of one machine that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veilspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -45,7 +45,36 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for ``tables``. Only for tables that every later result has a written copy of."""
+    for t in tables:
+        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with leading underscores where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells its rows apart, in the order of doc_id (null last), then text.
+
+    That is doc_id itself, unless some repeat or are null; then rows get the place in a global sort, written once.
+    """
+    if docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
+        return docs, "doc_id"
+    key, tie = fresh(docs, "row_number"), fresh(docs, "row_tie")
+    ordered = docs.withColumn(tie, F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "text", tie)
+    return materialize(ordered.drop(tie).withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def _store(uri: str) -> tuple[object | None, str]:
