@@ -1,7 +1,7 @@
 """Operator 7: exact n-gram Jaccard join by a size-aware heavy-light join, and its components.
 
-Sets are the distinct 5-word shingles of a document. Equal sets collapse first, to one key (64 bits of
-the set and its size). Then candidates come in two ways:
+Sets are the distinct 5-word shingles of a document. Equal sets collapse first, to one key: 64 bits of the set, told apart by 64
+more where two sets share them. Then candidates come in two ways:
 
 * light sets, of at most ``boundary`` shingles, enumerate their subsets of every size a partner could force
   (``ceil(0.8 n)`` to ``n``): two light sets link only if they share such a subset;
@@ -11,16 +11,19 @@ the set and its size). Then candidates come in two ways:
 The boundary is the largest size at which enumerating costs less than scanning lists, whose mean length comes from a
 count sketch of all shingles. The sketch has a fixed size (2 MB) whatever the corpus; it also gives the order. Any order is
 exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity
-sketch of each set: 64 bytes of it stand in the lists, 256 are compared before any text travels.
+sketch of each set: 64 bytes of it stand in the first scan of the lists, 256 in the later ones.
 
-No group is expanded into all its pairs. Round one verifies every set against one pivot of its lists, and
-links are contracted to components; round two takes only pairs of a list that are still in different
-components, and brings texts together by cells of such pairs. Verification compares whole shingle sets. All links matter only through the components
-(and the exact number of components' members); none between different texts is lost.
+No group is expanded into all its pairs. A scan of the lists gives, of the pairs in a list that may link and are in different
+components, a spanning forest: at most one pair less than the list has rows, however many pairs there are. These are
+verified on whole shingle sets, links are contracted to components, and the lists are scanned anew. When a scan brings no
+further link, or after ``FORESTS`` scans, a last one gives all pairs that are still open: pairs that may link, are in different components and
+have not been tested. So no link between different texts is lost, and what is tested pair by pair is what did not link at first.
+Sets that have no such pair in the first scan leave it at once.
 
 Defined cases: null, empty or blank text = empty set, linked with nothing; fewer than five words = one shingle, the whole
-sequence; equal sets link, also under repeated or null doc_ids; a set that only rows without doc_id have gets no other links;
-the component of a row is the smallest doc_id of its class, null only where all are null; extra columns are ignored.
+sequence; equal sets link, also under repeated or null doc_ids; rows, not ids, are linked, so rows that share a doc_id may be
+in different classes; the component of a row is the smallest doc_id of its class, null only where all are null; an empty set's is
+its own doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, ascii_lower, chunked, lean, materialize, mix64, ranges_concat, shuffle_parts, small_batches, text_bytes, word_bounds
+from veilspark.llm.util import PrefixHash, ascii_lower, chunked, discard, lean, materialize, mix64, numbered, ranges_concat, shuffle_parts, small_batches, text_bytes, word_bounds
 
 SHINGLE = 5
 #: The similarity as a fraction, so that comparisons stay in whole numbers.
@@ -42,8 +45,12 @@ NUM, DEN = 4, 5
 SKETCH_BITS = 19
 SKETCH_PARTS = 16
 MOST_LIGHT = 14
-PIVOT_SPLIT = 2000
-CHUNK = 400
+#: Pairs that are verified together against one text, about.
+PIVOT_SPLIT = 200
+#: Scans that give spanning forests, before the one that gives what is left.
+FORESTS = 3
+#: Pairs of a list that are looked at together.
+BLOCK = 1 << 16
 PARITY_BITS = 2048
 FOLD_BITS = 512
 _WORDS = PrefixHash(29)
@@ -75,11 +82,19 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int = SHINGLE) -> tuple[np
     return h, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def set_key(unique: np.ndarray) -> int:
-    """One number for a set of shingles."""
+def set_key(unique: np.ndarray) -> tuple[int, int]:
+    """Two numbers for a set of shingles: its key, and what tells it from another set of the same key."""
     a = np.add.reduce(mix64(unique + np.uint64(1)))
     b = np.bitwise_xor.reduce(mix64(unique ^ np.uint64(0x5851F42D4C957F2D)))
-    return int(mix64(np.array([a ^ mix64(np.array([b + np.uint64(len(unique))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
+    both = np.array([a ^ mix64(np.array([b + np.uint64(len(unique))], np.uint64))[0], b ^ mix64(np.array([a + np.uint64(len(unique))], np.uint64))[0]], np.uint64)
+    key, more = mix64(both).view(np.int64).tolist()
+    return key, more
+
+
+def named(unique: np.ndarray, shared: frozenset[int]) -> int:
+    """The name of a set: its key, or both numbers where another set has the same key."""
+    key, more = set_key(unique)
+    return key ^ more if key in shared else key
 
 
 def parity(unique: np.ndarray) -> bytes:
@@ -117,24 +132,25 @@ def boundary(sketch: np.ndarray) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of each set; at the end this task's sketch in parts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("parity", pa.binary()), ("fold", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("more", pa.int64()), ("parity", pa.binary()), ("fold", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         buf, off = text_bytes(batch.column(1))
-        n, key, cells = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+        n, key, more, cells = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
         for lo, hi in chunked(off):
             h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             sketch += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
             for i in range(hi - lo):
                 if first[i + 1] > first[i]:
                     u = np.unique(h[first[i] : first[i + 1]])
-                    n[lo + i], key[lo + i], cells[lo + i] = len(u), set_key(u), parity(u)
+                    n[lo + i], cells[lo + i] = len(u), parity(u)
+                    key[lo + i], more[lo + i] = set_key(u)
         none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(cells, pa.binary()), pa.array([c and folded(c) for c in cells], pa.binary()), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(more, mask=n == 0), pa.array(cells, pa.binary()), pa.array([c and folded(c) for c in cells], pa.binary()), *none], schema=schema)
     if sketch.any():
         pieces = np.split(np.minimum(sketch, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
         k = len(pieces)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +162,15 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "sketch": [v.tobytes() for v in sums.values()]})
 
 
-def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, key, parity, fold of every document, and the summed sketch."""
-    small_batches(docs.sparkSession)
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(lean(_describe), "doc_id long, n long, key long, parity binary, fold binary, part int, sketch binary"), "sets")
-    parts = rows.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_add_sketches), "part int, sketch binary").collect()
+def describe(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """row, n, key, more, parity, fold of every row (row, text), and the summed sketch."""
+    small_batches(rows.sparkSession)
+    made = materialize(rows.mapInArrow(lean(_describe), "row long, n long, key long, more long, parity binary, fold binary, part int, sketch binary"), "sets")
+    parts = made.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_add_sketches), "part int, sketch binary").collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in parts:  # of fixed size
         sketch[r.part] = np.frombuffer(r.sketch, np.int64)
-    return rows.where(F.col("part").isNull()).select("doc_id", "n", "key", "parity", "fold"), sketch.ravel()
+    return made.where(F.col("part").isNull()).select("row", "n", "key", "more", "parity", "fold"), sketch.ravel()
 
 
 def classes_of(sketch: np.ndarray) -> np.ndarray:
@@ -163,14 +179,16 @@ def classes_of(sketch: np.ndarray) -> np.ndarray:
     return np.where(sketch > floor, np.minimum(63, 1 + np.log2(np.maximum(sketch, 1) / floor)), 0).astype(np.uint64)
 
 
-def _postings(classes, light: int):
+def _postings(classes, light: int, shared: frozenset[int]):
     """Rows of inverted lists and subsets: token, key, n, pos (-1 marks a subset)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
+        seen: set[int] = set()  # copies that this task has met
         for batch in batches:
             buf, off = text_bytes(batch.column(0))
-            seen: set[int] = set()
+            if len(seen) > 1 << 18:
+                seen = set()
             for lo, hi in chunked(off):
                 h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 # class first, then hash: the global order; 58 bits of hash name a token
@@ -181,7 +199,7 @@ def _postings(classes, light: int):
                     if a == b:
                         continue
                     u = np.unique(h[a:b])
-                    key = set_key(u)
+                    key = named(u, shared)
                     if key in seen:
                         continue
                     seen.add(key)
@@ -202,165 +220,218 @@ def _postings(classes, light: int):
     return run
 
 
-def _lists(light: int):
-    """Sorted postings in; out come rows of lists with at least two sets, with the list's pivot.
+def in_lists(columns: list[tuple], work) -> object:
+    """A function for mapInArrow over rows sorted by token: ``work`` gets whole lists, as many as a few batches hold.
 
-    The pivot is the set with the smallest hash, so lists of one group agree on it.
+    ``columns`` are numpy fields; binary columns come as fields of several 64-bit words.
     """
-    names = ["token", "key", "n", "pos", "pivot", "pivot_n"]
 
-    def flush(t: np.ndarray) -> pa.RecordBatch | None:
-        new = np.ones(len(t), bool)
-        new[1:] = (t["token"][1:] != t["token"][:-1]) | ((t["pos"][1:] < 0) != (t["pos"][:-1] < 0))
-        starts = np.flatnonzero(new)
-        count = np.diff(np.append(starts, len(t)))
-        owner = np.repeat(np.arange(len(starts)), count)
-        keep = count[owner] > 1
-        if not keep.any():
-            return None
-        order = np.lexsort((mix64(t["key"].view(np.uint64)), owner))
-        pivot = t[order[starts]]
-        t, owner = t[keep], owner[keep]
-        p = pivot[owner]
-        return pa.RecordBatch.from_arrays([pa.array(t["token"]), pa.array(t["key"]), pa.array(t["n"]), pa.array(t["pos"]), pa.array(p["key"]), pa.array(p["n"])], names)
+    def table(b: pa.RecordBatch) -> np.ndarray:
+        t = np.zeros(b.num_rows, columns)
+        for i, f in enumerate(columns):
+            if len(f) == 2:
+                t[f[0]] = b.column(i).to_numpy(zero_copy_only=False)
+            elif b.num_rows:
+                t[f[0]] = text_bytes(b.column(i))[0].view(np.uint64).reshape(b.num_rows, f[2])
+        return t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[np.ndarray] = []
         for b in batches:
-            t = np.zeros(b.num_rows, [("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32)])
-            for i, f in enumerate(t.dtype.names):
-                t[f] = b.column(i).to_numpy()
-            held = t if held is None else np.concatenate([held, t])
-            cut = int(np.searchsorted(held["token"], held["token"][-1])) if len(held) else 0
-            if cut and (out := flush(held[:cut])) is not None:
-                yield out
-            held = held[cut:]
-        if held is not None and len(held) and (out := flush(held)) is not None:
-            yield out
+            if not b.num_rows:
+                continue
+            t = table(b)
+            cut = int(np.searchsorted(t["token"], t["token"][-1]))
+            if cut or (held and held[-1]["token"][-1] != t["token"][0]):
+                yield from work(np.concatenate([*held, t[:cut]]))
+                held, t = [], t[cut:]
+            held.append(t)
+        if held:
+            yield from work(np.concatenate(held))
 
     return run
 
 
-def _cross_pairs(light: int, most: int = 1 << 18):
-    """Pairs within a list that are in different components and may link by size and position."""
+def in_order(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by list (subsets apart from shingles), size and key, each once; the list of each row, and where lists begin."""
+    t = t[np.lexsort((t["key"], t["n"], t["pos"] >= 0, t["token"]))]
+    subset = t["pos"] < 0
+    new = np.ones(len(t), bool)
+    new[1:] = (t["token"][1:] != t["token"][:-1]) | (subset[1:] != subset[:-1])
+    once = new.copy()
+    once[1:] |= t["key"][1:] != t["key"][:-1]
+    t, new = t[once], new[once]
+    return t, np.cumsum(new) - 1, np.flatnonzero(new)
 
-    def pairs(t: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # lists, by rising size within each
-        t = t[np.lexsort((t["n"], t["pos"] >= 0, t["token"]))]
-        n, subset = t["n"].astype(np.int64), t["pos"] < 0
+
+def reach_of(t: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each row the end of its list's rows that are not too large to link with it."""
+    n = t["n"].astype(np.int64)
+    wide = int(n.max()) * DEN // NUM + 2
+    return np.searchsorted(owner * wide + n, owner * wide + n * DEN // NUM, side="right")
+
+
+def _shared(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of lists that have another set of a size that may link."""
+    t, owner, _ = in_order(t)
+    at = np.arange(len(t))
+    reach = reach_of(t, owner)
+    keep = reach > at + 1
+    last = np.maximum.accumulate(np.concatenate([[0], reach[:-1]]))  # some row in front reaches so far
+    keep |= last > at
+    if keep.any():
+        t = t[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t[f])) for f in ("token", "key", "n", "pos")], ["token", "key", "n", "pos"])
+
+
+def joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the edges (i, j) make a spanning forest; ``labels`` (roots that are places) are moved along.
+
+    Each root takes at most one edge to a smaller root at a time, so no cycle can close.
+    """
+    chosen = []
+    parent = np.arange(len(labels))
+    open_ = np.arange(len(i))
+    a, b = labels[i], labels[j]
+    while True:
+        differ = np.flatnonzero(a != b)
+        if not len(differ):
+            break
+        open_, a, b = open_[differ], a[differ], b[differ]
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        chosen.append(open_[first])
+        parent[high] = np.minimum(a, b)[first]
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        a, b = parent[a], parent[b]
+    labels[:] = parent[labels]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+
+
+def _open_pairs(light: int, words: int, forest: int | None):
+    """Pairs of sets of a list in different components that may link by size, position and parity: all, or a spanning forest.
+
+    ``forest`` is the number of the scan, none for all pairs. The first one prefers pairs in order of size and key, so that the lists of a group choose
+    alike; later ones prefer by a hash of pair and number, so that a pair that failed does not stand in the way of others.
+    Within a list the largest component comes first; only pairs with a row outside it are looked at.
+    """
+
+    def work(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t, owner, starts = in_order(t)
+        at = np.arange(len(t))
+        # labels: the first row of the list with this component
+        order = np.lexsort((at, t["comp"], owner))
         new = np.ones(len(t), bool)
-        new[1:] = (t["token"][1:] != t["token"][:-1]) | (subset[1:] != subset[:-1])
-        starts = np.flatnonzero(new)
-        owner = np.cumsum(new) - 1
-        # whoever is too large to link begins behind; both in one search over (list, size)
+        new[1:] = (t["comp"][order][1:] != t["comp"][order][:-1]) | (owner[order][1:] != owner[order][:-1])
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        size = np.diff(np.append(first, len(t)))
+        labels = np.empty(len(t), np.int64)
+        labels[order] = order[first][run]
+        held = np.empty(len(t), np.int64)
+        held[order] = size[run]
+        # the largest component of each list in front, by size and key as before
+        most = np.maximum.reduceat(held, starts)
+        lead = np.full(len(starts), len(t))
+        np.minimum.at(lead, owner[held == most[owner]], labels[held == most[owner]])
+        inside = labels == lead[owner]
+        order = np.lexsort((at, ~inside, owner))
+        place = np.empty(len(t), np.int64)
+        place[order] = at
+        t, labels, inside = t[order], place[labels[order]], inside[order]
+        n, subset = t["n"].astype(np.int64), t["pos"] < 0
+        # two sorted stretches a list: who is behind a row and not too large; who of the largest component may link
+        half = 2 * owner + ~inside
         wide = int(n.max()) * DEN // NUM + 2
-        reach = np.searchsorted(owner * wide + n, owner * wide + n * DEN // NUM, side="right")
-        count = reach - np.arange(len(t)) - 1
-        comp, first = t["comp"], t["comp"][starts]
-        mixed = np.add.reduceat(comp != first[owner], starts) > 0
-        count[~mixed[owner]] = 0
+        code = half * wide + n
+        up = np.searchsorted(code, code - n + n * DEN // NUM, side="right")
+        base = 2 * owner * wide
+        lo = np.searchsorted(code, base + -(-n * NUM // DEN), side="left")
+        hi = np.searchsorted(code, base + n * DEN // NUM, side="right")
+        begin = np.concatenate([at + 1, lo])
+        count = np.concatenate([np.where(inside, 0, up - at - 1), np.where(inside, 0, hi - lo)])
+        row = np.concatenate([at, at])
+        ends = np.append(starts[1:], len(t))
+        order = np.argsort(row, kind="stable")
+        row, begin, count = row[order], begin[order], count[order]
+        used = count > 0
+        row, begin, count = row[used], begin[used], count[used]
         cuts = np.append(0, np.cumsum(count))
-        lo = 0
-        while lo < len(t):
-            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + most, side="right")) - 1)
-            i = np.repeat(np.arange(lo, hi), count[lo:hi])
-            j = ranges_concat(np.arange(lo, hi) + 1, count[lo:hi])
-            ok = comp[i] != comp[j]
-            i, j = i[ok], j[ok]
-            least = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
-            fits = (np.minimum(n[i] - t["pos"][i], n[j] - t["pos"][j]) >= least) & (n[j] > light)  # two light sets meet by their subsets
-            fits |= subset[i]
-            # sets that link differ in few cells of their parities
-            fits[fits] = np.bitwise_count(t["fold"][i[fits]] ^ t["fold"][j[fits]]).sum(1) <= (n[i] + n[j] - 2 * least)[fits]
-            x, y = t["key"][i[fits]], t["key"][j[fits]]
-            if len(x):
-                both = np.empty(len(x), [("a", np.int64), ("b", np.int64)])
-                both["a"], both["b"] = np.minimum(x, y), np.maximum(x, y)
-                both = both[np.lexsort((both["b"], both["a"]))]
-                keep = np.ones(len(both), bool)
-                keep[1:] = both[1:] != both[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(both["a"][keep]), pa.array(both["b"][keep])], ["a", "b"])
-            lo = hi
+        k = 0
+        while k < len(row):
+            stop = max(k + 1, int(np.searchsorted(cuts, cuts[k] + BLOCK, side="right")) - 1)
+            done, total = 0, int(cuts[stop] - cuts[k])
+            while done < total:  # one row with many partners is cut as well
+                if stop == k + 1:
+                    take = min(BLOCK, total - done)
+                    i, j = np.full(take, row[k]), begin[k] + done + np.arange(take)
+                else:
+                    take = total
+                    i, j = np.repeat(row[k:stop], count[k:stop]), ranges_concat(begin[k:stop], count[k:stop])
+                done += take
+                ok = labels[i] != labels[j]
+                i, j = i[ok], j[ok]
+                least = -(-NUM * (n[i] + n[j]) // (NUM + DEN))
+                fits = (np.minimum(n[i] - t["pos"][i], n[j] - t["pos"][j]) >= least) & (np.maximum(n[i], n[j]) > light)  # two light sets meet by their subsets
+                fits |= subset[i]
+                i, j, least = i[fits], j[fits], least[fits]
+                # sets that link differ in few cells of their parities
+                near = np.bitwise_count(t["parity"][i] ^ t["parity"][j]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * least
+                i, j = i[near], j[near]
+                if forest and len(i):
+                    both = mix64(t["key"][i].view(np.uint64) ^ np.uint64(forest)) + mix64(t["key"][j].view(np.uint64) ^ np.uint64(forest))
+                    order = np.argsort(mix64(both), kind="stable")
+                    i, j = i[order], j[order]
+                if forest is not None and len(i):
+                    kept = joined(labels, i, j)
+                    i, j = i[kept], j[kept]
+                if len(i):
+                    x, y = t["key"][i], t["key"][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            k = stop
+            if forest is not None and k < len(row):
+                # a long list that hangs together already is left
+                own = owner[row[k]]
+                if row[k - 1] >= starts[own] and (labels[starts[own] : ends[own]] == labels[starts[own]]).all():
+                    k = int(np.searchsorted(row, ends[own]))
+
+    return in_lists([("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32), ("comp", np.int64), ("parity", np.uint64, words)], work)
+
+
+def _verify(shared: frozenset[int]):
+    """Rows sorted by (pivot, salt, member first?): a pivot's text, then its members'; links come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            t = np.zeros(b.num_rows, [("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32), ("comp", np.int64), ("fold", np.uint64, FOLD_BITS // 64)])
-            for i, f in enumerate(t.dtype.names[:-1]):
-                t[f] = b.column(i).to_numpy()
-            if b.num_rows:
-                t["fold"] = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(b.num_rows, -1)
-            held = t if held is None else np.concatenate([held, t])
-            cut = int(np.searchsorted(held["token"], held["token"][-1])) if len(held) else 0
-            if cut:
-                yield from pairs(held[:cut])
-            held = held[cut:]
-        if held is not None and len(held):
-            yield from pairs(held)
+        pivot, pivot_key = None, None
+        for batch in batches:
+            p, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            buf, off = text_bytes(batch.column(2))
+            a, b = [], []
+            for lo, hi in chunked(off):
+                h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                for i in range(hi - lo):
+                    u = np.unique(h[first[i] : first[i + 1]])
+                    if m[lo + i] == p[lo + i]:
+                        pivot, pivot_key = u, p[lo + i]
+                    elif pivot_key == p[lo + i]:
+                        both = len(np.intersect1d(u, pivot, assume_unique=True))
+                        if DEN * both >= NUM * (len(u) + len(pivot) - both):
+                            a.append(p[lo + i])
+                            b.append(m[lo + i])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (pivot, salt, member first?): a pivot's text, then its members'; links come out."""
-    pivot, pivot_key = None, None
-    for batch in batches:
-        p, m = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        buf, off = text_bytes(batch.column(2))
-        a, b = [], []
-        for lo, hi in chunked(off):
-            h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            for i in range(hi - lo):
-                u = np.unique(h[first[i] : first[i + 1]])
-                if not len(u) or set_key(u) != m[lo + i]:
-                    continue  # another text under a repeated doc_id
-                if m[lo + i] == p[lo + i]:
-                    pivot, pivot_key = u, p[lo + i]
-                elif pivot_key == p[lo + i]:
-                    both = len(np.intersect1d(u, pivot, assume_unique=True))
-                    if DEN * both >= NUM * (len(u) + len(pivot) - both):
-                        a.append(p[lo + i])
-                        b.append(m[lo + i])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _verify_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a cell: its texts, then its pairs; links come out."""
-    cell, sets = None, {}
-    for batch in batches:
-        cells, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-        is_text = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-        buf, off = text_bytes(batch.column(3))
-        x, y = [], []
-        for lo, hi in chunked(off):
-            h, first = shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-            for i in range(hi - lo):
-                k = lo + i
-                if cells[k] != cell:
-                    cell, sets = cells[k], {}
-                if is_text[k]:
-                    u = np.unique(h[first[i] : first[i + 1]])
-                    if len(u) and set_key(u) == a[k]:
-                        sets[a[k]] = u
-                elif a[k] in sets and b[k] in sets:
-                    u, v = sets[a[k]], sets[b[k]]
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    if DEN * both >= NUM * (len(u) + len(v) - both):
-                        x.append(a[k])
-                        y.append(b[k])
-        if x:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose parities differ in no more cells than linked sets of their sizes may differ in shingles."""
     for b in batches:
         if b.num_rows:
             n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (3, 5))
+            x, y = (text_bytes(b.column(i))[0].view(np.uint64).reshape(b.num_rows, -1) for i in (3, 5))
             least = -(-NUM * (n + m) // (NUM + DEN))
-            ok = np.bitwise_count(x ^ y).sum(1) <= n + m - 2 * least
+            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n + m - 2 * least
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
 
@@ -371,45 +442,36 @@ def near_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(lean(_near), "a long, b long")
 
 
-def texts_of(keys: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """key, text of the sets in ``keys``."""
+def texts_of(keys: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, text of the sets in ``keys``, written."""
+    spark = rows.sparkSession
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
     # lets the optimiser drop, before the shuffle, texts that nobody asks for
-    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    wanted = materialize(reps.select("key", "doc_id").join(keys, "key", "left_semi"), "wanted")
-    return materialize(docs.select("doc_id", "text").join(wanted.where(F.col("doc_id") >= F.lit(-(2**63))), "doc_id").select("key", "text"), "texts")
+    spark.conf.set(name, "0")
+    wanted = materialize(reps.select("key", "row").join(keys, "key", "left_semi"), "wanted")
+    out = materialize(rows.join(wanted.where(F.col("row") >= F.lit(-(2**63))), "row").select("key", "text"), "texts")
+    spark.conf.set(name, before)
+    return out
 
 
 def both_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
 
 
-def verify_stars(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a: pivot, b: member) of set keys that link. A pivot's members are split among tasks beyond ``PIVOT_SPLIT``."""
-    n = shuffle_parts(pairs.sparkSession)
-    sized = pairs.groupBy("a").agg(F.count("*").alias("members")).withColumn("salts", F.ceil(F.col("members") / PIVOT_SPLIT).cast("int"))
-    members = pairs.join(sized, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("member")).join(texts, F.col("member") == F.col("key"))
-    pivots = sized.select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("member")).join(texts, F.col("pivot") == F.col("key"))
-    rows = members.select("pivot", "member", "text", "salt").unionByName(pivots.select("pivot", "member", "text", "salt"))
-    dealt = rows.repartition(n, "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member") != F.col("pivot"), "member")
-    return dealt.mapInArrow(lean(_verify), "a long, b long")
+def verify(pairs: DataFrame, texts: DataFrame, shared: frozenset[int]) -> DataFrame:
+    """Pairs (a, b) of a written table that link, written.
 
-
-def verify_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Any pairs (a, b) of set keys that link.
-
-    Pairs that hang together form a group; a group of m sets is cut into chunks of about ``CHUNK``, and each two chunks are
-    a cell. So a text travels once to each cell that needs it, not once for each pair.
+    Pairs with one a meet its text once for some ``PIVOT_SPLIT`` of them at most: they are split by b, into as many parts as the busiest a could need.
     """
-    groups = components(pairs)
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    placed = materialize(groups.join(sizes, "comp").select("key", "comp", F.pmod(F.xxhash64("key"), F.col("chunks")).alias("chunk")), "placed")
-    left, right = placed.select(F.col("key").alias("a"), "comp", F.col("chunk").alias("ca")), placed.select(F.col("key").alias("b"), F.col("chunk").alias("cb"))
-    celled = materialize(pairs.join(left, "a").join(right, "b").select(F.xxhash64("comp", F.least("ca", "cb"), F.greatest("ca", "cb")).alias("cell"), "a", "b"), "celled")
-    needed = celled.select("cell", F.col("a").alias("key")).union(celled.select("cell", F.col("b").alias("key"))).distinct()
-    rows = needed.join(texts, "key").select("cell", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = rows.unionByName(celled.select("cell", "a", "b", F.lit(None).cast("string").alias("text")))
-    dealt = rows.select("cell", "a", F.coalesce("b", F.lit(0)).alias("b"), "text").repartition(shuffle_parts(pairs.sparkSession), "cell").sortWithinPartitions("cell", F.col("text").isNull(), "a")
-    return dealt.mapInArrow(lean(_verify_cells), "a long, b long")
+    spark = pairs.sparkSession
+    small_batches(spark)
+    salt = F.pmod(F.xxhash64("b"), F.lit(pairs.count() // PIVOT_SPLIT + 1))
+    split = pairs.select(F.col("a").alias("pivot"), salt.alias("salt"), F.col("b").alias("member"))
+    members = split.join(texts, F.col("member") == F.col("key")).select("pivot", "member", "text", "salt")
+    pivots = split.select("pivot", "salt").distinct().join(texts, F.col("pivot") == F.col("key")).select("pivot", F.col("pivot").alias("member"), "text", "salt")
+    dealt = members.unionByName(pivots).repartition(shuffle_parts(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member") != F.col("pivot"), "member")
+    return materialize(dealt.mapInArrow(lean(_verify(shared)), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -426,53 +488,82 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    spark: SparkSession = docs.sparkSession
-    sets, sketch = describe(docs)
+def open_pairs(lists: DataFrame, comps: DataFrame | None, signs: DataFrame, light: int, bits: int, forest: int | None) -> DataFrame:
+    """Pairs (a, b), each once, that :func:`_open_pairs` gives of ``lists``; ``signs``: key and parity of its sets."""
+    spark = lists.sparkSession
+    signed = lists.join(signs, "key")
+    tagged = signed.withColumn("comp", F.col("key")) if comps is None else signed.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    small_batches(spark, 8192)
+    dealt = tagged.select("token", "key", "n", "pos", "comp", "parity").repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
+    return dealt.mapInArrow(lean(_open_pairs(light, bits // 64, forest)), "a long, b long").distinct()
+
+
+def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (row, text): (row, n, key), and the components (key, comp) of the keys that have links."""
+    spark: SparkSession = rows.sparkSession
+    sets, sketch = describe(rows)
     light = boundary(sketch)
     classes = spark.sparkContext.broadcast(classes_of(sketch))
+    # keys that different sets share: by chance only, N**2 / 2**65 of N sets
+    clashing = sets.where(F.col("n") > 0).groupBy("key").agg(F.min("more").alias("x"), F.max("more").alias("y")).where(F.col("x") != F.col("y"))
+    shared = frozenset(r.key for r in clashing.select("key").collect())
+    if shared:
+        sets = sets.withColumn("key", F.when(F.col("key").isin(*shared), F.col("key").bitwiseXOR(F.col("more"))).otherwise(F.col("key")))
+    sets = sets.drop("more")
+    reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("fold").alias("fold")), "reps")
     small_batches(spark)
-    reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("fold").alias("fold")), "reps")
-    n = shuffle_parts(spark)
-    made = docs.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light)), "token long, key long, n int, pos int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    listed = made.repartition(n, "token").dropDuplicates(["token", "key", "pos"]).sortWithinPartitions("token", "pos")
-    lists = materialize(listed.mapInArrow(lean(_lists(light)), "token long, key long, n int, pos int, pivot long, pivot_n int"), "lists")
-    small_batches(spark)
-    # round one: each set against the pivot that most of its lists share
-    may = (F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM) & (F.col("key") != F.col("pivot"))
-    votes = lists.where(may).groupBy("key", "pivot").count().groupBy("key").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("a"))
-    star = materialize(near_pairs(votes.select("a", F.col("key").alias("b")), reps), "star")
-    links = materialize(verify_stars(star, texts_of(both_ends(star), docs, reps)), "links")
-    comps = components(links)
-    # round two: members of contracted groups share a label; what has none is a component of its own
-    tagged = lists.select("token", "key", "n", "pos").join(comps, "key", "left").join(reps.select("key", "fold"), "key").select("token", "key", "n", "pos", F.coalesce("comp", "key").alias("comp"), "fold")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    cross = tagged.repartition(n, "token").sortWithinPartitions("token", "pos").mapInArrow(lean(_cross_pairs(light)), "a long, b long").distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(near_pairs(cross.join(tested, ["a", "b"], "left_anti"), reps), "cross")
-    small_batches(spark)
-    if not cross.isEmpty():
-        more = materialize(verify_pairs(cross, texts_of(both_ends(cross), docs, reps)), "links")
-        if not more.isEmpty():
-            comps = components(links.unionByName(more))
+    made = rows.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light, shared)), "token long, key long, n int, pos int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    dealt = made.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
+    scan = in_lists([("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32)], _shared)
+    lists = materialize(dealt.mapInArrow(lean(scan), "token long, key long, n int, pos int"), "lists")
+    # all rows with the small parities: who has a pair at all
+    first = materialize(open_pairs(lists, None, reps.select("key", F.col("fold").alias("parity")), light, FOLD_BITS, 0), "open")
+    alive = materialize(both_ends(first), "alive")
+    signs = materialize(reps.select("key", "n", "parity").join(alive, "key", "left_semi"), "signs")
+    short = materialize(lists.join(alive, "key", "left_semi"), "lists")
+    texts = texts_of(alive, rows, reps)
+    discard(lists)
+    # links, scan by scan
+    pairs = materialize(near_pairs(first, signs), "near")
+    links = verify(pairs, texts, shared)
+    tested, comps, brought = pairs, components(links), True
+    for turn in range(1, FORESTS + 1):
+        last = turn == FORESTS or not brought
+        pairs = materialize(open_pairs(short, comps, signs.select("key", "parity"), light, PARITY_BITS, None if last else turn).join(tested, ["a", "b"], "left_anti"), "open")
+        found = verify(pairs, texts, shared)
+        brought = not found.isEmpty()
+        if brought:
+            links = links.unionByName(found)
+            comps = components(links)
+        if last:
+            break
+        tested = tested.unionByName(pairs)
+    return sets.select("row", "n", "key"), comps
+
+
+def cluster(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    rows, key = numbered(docs.select("doc_id", "text"))
+    sets, comps = links_of(rows.select(F.col(key).alias("row"), "text"))
     labelled = sets.join(comps, "key", "left").withColumn("group", F.coalesce("comp", "key"))
-    named = labelled.where(F.col("n") > 0).groupBy("group").agg(F.min("doc_id").alias("component"))
-    return labelled.join(named, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    if key == "doc_id":
+        labelled = labelled.withColumn("doc_id", F.col("row"))
+    else:
+        labelled = labelled.join(rows.select(F.col(key).alias("row"), "doc_id"), "row")
+    labelled = labelled.select("doc_id", "n", "group")
+    classes = labelled.where(F.col("n") > 0).groupBy("group").agg(F.min("doc_id").alias("component"))
+    return labelled.join(classes, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: that of the smallest doc_id, null last, and among equal ids any one; rows of empty sets all stay.
-
-    Classes and choice are of rows, not of ids: each row gets a number of its own, written so that it stays the same.
-    """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = materialize(cluster(rows.select(F.col("__row").alias("doc_id"), "text")), "classes").select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "__row")
-    firsts = found.where(F.col("n_shingles") > 0).join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("first"))
-    stay = firsts.select(F.col("first.__row").alias("__row")).unionByName(found.where(F.col("n_shingles") == 0).select("__row"))
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    """One row of each class: that of the smallest doc_id, null last, and among equal ids the first text; rows of empty sets all stay."""
+    rows, key = numbered(docs)
+    sets, comps = links_of(rows.select(F.col(key).alias("row"), "text"))
+    labelled = sets.join(comps, "key", "left")
+    firsts = labelled.where(F.col("n") > 0).groupBy(F.coalesce("comp", "key").alias("class")).agg(F.min("row").alias(key))
+    stay = firsts.select(key).unionByName(sets.where(F.col("n") == 0).select(F.col("row").alias(key)))
+    return rows.join(stay, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op7(docs: DataFrame) -> DataFrame:
