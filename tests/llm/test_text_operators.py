@@ -64,7 +64,30 @@ def test_levels_stay_logarithmic():
             want.append(k in seen)
             seen.add(k)
         assert family.add(keys).tolist() == want
-    assert len(family.levels) <= 10 and sum(map(len, family.levels)) == len(seen)
+    assert len(family.levels) <= 10 and len(family) == len(seen)
+
+
+def test_levels_of_two_halves():
+    family, rng, seen = suffix_dedup.Levels(), np.random.default_rng(1), set()
+    for _ in range(40):
+        keys, more = rng.integers(0, 40, 200).astype(np.uint64), rng.integers(0, 90, 200).astype(np.uint64)
+        want = []
+        for k in zip(keys.tolist(), more.tolist()):
+            want.append(k in seen)
+            seen.add(k)
+        assert family.add(keys, more).tolist() == want
+    assert len(family) == len(seen)
+
+
+def test_op1_split_by_window(corpus, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 1)
+    monkeypatch.setattr(suffix_dedup, "SPAN", 2)  # in the driver only: contexts of three and more are cut to windows
+    want = brute_substrings([(r.doc_id, r.text) for r in sorted(rows_of(corpus), key=lambda r: r.doc_id)])
+    rows = suffix_dedup.ranked(corpus).where("text is not null").selectExpr("rank", "text", "array(named_struct('anchor', 1L, 'salts', 99, 'lo', 0, 'width', 5, 'lead', 0S)) noted").where("length(text) > 200")
+    cut = list(suffix_dedup._cut_contexts(iter(rows.toArrow().to_batches())))
+    assert all(b.num_rows == 6 and set(b.column(2).to_pylist()) == {1} for b in cut) and len({x for b in cut for x in b.column(1).to_pylist()}) > 6
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows_of(suffix_dedup.op1(corpus))}
+    assert got == want
 
 
 def brute_sets(docs):

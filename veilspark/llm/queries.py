@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_pii": pii_spans.ORACLE_SQL, "op5_lines": line_templates.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_jaccard": jaccard_join.ORACLE_SQL, "op4_pii": pii_spans.ORACLE_SQL, "op5_lines": line_templates.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}

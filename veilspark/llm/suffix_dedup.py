@@ -18,7 +18,8 @@ levels of equal size merge, so there are logarithmically many. It happens twice:
    ``LENGTH``-byte strings, and a string met before is a removal. That finds matches that end inside a context.
 
 Contexts that a map task has met before are settled there and joined to runs, so a copy or a hot passage costs one row a
-document and no shard sees it again; anchors with many contexts are split by window offset in the second pass.
+document and no shard sees it again; anchors with many contexts are split by window offset in the second pass, those with even more by window.
+A context is named by 128 bits: a hash of its anchor and one of itself, so contexts of one anchor are told apart by 64.
 
 Defined cases: null text = empty; texts shorter than ``LENGTH`` stay; rows with equal doc_ids count one after the other, in the order of
 their texts; null doc_ids come last; repeated rows are removed as copies of the first; extra columns are ignored.
@@ -34,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import PrefixHash, chunked, lean, materialize, mix64, ranges_concat, shuffle_parts, small_batches, text_bytes
+from veilspark.llm.util import PrefixHash, chunked, lean, materialize, mix64, numbered, ranges_concat, shuffle_parts, small_batches, text_bytes
 
 LENGTH = 100
 GRAM = 20
 BATCH = 1 << 17
-#: Contexts of one anchor beyond so many are split by window offset.
+#: Windows that can hold one anchor, by their offset to it.
+SPAN = LENGTH - GRAM + 1
+#: Contexts of one anchor beyond so many are split by window offset, beyond ``SPAN`` times so many by what the windows say.
 SPLIT = 20_000
+#: Bytes of text whose contexts one shard takes.
+SHARD_BYTES = 64 << 20
 _A, _B = PrefixHash(41), PrefixHash(43)
 
 
@@ -50,7 +55,7 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     Places are bytes of the buffer.
     """
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    span = LENGTH - GRAM + 1
+    span = SPAN
     m = len(buf) - LENGTH + 1
     if m <= 0:
         return none
@@ -82,39 +87,72 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.searchsorted(off, lo, side="right") - 1, h[place], print_, lo, hi, place
 
 
+def sorting(keys: np.ndarray, more: np.ndarray | None) -> np.ndarray:
+    """A stable order by key, then by what tells equal keys apart."""
+    order = np.argsort(keys, kind="stable")
+    if more is not None:
+        k, m = keys[order], more[order]
+        if ((k[1:] == k[:-1]) & (m[1:] != m[:-1])).any():
+            order = np.lexsort((more, keys))
+    return order
+
+
 class Levels:
     """Sorted arrays of suffix keys, the number of them logarithmic in what was added.
 
-    ``keys`` is any sortable one-dimensional array. :meth:`add` tells for each of a batch's keys whether an
-    equal one came earlier, in the batch or in a level.
+    ``keys`` is any sortable one-dimensional array; ``more``, if given, is a second half of each key. :meth:`add` tells for each of a
+    batch's keys whether an equal one came earlier, in the batch or in a level.
     """
 
     def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray | None]] = []
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.levels)
 
-    def add(self, keys: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys, kind="stable")  # the batch's suffix array
-        ranked = keys[order]
+    def add(self, keys: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
+        order = sorting(keys, more)  # the batch's suffix array
+        ranked, rest = keys[order], None if more is None else more[order]
         first = np.ones(len(keys), bool)
         first[1:] = ranked[1:] != ranked[:-1]
+        if rest is not None:
+            first[1:] |= rest[1:] != rest[:-1]
         seen = np.empty(len(keys), bool)
         seen[order] = ~first
-        fresh = ranked[first]
+        fresh, other = ranked[first], None if rest is None else rest[first]
         met = np.zeros(len(fresh), bool)
-        for level in self.levels:  # merge-scan
-            at = np.minimum(np.searchsorted(level, fresh), len(level) - 1)
-            met |= level[at] == fresh
+        for level, second in self.levels:  # merge-scan
+            at = np.searchsorted(level, fresh)
+            todo = np.flatnonzero(at < len(level))
+            while len(todo := todo[level[at[todo]] == fresh[todo]]):
+                if second is None:
+                    met[todo] = True
+                    break
+                same = second[at[todo]] == other[todo]
+                met[todo[same]] = True
+                todo = todo[~same]  # equal first halves: rare
+                at[todo] += 1
+                todo = todo[at[todo] < len(level)]
         group = np.cumsum(first) - 1
         seen[order] |= met[group]
-        self.insert(fresh[~met])
+        self.insert(fresh[~met], None if other is None else other[~met])
         return seen
 
-    def insert(self, level: np.ndarray) -> None:
+    def insert(self, level: np.ndarray, second: np.ndarray | None = None) -> None:
         """Levels are ordered by size; the new one merges with all that are not larger than it, doubling as it goes."""
-        while len(level) and self.levels and len(self.levels[-1]) <= 2 * len(level):
-            level = np.sort(np.concatenate([self.levels.pop(), level]), kind="stable")
+        while len(level) and self.levels and len(self.levels[-1][0]) <= 2 * len(level):
+            k, m = self.levels.pop()
+            level = np.concatenate([k, level])
+            second = None if second is None else np.concatenate([m, second])
+            order = sorting(level, second)
+            level, second = level[order], None if second is None else second[order]
         if len(level):
-            self.levels.append(level)
+            self.levels.append((level, second))
+
+
+def halves(anchor: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and fingerprint of contexts as a key in two halves, the first of them evenly spread. The second half and the first give the anchor back."""
+    return mix64(anchor + mix64(mark)), mark
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +173,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, anchor, mark, lo, hi, place = anchors(buf[off[a] : off[b]], off[a : b + 1] - off[a])
             if not len(row):
                 continue
-            met = known.add(mix64(anchor + mix64(mark)))
-            if sum(map(len, known.levels)) > 1 << 21:
+            met = known.add(*halves(anchor, mark))
+            if len(known) > 1 << 20:
                 known = Levels()
             begin = np.ones(len(row), bool)  # of a run: settled neighbours of one document are one row
             begin[1:] = ~(met[1:] & met[:-1] & (row[1:] == row[:-1]))
@@ -161,8 +199,7 @@ def _scan_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         t = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(7)]
         remove = t[6].astype(bool)
         open_ = np.flatnonzero(~remove)
-        pair = mix64(t[1][open_].view(np.uint64) + mix64(t[2][open_].view(np.uint64)))
-        met = contexts.add(pair)
+        met = contexts.add(*halves(t[1][open_].view(np.uint64), t[2][open_].view(np.uint64)))
         remove[open_[met]] = True
         if remove.any():
             yield batch_of(t, remove, 1)
@@ -192,16 +229,27 @@ def _scan_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their noted contexts in; the contexts' bytes out."""
+    """Texts with their noted contexts in; the contexts' bytes out.
+
+    A context of an anchor that has more than all splits by offset can take goes as its single windows, dealt by what they say.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary())
     for batch in batches:
         buf, off = text_bytes(batch.column(1))
         for i, noted in enumerate(batch.column(2).to_pylist()):
-            text = buf[off[i] : off[i + 1]].tobytes()
-            if noted:
-                rank = batch.column(0)[i].as_py()
-                rows = [(rank, c["anchor"], c["salts"], c["lo"], c["lead"], text[c["lo"] : c["lo"] + c["width"] + LENGTH]) for c in noted]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["rank", "anchor", "salts", "lo", "lead", "bytes"])
+            if not noted:
+                continue
+            own = buf[off[i] : off[i + 1]]
+            text = own.tobytes()
+            rank = batch.column(0)[i].as_py()
+            rows = [(rank, c["anchor"], c["salts"], c["lo"], c["lead"], text[c["lo"] : c["lo"] + c["width"] + LENGTH]) for c in noted if c["salts"] <= SPAN]
+            if len(rows) < len(noted):
+                hashes = _B.load(own)
+                for c in noted:
+                    if c["salts"] > SPAN:
+                        at = np.arange(c["lo"], c["lo"] + c["width"] + 1)
+                        rows += [(rank, h, 1, k, 0, text[k : k + LENGTH]) for h, k in zip(hashes.of(at, at + LENGTH).view(np.int64).tolist(), at.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["rank", "anchor", "salts", "lo", "lead", "bytes"])
 
 
 def _scan_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,11 +303,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ranked(docs: DataFrame) -> DataFrame:
     """doc_id, text, rank: the doc_id itself, unless some repeat or are null; then the place in a global sort."""
-    docs = docs.select("doc_id", "text")
-    odd = docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull())
-    if odd.isEmpty():
-        return docs.withColumn("rank", F.col("doc_id"))
-    return materialize(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("rank", F.monotonically_increasing_id()), "ranked")
+    rows, key = numbered(docs.select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.col(key).alias("rank"))
 
 
 def removals(rows: DataFrame) -> DataFrame:
@@ -269,12 +314,15 @@ def removals(rows: DataFrame) -> DataFrame:
     texts = rows.where(F.length("text") > 0)
     sampled = texts.select("rank", "text").mapInArrow(lean(_sample), "rank long, anchor long, mark long, lo int, width int, lead short, met boolean")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    dealt = sampled.repartition(shuffle_parts(spark), "anchor").sortWithinPartitions("rank", "lo")
+    # a shard holds its contexts: as many shards as the texts need
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = sampled.repartition(max(shuffle_parts(spark), size // SHARD_BYTES + 1), "anchor").sortWithinPartitions("rank", "lo")
     found = materialize(dealt.mapInArrow(lean(_scan_contexts), "rank long, anchor long, lo int, width int, lead short, kind byte"), "contexts")
     small_batches(spark)
     noted = found.where(F.col("kind") == 2)
-    salted = noted.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts"))
-    per_text = materialize(noted.join(salted, "anchor").groupBy("rank").agg(F.collect_list(F.struct("anchor", "salts", "lo", "width", "lead")).alias("noted")), "noted")
+    busy = materialize(noted.groupBy("anchor").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")).where(F.col("salts") > 1), "busy-anchors")
+    salted = noted.join(busy, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    per_text = materialize(salted.groupBy("rank").agg(F.collect_list(F.struct("anchor", "salts", "lo", "width", "lead")).alias("noted")), "noted")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
     cut = texts.select("rank", "text").join(per_text.where(F.size("noted") > 0), "rank").mapInArrow(lean(_cut_contexts), "rank long, anchor long, salts int, lo int, lead short, bytes binary")
     spread = cut.select("anchor", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", "rank", "lo", "bytes", "lead")
@@ -295,3 +343,24 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def op1(docs: DataFrame) -> DataFrame:
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+ORACLE_SQL = f"""
+WITH bytes AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), starts AS (
+  SELECT doc_id, b, unnest(range(octet_length(b) - {LENGTH - 1})) AS i FROM bytes
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(b[i + 1 : i + {LENGTH}]) ORDER BY doc_id, i) AS n FROM starts) WHERE n > 1
+), marked AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + {LENGTH} THEN 1 ELSE 0 END AS new FROM later WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+  SELECT doc_id, min(i) AS lo, max(i) + {LENGTH} AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM runs
+), cut AS (
+  SELECT doc_id, sum(hi - lo) AS removed, count(*) AS spans, max(hi) AS last, string_agg(hex(b[before + 1 : lo]), '' ORDER BY lo) AS head FROM pieces JOIN bytes USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(from_hex(coalesce(head, '') || hex(b[coalesce(last, 0) + 1 :]))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)
+"""
