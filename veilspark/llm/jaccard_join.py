@@ -11,7 +11,7 @@ more where two sets share them. Then candidates come in two ways:
 The boundary is the largest size at which enumerating costs less than scanning lists, whose mean length comes from a
 count sketch of all shingles. The sketch has a fixed size (2 MB) whatever the corpus; it also gives the order. Any order is
 exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity
-sketch of each set: 64 bytes of it stand in the first scan of the lists, 256 in the later ones.
+sketch of each set, a bit or two for each shingle: 64 bytes or more in the first scan of the lists, 256 or more in the later ones.
 
 No group is expanded into all its pairs. A scan of the lists gives, of the pairs in a list that may link and are in different
 components, a spanning forest: at most one pair less than the list has rows, however many pairs there are. These are
@@ -51,8 +51,11 @@ PIVOT_SPLIT = 200
 FORESTS = 3
 #: Pairs of a list that are looked at together.
 BLOCK = 1 << 16
+#: Fewest cells of the large and the small parity; sets with more shingles have more cells.
 PARITY_BITS = 2048
 FOLD_BITS = 512
+#: Bytes of parities compared at a time.
+COMPARE_BYTES = 16 << 20
 _WORDS = PrefixHash(29)
 
 
@@ -97,14 +100,69 @@ def named(unique: np.ndarray, shared: frozenset[int]) -> int:
     return key ^ more if key in shared else key
 
 
-def parity(unique: np.ndarray) -> bytes:
-    """Parity of the set's hashes in ``PARITY_BITS`` cells. Two sets differ in at least as many shingles as cells."""
-    return np.packbits((np.bincount((unique & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).astype(bool)).tobytes()
+def cells_for(n: int, least: int) -> int:
+    """The power of two that is at least ``n`` and ``least``."""
+    return max(least, 1 << max(0, int(n) - 1).bit_length())
+
 
+def parity(unique: np.ndarray) -> bytes:
+    """Parity of the number of the set's hashes in each of some cells, at least twice as many as hashes.
 
-def folded(cells: bytes) -> bytes:
-    """The parity in ``FOLD_BITS`` cells, from the larger one."""
-    return np.bitwise_xor.reduce(np.frombuffer(cells, np.uint8).reshape(-1, FOLD_BITS // 8), axis=0).tobytes()
+    Two sets differ in at least as many shingles as cells, if cells are as many; a larger parity folds to a smaller one.
+    """
+    cells = cells_for(2 * len(unique), PARITY_BITS)
+    return np.packbits((np.bincount((unique & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(bool)).tobytes()
+
+
+def folded(large: bytes, n: int) -> bytes:
+    """The small parity of a set of ``n``, from the large one."""
+    return np.bitwise_xor.reduce(np.frombuffer(large, np.uint8).reshape(-1, cells_for(n, FOLD_BITS) // 8), axis=0).tobytes()
+
+
+class Signs:
+    """Parities of sets, of several widths: ``words`` 64-bit words from place ``at`` of ``flat`` each."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray, words: np.ndarray) -> None:
+        self.flat, self.at, self.words = flat, at, words
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def table(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parities of this width, and those of twice the width folded, as rows; and the row of each set."""
+        if width not in self.tables:
+            own, wide = np.flatnonzero(self.words == width), np.flatnonzero(self.words == 2 * width)
+            place = np.full(len(self.at), -1)
+            place[own], place[wide] = np.arange(len(own)), len(own) + np.arange(len(wide))
+            made = self.flat[self.at[own][:, None] + np.arange(width)]
+            if len(wide):
+                both = self.flat[self.at[wide][:, None] + np.arange(2 * width)]
+                made = np.concatenate([made, both[:, :width] ^ both[:, width:]])
+            self.tables[width] = made, place
+        return self.tables[width]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """In how many cells the parities of sets i and j differ. Sets that may link by size have widths a factor of two apart at most."""
+        out = np.zeros(len(i), np.int64)
+        narrow = np.minimum(self.words[i], self.words[j])
+        for width in np.unique(narrow).tolist():
+            made, place = self.table(width)
+            pairs = np.flatnonzero(narrow == width)
+            step = max(1, COMPARE_BYTES // (8 * width))
+            for k in range(0, len(pairs), step):
+                some = pairs[k : k + step]
+                out[some] = np.bitwise_count(made[place[i[some]]] ^ made[place[j[some]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def signs_of(*columns: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of binary columns, one column behind the other, and place and number of words of each value."""
+    flat, at, words, base = [], [], [], 0
+    for c in columns:
+        buf, off = text_bytes(c)
+        flat.append(buf.view(np.uint64))
+        at.append(base + off[:-1] // 8)
+        words.append(np.diff(off) // 8)
+        base += len(flat[-1])
+    return np.concatenate(flat), np.concatenate(at), np.concatenate(words)
 
 
 def need(a: int, b: int) -> int:
@@ -146,7 +204,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n[lo + i], cells[lo + i] = len(u), parity(u)
                     key[lo + i], more[lo + i] = set_key(u)
         none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(more, mask=n == 0), pa.array(cells, pa.binary()), pa.array([c and folded(c) for c in cells], pa.binary()), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(more, mask=n == 0), pa.array(cells, pa.binary()), pa.array([c and folded(c, m) for c, m in zip(cells, n.tolist())], pa.binary()), *none], schema=schema)
     if sketch.any():
         pieces = np.split(np.minimum(sketch, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
         k = len(pieces)
@@ -220,34 +278,47 @@ def _postings(classes, light: int, shared: frozenset[int]):
     return run
 
 
-def in_lists(columns: list[tuple], work) -> object:
-    """A function for mapInArrow over rows sorted by token: ``work`` gets whole lists, as many as a few batches hold.
+ROW = [("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32)]
+SIGNED = [*ROW, ("comp", np.int64), ("at", np.int64), ("words", np.int64)]
+
+
+def in_lists(work, signed: bool) -> object:
+    """A function for mapInArrow over rows sorted by token: ``work`` gets whole lists, as many as a few batches hold, and the words of their parities.
 
-    ``columns`` are numpy fields; binary columns come as fields of several 64-bit words.
+    Rows are token, key, n, pos; if ``signed``, comp and parity as well.
     """
 
-    def table(b: pa.RecordBatch) -> np.ndarray:
-        t = np.zeros(b.num_rows, columns)
-        for i, f in enumerate(columns):
-            if len(f) == 2:
-                t[f[0]] = b.column(i).to_numpy(zero_copy_only=False)
-            elif b.num_rows:
-                t[f[0]] = text_bytes(b.column(i))[0].view(np.uint64).reshape(b.num_rows, f[2])
-        return t
+    def table(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        t, flat = np.zeros(b.num_rows, SIGNED if signed else ROW), np.zeros(0, np.uint64)
+        for i in range(5 if signed else 4):
+            t[t.dtype.names[i]] = b.column(i).to_numpy(zero_copy_only=False)
+        if signed:
+            flat, t["at"], t["words"] = signs_of(b.column(5))
+        return t, flat
+
+    def joined_up(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        base, rows = 0, []
+        for t, flat in held:
+            if signed:
+                t = t.copy()
+                t["at"] += base
+            rows.append(t)
+            base += len(flat)
+        return work(np.concatenate(rows), np.concatenate([flat for _, flat in held]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            t = table(b)
+            t, flat = table(b)
             cut = int(np.searchsorted(t["token"], t["token"][-1]))
-            if cut or (held and held[-1]["token"][-1] != t["token"][0]):
-                yield from work(np.concatenate([*held, t[:cut]]))
+            if cut or (held and held[-1][0]["token"][-1] != t["token"][0]):
+                yield from joined_up([*held, (t[:cut], flat)])
                 held, t = [], t[cut:]
-            held.append(t)
+            held.append((t, flat))
         if held:
-            yield from work(np.concatenate(held))
+            yield from joined_up(held)
 
     return run
 
@@ -271,7 +342,7 @@ def reach_of(t: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.searchsorted(owner * wide + n, owner * wide + n * DEN // NUM, side="right")
 
 
-def _shared(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _shared(t: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of lists that have another set of a size that may link."""
     t, owner, _ = in_order(t)
     at = np.arange(len(t))
@@ -308,7 +379,7 @@ def joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
-def _open_pairs(light: int, words: int, forest: int | None):
+def _open_pairs(light: int, forest: int | None):
     """Pairs of sets of a list in different components that may link by size, position and parity: all, or a spanning forest.
 
     ``forest`` is the number of the scan, none for all pairs. The first one prefers pairs in order of size and key, so that the lists of a group choose
@@ -316,7 +387,7 @@ def _open_pairs(light: int, words: int, forest: int | None):
     Within a list the largest component comes first; only pairs with a row outside it are looked at.
     """
 
-    def work(t: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(t: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
         t, owner, starts = in_order(t)
         at = np.arange(len(t))
         # labels: the first row of the list with this component
@@ -340,6 +411,7 @@ def _open_pairs(light: int, words: int, forest: int | None):
         place[order] = at
         t, labels, inside = t[order], place[labels[order]], inside[order]
         n, subset = t["n"].astype(np.int64), t["pos"] < 0
+        signs = Signs(flat, t["at"], t["words"])
         # two sorted stretches a list: who is behind a row and not too large; who of the largest component may link
         half = 2 * owner + ~inside
         wide = int(n.max()) * DEN // NUM + 2
@@ -376,7 +448,7 @@ def _open_pairs(light: int, words: int, forest: int | None):
                 fits |= subset[i]
                 i, j, least = i[fits], j[fits], least[fits]
                 # sets that link differ in few cells of their parities
-                near = np.bitwise_count(t["parity"][i] ^ t["parity"][j]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * least
+                near = signs.differ(i, j) <= n[i] + n[j] - 2 * least
                 i, j = i[near], j[near]
                 if forest and len(i):
                     both = mix64(t["key"][i].view(np.uint64) ^ np.uint64(forest)) + mix64(t["key"][j].view(np.uint64) ^ np.uint64(forest))
@@ -395,7 +467,7 @@ def _open_pairs(light: int, words: int, forest: int | None):
                 if row[k - 1] >= starts[own] and (labels[starts[own] : ends[own]] == labels[starts[own]]).all():
                     k = int(np.searchsorted(row, ends[own]))
 
-    return in_lists([("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32), ("comp", np.int64), ("parity", np.uint64, words)], work)
+    return in_lists(work, True)
 
 
 def _verify(shared: frozenset[int]):
@@ -429,9 +501,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
             n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-            x, y = (text_bytes(b.column(i))[0].view(np.uint64).reshape(b.num_rows, -1) for i in (3, 5))
             least = -(-NUM * (n + m) // (NUM + DEN))
-            ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n + m - 2 * least
+            at = np.arange(b.num_rows)
+            may = np.flatnonzero(np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM)
+            ok = np.zeros(b.num_rows, bool)
+            ok[may] = Signs(*signs_of(b.column(3), b.column(5))).differ(at[may], b.num_rows + at[may]) <= (n + m - 2 * least)[may]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
 
@@ -488,14 +562,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def open_pairs(lists: DataFrame, comps: DataFrame | None, signs: DataFrame, light: int, bits: int, forest: int | None) -> DataFrame:
+def open_pairs(lists: DataFrame, comps: DataFrame | None, signs: DataFrame, light: int, forest: int | None) -> DataFrame:
     """Pairs (a, b), each once, that :func:`_open_pairs` gives of ``lists``; ``signs``: key and parity of its sets."""
     spark = lists.sparkSession
     signed = lists.join(signs, "key")
     tagged = signed.withColumn("comp", F.col("key")) if comps is None else signed.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     small_batches(spark, 8192)
     dealt = tagged.select("token", "key", "n", "pos", "comp", "parity").repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(lean(_open_pairs(light, bits // 64, forest)), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(_open_pairs(light, forest)), "a long, b long").distinct()
 
 
 def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -515,10 +589,9 @@ def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = rows.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light, shared)), "token long, key long, n int, pos int")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = made.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
-    scan = in_lists([("token", np.int64), ("key", np.int64), ("n", np.int32), ("pos", np.int32)], _shared)
-    lists = materialize(dealt.mapInArrow(lean(scan), "token long, key long, n int, pos int"), "lists")
+    lists = materialize(dealt.mapInArrow(lean(in_lists(_shared, False)), "token long, key long, n int, pos int"), "lists")
     # all rows with the small parities: who has a pair at all
-    first = materialize(open_pairs(lists, None, reps.select("key", F.col("fold").alias("parity")), light, FOLD_BITS, 0), "open")
+    first = materialize(open_pairs(lists, None, reps.select("key", F.col("fold").alias("parity")), light, 0), "open")
     alive = materialize(both_ends(first), "alive")
     signs = materialize(reps.select("key", "n", "parity").join(alive, "key", "left_semi"), "signs")
     short = materialize(lists.join(alive, "key", "left_semi"), "lists")
@@ -530,7 +603,7 @@ def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested, comps, brought = pairs, components(links), True
     for turn in range(1, FORESTS + 1):
         last = turn == FORESTS or not brought
-        pairs = materialize(open_pairs(short, comps, signs.select("key", "parity"), light, PARITY_BITS, None if last else turn).join(tested, ["a", "b"], "left_anti"), "open")
+        pairs = materialize(open_pairs(short, comps, signs.select("key", "parity"), light, None if last else turn).join(tested, ["a", "b"], "left_anti"), "open")
         found = verify(pairs, texts, shared)
         brought = not found.isEmpty()
         if brought:
