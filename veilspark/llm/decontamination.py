@@ -11,7 +11,8 @@ of the slots. An item leaks into a document if aligned windows cover ``COVERAGE`
 
 The benchmark is the stated query set: its windows go to the workers in blocks of at most ``BLOCK_WINDOWS``
 (a fixed size), each block against all documents; nothing of the documents is shuffled but the matches.
-Items shorter than a window are one window of their own length.
+Items shorter than a window are one window of their own length; as a few words may stand anywhere, they leak only into
+documents of which they are at least ``SHORT_SHARE`` of the tokens.
 
 Defined cases: null or empty text or item matches nothing, nor does an item without a word; repeated rows match alike (results
 are distinct pairs); ties in alignment take the smallest shift; texts are read whole; extra columns are ignored.
@@ -31,6 +32,8 @@ from veilspark.llm.util import PrefixHash, ascii_lower, chunked, lean, mix64, sm
 WINDOW = 6
 COVERAGE = 0.5
 CONSISTENT = 0.8
+#: The part of a document's tokens that an item shorter than a window has to be.
+SHORT_SHARE = 0.5
 #: What a change of shift costs an alignment, in windows.
 SWITCH = 0.75
 BLOCK_WINDOWS = 1 << 20
@@ -183,6 +186,9 @@ class Templates:
         if not docs:
             return []
         docs, items, shifts, offsets = (np.concatenate(x) for x in (docs, items, shifts, offsets))
+        short = self.size[items] < self.window
+        fits = ~short | (self.size[items] >= SHORT_SHARE * np.bincount(row)[docs])
+        docs, items, shifts, offsets = docs[fits], items[fits], shifts[fits], offsets[fits]
         # alignments: the same item at nearly the same shift; insertions and deletions move it by a few tokens
         order = np.lexsort((offsets, shifts, items, docs))
         docs, items, shifts, offsets = docs[order], items[order], shifts[order], offsets[order]
