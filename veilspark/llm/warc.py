@@ -1,6 +1,6 @@
 """Operator 9: WARC archives, written with revisit records and read by splittable byte ranges.
 
-Writing: each task writes one archive of gzip members, a member a record, under an attempt-unique name that is
+Writing: each task writes archives of gzip members, a member a record with its HTTP block, under attempt-unique names that are
 renamed when complete; the list of finished files is the table the job returns, so lost attempts leave
 no half archives behind. Equal payloads of at least ``MIN_REVISIT_BYTES`` become one response (largest
 page_id) and revisits to it.
@@ -33,14 +33,15 @@ MIN_REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
+ARCHIVE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"  # fixed: reruns give the same bytes
 FIELDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
 def encode(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member. A revisit has no payload, but keeps the digest and length of the full one."""
+    """One gzip member: an HTTP response with its payload. A revisit has the HTTP head alone, which tells the length, and keeps the digest of the full payload."""
     revisit = refers_to is not None
-    body = b"" if revisit else payload
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode() + (b"" if revisit else payload)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -48,9 +49,8 @@ def encode(page_id: int | None, url: str | None, payload: bytes, length: int, di
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {length}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
-        "Content-Type: text/html",
+        "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
     record = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -58,24 +58,33 @@ def encode(page_id: int | None, url: str | None, payload: bytes, length: int, di
     return z.compress(record) + z.flush()
 
 
-def write_archives(pages: DataFrame, uri: str) -> DataFrame:
-    """Write ``pages`` (page_id, url, payload, payload_bytes, payload_digest, refers_to) to archives under ``uri``; returns path, size."""
+def write_archives(pages: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write ``pages`` (page_id, url, payload, payload_bytes, payload_digest, refers_to) to archives under ``uri``; returns path, size.
+
+    A task begins another archive when one has reached ``archive_bytes``.
+    """
     small_batches(pages.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from uuid import uuid4
 
-        name = f"{uri}/{uuid4().hex}"
-        size, out = 0, None
+        def closed() -> pa.RecordBatch:
+            out.close()
+            rename_uri(name + ".open", name + ".warc.gz")
+            return pa.RecordBatch.from_pydict({"path": [name + ".warc.gz"], "size": [size]})
+
+        out = None
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
+                    name, size = f"{uri}/{uuid4().hex}", 0
                     out = open_uri(name + ".open", "wb")
                 size += out.write(encode(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["refers_to"]))
+                if size >= archive_bytes:
+                    yield closed()
+                    out = None
         if out is not None:
-            out.close()
-            rename_uri(name + ".open", name + ".warc.gz")
-            yield pa.RecordBatch.from_pydict({"path": [name + ".warc.gz"], "size": [size]})
+            yield closed()
 
     return pages.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to").mapInArrow(lean(run), "path string, size long")
 
@@ -130,7 +139,10 @@ def parse(record: bytes) -> dict:
         k, _, v = line.partition(":")
         fields[k.strip().lower()] = v.strip()
     number = lambda x: int(d) if (d := x.strip("<>").rpartition(":")[2]) else None
-    payload = rest[: int(fields.get("content-length", "0"))]
+    payload, full = rest[: int(fields.get("content-length", "0"))], 0
+    if fields.get("content-type", "").startswith("application/http"):
+        http, _, payload = payload.partition(b"\r\n\r\n")
+        full = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
     kind = fields.get("warc-type", "")
     claimed = fields.get("warc-payload-digest", "").partition(":")[2]
     revisit = kind == "revisit"
@@ -140,7 +152,7 @@ def parse(record: bytes) -> dict:
         "record_type": kind,
         # of a response both are taken from the payload that was read, not from what the header claims
         "payload_digest": claimed if revisit else hashlib.sha1(payload).hexdigest(),
-        "payload_bytes": int(fields.get("x-payload-length", "0")) if revisit else len(payload),
+        "payload_bytes": full if revisit else len(payload),
         "refers_to": number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None,
         "payload": payload,
     }
@@ -202,12 +214,13 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
 def with_revisits(pages: DataFrame) -> DataFrame:
     """Payload, its length and digest, and for every repeated long payload the page_id of its response.
 
-    Groups of copies are found on digests alone, by a partial maximum, and only digests that
-    repeat come back; the hot ones are few rows on that side of the join.
+    Groups of copies are found on digests alone, by a partial maximum, and only digests that repeat are written. Payloads meet
+    them where they are as long as that table is small enough for a broadcast by its written size; beyond, in a plain join, which adaptive execution can split.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    base = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload"), "check": F.sha2("payload", 256)})
+    base = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload"), "check": F.unhex(F.sha2("payload", 256))})
     keys = base.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES).groupBy("check").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).where(F.col("copies") > 1).select("check", "response")
+    keys = materialize(keys, "repeated-payloads")
     return base.join(keys, "check", "left").withColumn("refers_to", F.when((F.col("page_id") != F.col("response")) | (F.col("page_id").isNull() & F.col("response").isNotNull()), F.col("response"))).drop("check", "response")
 
 
