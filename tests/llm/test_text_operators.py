@@ -1,6 +1,7 @@
 """Operators on texts against plain-Python versions; null, empty, repeated and clashing input."""
 
 import collections
+import fractions
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ import numpy as np
 from veilspark.llm import cube_mixing, decontamination, jaccard_join, language_id, line_templates, pii_spans, quality_mil, quality_rules, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SF = "/root/testdata/sf0.001"
 
 
 def rows_of(df):
@@ -152,6 +154,24 @@ def test_op5_drops_recurring_templates(spark):
     assert got[9].text is None and got[9].n_lines == 0 and got[10].text == "" and got[10].n_lines == 1
 
 
+def test_op5_judges_rows(spark):
+    same = "header of the whole site here"
+    rows = [(1, f"{same}\nunique words"), (1, f"another unique opening\n{same}\nclosing text"), (None, f"x y\n{same}"), (None, f"z w\n{same}"), (None, None), (3, same), (3, same)]
+    df = spark.createDataFrame([(d, t, "kept") for d, t in rows], "doc_id long, text string, dropped_lines string")
+    got = rows_of(line_templates.drop_lines(df))
+    texts = sorted(((r.doc_id, r.text) for r in got), key=str)
+    # in the order of doc_id, then text, the first row keeps the line
+    assert texts == sorted([(1, "another unique opening\nheader of the whole site here\nclosing text"), (1, "unique words"), (None, "x y"), (None, "z w"), (None, None), (3, ""), (3, "")], key=str)
+    assert {r.dropped_lines for r in got} == {"kept"} and sum(r.n_dropped for r in got) == 5
+
+
+def test_op5_odd_lines(spark):
+    long = "z" * 200_000
+    rows = [(i, f"  page\t{i}  of \x0b the   book  \n{long}\n{' ' * 100_000}\nown {'abcdef'[i]}") for i in range(4)]
+    got = {r.doc_id: r for r in rows_of(line_templates.op5(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[0].text == rows[0][1] and all(got[i].text == f"{' ' * 100_000}\nown {'abcdef'[i]}" for i in (1, 2, 3))
+
+
 def test_op5_is_native(spark, corpus):
     for df in (line_templates.op5(corpus), pii_spans.op4(corpus)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -236,6 +256,8 @@ def test_op10_rejects_at_both_ends(spark):
     assert not any(r.base_failed for r in got)
     share = collections.Counter(kinds[r.doc_id] for r in got if r.kept)
     assert share["clean"] >= 290 and share["shuffled"] + share["letters"] + share["boilerplate"] == 0, share
+    (share_of,) = rows_of(quality_rules.rejected_shares(quality_rules.judge(docs)))
+    assert (share_of.documents, share_of.passed_rules) == (len(rows), len(rows)) and 0.02 < share_of.too_plain < 0.1 and 0.04 < share_of.too_strange < 0.1
     for kind, high in (("shuffled", True), ("letters", True), ("boilerplate", False)):
         assert all(r.log_perplexity > r.high if high else r.log_perplexity < r.low for r in got if kinds[r.doc_id] == kind)
 
@@ -288,6 +310,56 @@ def test_op3_finds_runs_of_slots(spark):
     assert got[0, 1].slot_consistency == got[1, 2].slot_consistency == 1.0 and got[0, 1].matched_windows == got[0, 1].item_windows
 
 
+def plain_tokens(text):
+    return re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+(?:(?<=[0-9])[.,](?=[0-9])[0-9A-Za-z\u0080-\U0010ffff]+)*", text or "")
+
+
+def test_op3_against_plain_windows(spark):
+    docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet").select(k, "text") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    items = {r.item_id: plain_tokens(r.text) for r in bench.collect()}
+    texts = {r.doc_id: plain_tokens(r.text) for r in docs.collect()}
+    got = {(r.doc_id, r.item_id) for r in rows_of(decontamination.op3(docs, bench))}
+    width = decontamination.WINDOW
+    low = lambda tokens: [x.lower() for x in tokens]
+    windows = lambda tokens: [tuple(tokens[k : k + width]) for k in range(len(tokens) - width + 1)]
+    held = {i: windows(low(t)) for i, t in items.items()}
+    plain = {(d, i) for d, t in texts.items() for own in [set(windows(low(t)))] for i, ws in held.items() if ws and all(w in own for w in ws)}
+    assert plain and plain <= got
+    # what else is found fits at least half of the item's windows if numbers, capitalised words and words behind numbers may be anything
+    for d, i in got - plain:
+        free = [x[0].isdigit() or x[0].isupper() or (k > 0 and items[i][k - 1][0].isdigit()) for k, x in enumerate(items[i])]
+        own, item = low(texts[d]), low(items[i])
+        fits = sum(any(all(free[k + j] or own[p + j] == item[k + j] for j in range(width)) for p in range(len(own) - width + 1)) for k in range(len(item) - width + 1))
+        assert fits >= decontamination.COVERAGE * (len(item) - width + 1)
+
+
+def test_op3_short_items_and_long_texts(spark):
+    item = "The keeper of the northern lighthouse counted nineteen ships before the fog rolled in from the open sea."
+    long = "some plain words of a very long text without end " * 20_000
+    docs = spark.createDataFrame([(1, "Well yes indeed they came"), (2, "Yes."), (3, f"{long} {item} {long}"), (4, long)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Yes"), (2, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in rows_of(decontamination.op3(docs, bench))} == {(2, 1), (3, 2)}
+
+
+def test_op2_and_op8_on_rows_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.where("quality is not null").collect()}
+    held = [r for r in rows_of(quality_mil.op2(docs, labels)) if r.held_out and r.doc_id in truth]
+    assert len(held) > 50 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.9 * len(held)
+    lang = {r.doc_id: r.lang for r in docs.where("lang is not null").collect()}
+    held = [r for r in rows_of(language_id.op8(docs)) if r.held_out and r.doc_id in lang and r.lang_pred != "und"]
+    assert len(held) > 200 and sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_op2_and_op8_repeated_and_long_rows(spark):
+    text = "the house of the morning and the winter light over the river "
+    rows = [(1, text, "en"), (1, text, "en"), (None, text, "en"), (2, text * 5000, "en"), (4, "le matin de la maison et la lumière", "fr"), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    for got in (rows_of(quality_mil.op2(docs, labels)), rows_of(language_id.op8(docs))):
+        assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 1}) == 1
+
+
 def test_op6_meets_targets(corpus):
     got = rows_of(cube_mixing.op6(corpus))
     again = rows_of(cube_mixing.op6(corpus))
@@ -308,6 +380,44 @@ def test_op6_meets_targets(corpus):
         assert abs(per[n][3] - t) < 1e-6 and abs(per[n][1] - t) <= per[n][2]
 
 
+def plain_targets(sizes):
+    """Shares by weight, found by trying which sources stop at three times their size (exact fractions)."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {n: fractions.Fraction((5, 2, 1)[i % 3]) for i, n in enumerate(names)}
+    # sources stop in the order of size per weight
+    order = sorted(names, key=lambda n: sizes[n] / weight[n])
+    total = sum(sizes.values())
+    for k in range(len(order) + 1):
+        left = total - sum(3 * sizes[n] for n in order[:k])
+        open_ = order[k:]
+        share = {n: left * weight[n] / sum(weight[m] for m in open_) for n in open_}
+        if all(share[n] <= 3 * sizes[n] for n in open_):
+            return {n: float(share.get(n, 3 * sizes[n])) for n in names}
+
+
+def test_op6_targets_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes, largest = collections.Counter(), collections.Counter()
+    for r in docs.collect():
+        n = len(WORD.findall(r.text or ""))
+        sizes[r.source] += n
+        largest[r.source] = max(largest[r.source], n)
+    want = plain_targets(sizes)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    taken = collections.Counter()
+    for r in rows_of(cube_mixing.op6(docs)):
+        assert abs(r.target - want[source[r.doc_id]]) < 1e-6 and r.source_size == sizes[source[r.doc_id]]
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= largest[s] for s in want)
+
+
+def test_op6_repeated_and_null_rows(spark):
+    rows = [(1, "a b c", "x")] * 4 + [(None, "d e", None)] * 3 + [(2, None, "x"), (2, "", "y"), (3, "f " * 9, "y")]
+    got = rows_of(cube_mixing.op6(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    assert {r.doc_id for r in got if r.size == 0} == {2}
+
+
 def test_op6_targets_share_out():
     assert np.allclose(cube_mixing.targets(np.array([10, 100, 100]), np.array([5, 2, 1])), [30, 120, 60])
     assert np.allclose(cube_mixing.targets(np.array([0, 0]), np.array([5, 2])), [0, 0])

@@ -36,6 +36,23 @@ def test_any_split_size_reads_all_records_once(spark):
         assert all(bytes(r.payload) == want[r.page_id] for r in got if r.record_type == "response")
 
 
+def test_archives_roll_over(spark):
+    rows, df = pages(spark)
+    files = materialize(warc.write_archives(warc.with_revisits(df.drop("payload")), new_path(spark, "warc"), 5000), "files")
+    assert files.count() > 10 and files.count() == files.select("path").distinct().count()
+    got = warc.read_archives(files).collect()
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+
+
+def test_a_record_is_an_http_response():
+    import zlib
+
+    record = zlib.decompress(warc.encode(1, "http://a/", b"body\r\n\r\nmore", 12, "d", None), 31)
+    head, http, payload = record.split(b"\r\n\r\n", 2)
+    assert b"Content-Type: application/http; msgtype=response" in head and http.startswith(b"HTTP/1.1 200 OK") and payload == b"body\r\n\r\nmore\r\n\r\n"
+    assert f"Content-Length: {len(http) + 4 + 12}".encode() in head.split(b"\r\n")
+
+
 def test_false_magic_inside_a_member(tmp_path):
     a = warc.encode(1, "u", warc.MAGIC * 50, 150, hashlib.sha1(warc.MAGIC * 50).hexdigest(), None)
     b = warc.encode(2, "u", b"two", 3, hashlib.sha1(b"two").hexdigest(), None)

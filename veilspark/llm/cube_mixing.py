@@ -33,6 +33,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 2000
 EPS = 1e-9
+#: Sources whose sizes the driver shares out; more are refused.
+MOST_SOURCES = 200_000
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.ndarray:
@@ -135,7 +137,10 @@ def with_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     spark = docs.sparkSession
     sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
     # one row per source, not per document
-    rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")).collect(), key=lambda r: (r.source is None, (r.source or "").encode()))
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix over a coarser column")
+    rows = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode()))
     share = targets(np.array([r.source_size for r in rows]), np.array([weights[i % len(weights)] for i in range(len(rows))]), most) if rows else []
     stats = spark.createDataFrame([(r.source, i, r.source_size, r.source_docs, float(t)) for i, (r, t) in enumerate(zip(rows, share))], "s string, source_rank int, source_size long, source_docs long, target double")
     return sized.join(stats, sized.source.eqNullSafe(stats.s), "left").select("doc_id", "source", "source_rank", "size", "source_size", "source_docs", "target")

@@ -335,5 +335,14 @@ def judge(docs: DataFrame) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & inside)
 
 
+def rejected_shares(judged: DataFrame) -> DataFrame:
+    """Per language: documents, those that pass the word rules, and the shares of these that lie below and above the band."""
+    passed = ~F.col("base_failed")
+    share = lambda outside: F.count_if(passed & outside) / F.nullif(F.count_if(passed), F.lit(0))
+    return judged.groupBy("lang").agg(
+        F.count("*").alias("documents"), F.count_if(passed).alias("passed_rules"), share(F.col("log_perplexity") < F.col("low")).alias("too_plain"), share(F.col("log_perplexity") > F.col("high")).alias("too_strange"),
+    )
+
+
 def op10(docs: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "lang", "text")).select("doc_id", *COUNTS, "base_failed", "kept", "log_perplexity", "low", "high")
