@@ -120,3 +120,46 @@ def test_detector_runs_once_in_long_form(spark):
     df = spark.createDataFrame([(1, "a@b.it")], "doc_id long, text string")
     plan = engine.findings(df, "maximum", WORDS, only={"emails"}, coreference=False)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(fixed.MAIL[:20]) == 1
+
+
+def test_no_cap_on_places(spark):
+    long = "san pietro in valle di sopra e di sotto"
+    words = Dictionaries([], [], [long, "san pietro", "san"])
+    text = f"abita a {long.title()} e a San {' ' * 1200} Pietro, poi a San Giorgio; \n San Pietro in Valle;"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.entity_type, r.value) for r in engine.findings(df, "maximum", words, only={"dictionary_places"}).orderBy("start").collect()]
+    assert got == [("LOCATION", long.title()), ("LOCATION", f"San {' ' * 1200} Pietro"), ("LOCATION", "San")]
+
+
+def test_no_cap_on_names_and_ibans(spark):
+    name = f"Mario{' ' * 1100}Rossi"
+    iban = "IT 60 " + " ".join("X0542811101000000123456").replace("0 5 4", "0" + "\n" * 400 + "5 4")
+    assert found(spark, f"con {name} e {iban}.", only={"dictionary_persons", "ibans"}, coreference=False) == [("PERSON", name), ("IBAN", iban)]
+    assert found(spark, f"con Mario{' ' * 985}Rossi Bianchi", only={"dictionary_persons"}, coreference=False) == [("PERSON", f"Mario{' ' * 985}Rossi Bianchi")]
+
+
+def test_dictionaries_are_bounded():
+    with pytest.raises(ValueError):
+        Dictionaries([str(i) for i in range(200_001)])
+
+
+def test_literals_in_any_case():
+    spans_of = resolve.literal_spans
+    assert spans_of("Straße e STRASSE", "strasse") == [(0, 6), (9, 16)]
+    assert spans_of("aaaa", "AA") == [(0, 2), (1, 3), (2, 4)]
+    assert spans_of("ß", "s") == [] and spans_of("", "a") == [] and spans_of("a", "") == []
+    assert spans_of("xﬁy FI", "fi") == [(1, 2), (4, 6)]
+
+
+def test_display_and_state(spark):
+    df = spark.createDataFrame([(1, "scrivi a a@b.it e c@d.it", [True, False])], "doc_id long, text string, included array<boolean>")
+    detected = engine.detect(df, "maximum", WORDS, only={"emails"}, coreference=False)
+    shown = report.serialized(engine.explode(detected)).orderBy("start").first()
+    assert (shown.label, shown.source_label, shown.preview, shown.score) == ("email", "Regole italiane locali", "a@b.it", 0.98)
+    (p,) = report.provenance(detected, "reversible", ".txt", 2).collect()
+    assert (p.total_findings, p.included_findings, p.excluded_findings, p.map_required, p.revision, p.kind) == (2, 1, 1, True, 2, "anonymized")
+    other = report.fingerprints(detected.withColumn("included", F.array(F.lit(True)))).first()
+    assert other.text_sha256 == p.text_sha256 and other.selection_sha256 != p.selection_sha256
+    assert other.selection_sha256 == report.fingerprints(detected.drop("included")).first().selection_sha256
+    (form,) = report.review_form(engine.explode(detected), grouped_above=1, search_from=3).collect()
+    assert (form.n, form.grouped, form.searchable) == (2, True, False)

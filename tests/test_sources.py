@@ -35,13 +35,12 @@ def test_files(spark, tmp_path):
     assert guarded == {".txt": None, ".docx": None}
 
 
-def test_docx_rewrite_across_runs():
-    data = docx([["scrivi a ma", "rio@x", ".it ora"]], ["IT", "60"])
-    edit = lambda t: [(t.index("mario"), t.index(" ora"), "<EMAIL>")] if "mario" in t else ([(0, 4, "<IBAN>")] if t == "IT60" else [])
-    out = documents.sanitize_docx(data, edit)
-    assert documents.docx_text(out) == "scrivi a <EMAIL> ora\n<IBAN>"
-    with zipfile.ZipFile(io.BytesIO(out)) as z:
-        assert b"Mario" not in z.read("docProps/core.xml")
+def test_output_files(spark, tmp_path):
+    rows = spark.createDataFrame([("/a/x.txt", "uno"), ("/b/x.md", "due"), ("/b/y.csv", "tre"), ("/b/z.txt", None)], "path string, anonymized string")
+    documents.write_outputs(rows, str(tmp_path / "out"))
+    documents.write_outputs(rows, (tmp_path / "out").as_uri())
+    got = {f.name: f.read_text() for f in (tmp_path / "out").iterdir()}
+    assert got == {"x_anonimizzato.txt": "uno", "x_anonimizzato_2.txt": "due", "y_anonimizzato.csv": "tre"}
 
 
 def test_extracted_text(spark):
@@ -101,3 +100,18 @@ def test_boxes(spark):
     assert documents.ocr_text(words).first().text == "Mario Rossi"
     hit = spark.createDataFrame([(1, 1, "PERSON", 6, 11)], "doc_id long, page int, entity_type string, start int, end int")
     assert [tuple(r) for r in documents.redaction_boxes(words, hit).collect()] == [(1, 1, "PERSON", 32, 2, 58, 16)]
+
+
+def test_maps_of_documents(spark):
+    rows = spark.createDataFrame([(i, f"<EMAIL_{i}>", "EMAIL_ADDRESS", f"u{i}@b.it") for i in range(1, 6)], "doc_id long, placeholder string, entity_type string, value string")
+    maps = reverse_map.encrypt_each(rows, "pass").cache()
+    assert all(b"@b.it" not in bytes(r.token) for r in maps.collect())
+    assert sorted(map(tuple, reverse_map.decrypt_each(maps, "pass").collect())) == sorted(map(tuple, rows.collect()))
+    assert {r.placeholder for r in reverse_map.decrypt_each(maps, "other").collect()} == {None}
+
+
+def test_one_file_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(reverse_map, "MOST_ENTRIES", 2)
+    rows = spark.range(3).select(F.col("id").cast("string").alias("placeholder"))
+    with pytest.raises(reverse_map.MapError):
+        reverse_map.encrypt(rows, "pass")

@@ -113,13 +113,15 @@ def all_upper(value: Column) -> Column:
     return (value == F.upper(value)) & (value != F.lower(value))
 
 
-def normal_place(value: Column) -> Column:
-    """Place name for comparison: tokens in lower case, joined by spaces.
+def normal_token(word: Column) -> Column:
+    """A word of a place name for comparison. Of the letters that place words have, case folding differs from lower case for one only."""
+    return F.replace(F.lower(F.translate(word, "’‐‑–—", "'----")), F.lit("ß"), F.lit("ss"))
+
 
-    The compatibility forms that Unicode folding would also unify do not occur in place names.
-    """
+def normal_place(value: Column) -> Column:
+    """Place name for comparison: words in lower case, joined by spaces. (Dictionaries get their compatibility forms unified when they are read.)"""
     unified = F.translate(value, "’‐‑–—", "'----")
-    return F.lower(F.array_join(F.regexp_extract_all(unified, F.lit(fixed.PLACE_TOKEN), F.lit(0)), " "))
+    return normal_token(F.array_join(F.regexp_extract_all(unified, F.lit(fixed.PLACE_TOKEN), F.lit(0)), " "))
 
 
 def is_first_name(word: Column, names: list[str]) -> Column:

@@ -57,6 +57,15 @@ SOURCE_LABELS = {
     "manual": "Aggiunto manualmente",
 }
 
+# --- fixed values: labels of the activity log ---------------------------------------------------------------------
+LOG_ACTIONS = {"analysis": "Analisi", "anonymization": "Anonimizzazione", "save": "Salvataggio"}
+LOG_SOURCES = {"document": "Documento", "pasted_text": "Testo incollato"}
+
+# --- fixed values: OOXML names that hold text or persons -------------------------------------------------------------
+DOCX_TEXT_NODES = ("t", "delText", "instrText")
+DOCX_PERSONAL_ATTRIBUTES = ("author", "initials", "lastModifiedBy")
+DOCX_NAMING_ATTRIBUTES = ("name", "linkTarget")
+
 # --- fixed values: IBAN lengths of the public registry -------------------------------------------------------------
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22,
@@ -195,3 +204,15 @@ LEGAL_PHRASE = r"(?U)\b(?:corte(?:\s+di)?\s+appello|giudice\s+(?:di\s+merito|del
 POTENZA_AFTER = r"(?iU)^\s+(?:di|del|dello|della|dei|degli|delle)\b"
 NUMBERED = r"<([A-Z_]+)_(\d+)>"
 PYTHON_LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+# --- fixed values: what text extracted from pages is cleaned of (pattern, new text), in this order -----------------
+EXTRACTED_TEXT = [
+    ("\u00ad", ""),
+    ("\r\n|\r", "\n"),
+    (rf"(?U)(?<=[{LETTERS}])-\s*\n\s*(?=[{LOWER}])", ""),
+]
+EXTRACTED_BREAK = r"(?U)\n\s*\n+"
+EXTRACTED_PARAGRAPH = [
+    (r"(?U)\s+([,.;:!?])", "$1"),
+    (rf"(?U)(?<=[’'])\s+(?=[{LETTERS}])", ""),
+]

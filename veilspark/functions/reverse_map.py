@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 SCHEMA_VERSION = 1
 ROUNDS = 390_000
 FORMAT = "veilspark-restore-map"
+#: Entries of one restore file, which the driver makes.
+MOST_ENTRIES = 100_000
+#: Salts, that is calls of :func:`encrypt_each`, whose maps are opened together.
+MOST_SALTS = 100
 
 
 class MapError(ValueError):
@@ -34,17 +38,45 @@ def _key(passphrase: str, salt: bytes) -> bytes:
 
 
 def encrypt(mapping: DataFrame, passphrase: str) -> bytes:
-    """The envelope of a mapping (placeholder, entity_type, value; doc_id kept where present)."""
+    """The envelope of a mapping (placeholder, entity_type, value; doc_id kept where present): one file, of at most ``MOST_ENTRIES``.
+
+    For a corpus there is :func:`encrypt_each`.
+    """
     spark = mapping.sparkSession
     salt = os.urandom(16)
     key = _key(passphrase, salt)
-    rows = [r.asDict() for r in mapping.orderBy(*[c for c in ("doc_id", "placeholder") if c in mapping.columns]).collect()]
+    rows = [r.asDict() for r in mapping.orderBy(*[c for c in ("doc_id", "placeholder") if c in mapping.columns]).limit(MOST_ENTRIES + 1).collect()]
+    if len(rows) > MOST_ENTRIES:
+        raise MapError(f"more than {MOST_ENTRIES} entries: encrypt each document's map by itself")
     payload = json.dumps({"schema_version": SCHEMA_VERSION, "created_at": datetime.now(timezone.utc).isoformat(), "entries": rows}, ensure_ascii=False).encode()
     sealed = spark.createDataFrame([(bytearray(payload), bytearray(key))], "p binary, k binary").select(F.aes_encrypt("p", "k", F.lit("GCM"))).first()[0]
     text = {"schema_version": SCHEMA_VERSION, "format": FORMAT, "kdf": "PBKDF2-HMAC-SHA256", "iterations": ROUNDS, "salt": base64.b64encode(salt).decode(), "token": base64.b64encode(bytes(sealed)).decode()}
     return json.dumps(text, indent=2).encode()
 
 
+def encrypt_each(mapping: DataFrame, passphrase: str) -> DataFrame:
+    """doc_id, salt, token: the sealed map of each document of a mapping with doc_id, made where the rows are.
+
+    One salt and key serve all maps of a call (deriving a key is made slow on purpose); every map has a nonce of its own.
+    """
+    salt = os.urandom(16)
+    key = bytearray(_key(passphrase, salt))
+    entries = F.to_json(F.array_sort(F.collect_list(F.struct("placeholder", "entity_type", "value"))))
+    made = mapping.groupBy("doc_id").agg(entries.alias("entries"))
+    return made.select("doc_id", F.lit(bytearray(salt)).alias("salt"), F.aes_encrypt(F.col("entries").cast("binary"), F.lit(key), F.lit("GCM")).alias("token"))
+
+
+def decrypt_each(maps: DataFrame, passphrase: str) -> DataFrame:
+    """doc_id, placeholder, entity_type, value of maps by :func:`encrypt_each`; a map that does not open (wrong password, damage) is a row with nulls."""
+    salts = [bytes(r.salt) for r in maps.select("salt").distinct().limit(MOST_SALTS + 1).collect()]
+    if len(salts) > MOST_SALTS:
+        raise MapError(f"maps of more than {MOST_SALTS} calls: open them call by call")
+    keys = F.create_map(*(F.lit(x) for s in salts for x in (s.hex(), bytearray(_key(passphrase, s))))) if salts else F.create_map().cast("map<string,binary>")
+    opened = F.try_aes_decrypt("token", F.try_element_at(keys, F.lower(F.hex("salt"))), F.lit("GCM")).cast("string")
+    rows = F.from_json(opened, "array<struct<placeholder:string,entity_type:string,value:string>>")
+    return maps.select("doc_id", F.explode_outer(rows).alias("e")).select("doc_id", "e.*")
+
+
 def decrypt(spark: SparkSession, data: bytes, passphrase: str) -> list[dict]:
     try:
         text = json.loads(data)

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OPEN, FIELD = "\u0001", "\u0002"
+#: Matches of a text are gathered by so many, as appending to an array copies it.
+CHUNK = 256
 FINDING = "struct<entity_type:string,start:int,end:int,score:double,source:string>"
 FINDINGS = f"array<{FINDING}>"
 
@@ -56,11 +58,33 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), value: int =
         return let(F.split(piece, FIELD, width + 2), of_fields)
 
     def fold(pieces: Column) -> Column:
-        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), F.struct(F.length(pieces[0]).alias("at"), none.alias("out")), step, lambda a: a["out"])
+        def of_chunk(acc: Column, k: Column) -> Column:
+            some = F.aggregate(F.slice(pieces, k * CHUNK + 2, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return let(some, lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], got["out"]).alias("out")))
+
+        chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(pieces) - 2, F.lit(0)) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(F.length(pieces[0]).alias("at"), none.alias("out")), of_chunk, lambda a: a["out"])
 
     return let(F.split(marked, OPEN), fold)
 
 
+def extract_at(text: Column, start: Column, pattern: str, seen: str, window: int = 1000) -> Column:
+    """What an anchored ``pattern`` matches in ``text`` from ``start`` on, however long.
+
+    The next ``window`` characters are tried first, so that long texts are not copied for each place. That decides the match only if they reach the end of
+    the text, or if what follows it in them matches ``seen``: enough to know that nothing further on can change it. Else all the rest is tried.
+    """
+
+    def of_near(near: Column) -> Column:
+        def of_match(m: Column) -> Column:
+            decided = (F.length(near) < window) | F.substring(near, F.length(m) + 1, F.length(near)).rlike(seen)
+            return F.when(decided, m).otherwise(F.regexp_extract(F.substring(text, start + 1, F.length(text)), pattern, 0))
+
+        return let(F.regexp_extract(near, pattern, 0), of_match)
+
+    return let(F.substring(text, start + 1, F.lit(window)), of_near)
+
+
 def gated(gate: Column, found: Column, kind: str = FINDINGS) -> Column:
     """``found`` where the cheap necessary condition holds, else an empty array."""
     return F.when(gate, found).otherwise(F.array().cast(kind))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import FINDINGS, clean
 from veilspark.operators import resolve, rewrite
-from veilspark.operators.recognizers import RULES, WITH_WORDS, Dictionaries
+from veilspark.operators.recognizers import LOOKS_UP, RULES, WITH_WORDS, Dictionaries, mentions
 from veilspark.operators.rewrite import check_mode
 
 #: Longest text of one interactive request.
@@ -31,18 +32,29 @@ def built(key: tuple, make: Callable[[], Column]) -> Column:
     return _built[key]
 
 
+def _key(words: Dictionaries) -> tuple:
+    return tuple(words.first_names), tuple(words.regions), tuple(words.places)
+
+
 def rule_column(name: str, rule: Callable, words: Dictionaries) -> Column:
     if name not in WITH_WORDS:
         return built((name,), lambda: rule(F.col("_clean")).alias(f"_{name}"))
-    return built((name, tuple(words.first_names), tuple(words.regions), tuple(words.places)), lambda: rule(F.col("_clean"), words).alias(f"_{name}"))
+    known = [F.col(f"_has_{LOOKS_UP[name]}")] if name in LOOKS_UP and getattr(words, LOOKS_UP[name]) else []
+    return built((name, *_key(words)), lambda: rule(F.col("_clean"), words, *known).alias(f"_{name}"))
 
 
 def candidates(docs: DataFrame, mode: str = "standard", words: Dictionaries | None = None, only: set[str] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` and one array column ``_<rule>`` per recognizer, in four projections, so that generated code stays small."""
+    """``docs`` and one array column ``_<rule>`` per recognizer, in four projections, so that generated code stays small.
+
+    Whether a text has a first word of the dictionaries at all is found in a projection before, once for all rules that look words up.
+    """
     check_mode(mode)
     words = words or Dictionaries()
     out = docs.withColumn("_clean", clean(F.col(text)))
     rules = [(n, f) for n, f in RULES if (mode != "standard" or n != "dates") and (only is None or n in only)]
+    gates = sorted({LOOKS_UP[n] for n, _ in rules if n in LOOKS_UP and getattr(words, LOOKS_UP[n])})
+    if gates:
+        out = out.select("*", *(built((kind, *_key(words)), lambda kind=kind: mentions(F.col("_clean"), getattr(words, kind)).alias(f"_has_{kind}")) for kind in gates))
     for at in range(0, len(rules), 7):
         out = out.select("*", *(rule_column(n, f, words) for n, f in rules[at : at + 7]))
     return out
@@ -64,7 +76,7 @@ def detect(
     findings, a vectorised UDF for instance. Null text has no findings.
     """
     found = candidates(docs, mode, words, only, text)
-    rules = [c for c in found.columns if c.startswith("_") and c != "_clean" and c not in docs.columns]
+    rules = [c for c in found.columns if c.startswith("_") and c != "_clean" and not c.startswith("_has_") and c not in docs.columns]
     out = found.withColumn("findings", built(("dedupe", *rules), lambda: resolve.dedupe(F.concat(*(F.col(c) for c in rules)))))
     if extra is not None:
         out = out.withColumn("findings", resolve.merge(F.col("findings"), F.col(extra)))
@@ -116,6 +128,21 @@ def restore(docs: DataFrame, mapping: DataFrame, text: str = "anonymized") -> Da
     return out.withColumn("restored", rewrite.restored(F.col(text), F.col("_entries"))).withColumn("status", rewrite.placeholder_status(F.col(text), F.col("_entries"))).drop("_entries")
 
 
+@contextmanager
+def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
+    """Jobs started in the block, by this thread, form a group; the value, called from any thread, cancels those that run.
+
+    How far they are is what Spark's status tracker says of the group (``sc.statusTracker().getJobIdsForGroup``).
+    """
+    context = spark.sparkContext
+    context.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield lambda: context.cancelJobGroup(name)
+    finally:
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(key, None)
+
+
 def accepted(docs: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
     """Texts that one request may hold: not blank and not too long."""
     return docs.where((F.length("text") <= most) & (F.trim("text") != ""))

@@ -6,6 +6,7 @@ Gates in front are conditions that a match implies, so that texts without a cand
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,12 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, fixed
-from veilspark.functions.spans import FINDINGS, any_of, before, finding, gated, let, spans, trimmed
+from veilspark.functions.spans import FINDINGS, any_of, before, extract_at, finding, gated, let, spans, trimmed
 
-#: A four-word name is shorter than this many characters.
-NAME_REACH = 1000
-#: Longest dictionary place, in words.
-PLACE_WORDS = 6
+#: Most entries of a dictionary: its words stand in the plan, so they have to be a dimension table.
+MOST_WORDS = 200_000
+#: Behind a match, what shows that words further on cannot belong to it: two more words and a blank.
+WORDS_SEEN = r"(?U)^\s*\S+\s+\S+\s"
+#: The same for codes: a sign that no code holds.
+CODE_SEEN = r"(?U)^[\s\w-]*+[^\s\w-]"
 
 
 @dataclass
@@ -29,9 +32,14 @@ class Dictionaries:
     regions: list[str] = field(default_factory=list)
     places: list[str] = field(default_factory=list)  # regions included
 
+    def __post_init__(self) -> None:
+        if max(len(self.first_names), len(self.places)) > MOST_WORDS:
+            raise ValueError(f"a dictionary has more than {MOST_WORDS} entries")
+
     @property
     def longest(self) -> int:
-        return min(PLACE_WORDS, max((len(p.split()) for p in self.places), default=0))
+        """Words of the longest place."""
+        return max((len(p.split()) for p in self.places), default=0)
 
 
 def _digit(t: Column) -> Column:
@@ -152,7 +160,7 @@ def ibans(t: Column) -> Column:
 
             return let(F.upper(checks.compact(whole, r"[\s-]")), of_code)
 
-        return let(F.regexp_extract(F.substring(t, s["start"] + 1, F.lit(100)), fixed.IBAN_WHOLE, 0), of_whole)
+        return let(extract_at(t, s["start"], fixed.IBAN_WHOLE, CODE_SEEN, 300), of_whole)
 
     tried = F.filter(F.transform(spans(t, fixed.IBAN_HEAD), candidate), lambda s: s["end"].isNotNull())
     none = F.array().cast(FINDINGS)
@@ -234,7 +242,8 @@ def organizations(t: Column) -> Column:
     plain = F.concat(_trimmed(t, "ORGANIZATION", fixed.FIRM_SUFFIX, 0.9, period=False), _trimmed(t, "ORGANIZATION", fixed.FIRM_PREFIX, 0.88, period=False))
     joined = let(broken, lambda bs: F.concat(F.filter(plain, lambda f: ~F.exists(bs, lambda b: (f["start"] < b["end"]) & (b["start"] < f["end"]))), bs))
     found = F.concat(joined, _trimmed(t, "ORGANIZATION", fixed.ACADEMIC, 0.9))
-    gate = t.rlike(r"(?i)s\.?[ \t]*[rpnas]|coop|onlus|aps|ets|ditta|societ|impresa|azienda|ragione|denominazione|universit|dipartimento")
+    forms = r"[ \t-]s\.?[ \t]*(?:r\.?[ \t]*l|p\.?[ \t]*a|n\.?[ \t]*c|a\.?[ \t]*s|s)(?!\w)|soc\.?[ \t]*coop|onlus|[ \t](?:aps|ets)(?!\w)"
+    gate = t.rlike(rf"(?i){forms}|cooperativa|ditta|societ|impresa|azienda|ragione\s|denominazione|universit|dipartimento")
     return gated(gate, F.filter(found, lambda f: checks.organization(F.substring(t, f["start"] + 1, f["end"] - f["start"]))))
 
 
@@ -248,30 +257,41 @@ def _person_value(value: Column) -> Column:
 
 
 def persons(t: Column) -> Column:
-    found = F.concat(spans(t, fixed.PERSON_TITLED, value=1), spans(t, fixed.PERSON_BEFORE))
+    none = "array<struct<start:int,end:int,value:string,from:int,to:int>>"
+    titled = gated(t.rlike(r"(?i)(?<![a-z])(?:sig|dott|avv|ing[.\s]|geom|rag[.\s]|prof|notai|sottoscritt|client|referent|rappresentant|titolar|nat[oa]\s|intestat|beneficiari)"), spans(t, fixed.PERSON_TITLED, value=1), none)
+    behind = r"(?i)[^a-z0-9](?:nat[oa]|residente|domiciliat[oa]|codice\s+fiscale|c\.?\s*f|e-?mail|pec|tel|telefono|cell|cellulare)(?![a-z])"
+    found = F.concat(titled, gated(t.rlike(behind), spans(t, fixed.PERSON_BEFORE), none))
     cut = F.transform(found, lambda s: F.struct(s["start"].alias("start"), _person_value(s["value"]).alias("value")))
     return F.transform(F.filter(cut, lambda s: checks.person(F.trim(s["value"]))), lambda s: finding("PERSON", s["start"], s["start"] + F.length(s["value"]), 0.84))
 
 
-def dictionary_persons(t: Column, words: Dictionaries) -> Column:
+def mentions(t: Column, phrases: list[str]) -> Column:
+    """Whether the text has a run of letters that begins one of the phrases: a gate for the rules that look dictionary words up."""
+    first = sorted({found[0].replace("ß", "ss") for p in phrases if (found := re.findall(f"[{fixed.LETTERS}]+", p.lower()))})
+    return F.exists(F.split(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), f"[^{fixed.LETTERS}]+"), lambda w: w.isin(first))
+
+
+def dictionary_persons(t: Column, words: Dictionaries, known: Column | None = None) -> Column:
     """From each known first name on, up to four capitalised words; not behind a street word; no start inside a person."""
     if not words.first_names:
         return F.array().cast(FINDINGS)
+    known = mentions(t, words.first_names) if known is None else known
     tokens = spans(t, fixed.NAME_TOKEN, keep=lambda v: checks.is_first_name(v, words.first_names))
-    runs = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), _person_value(F.regexp_extract(F.substring(t, s["start"] + 1, F.lit(NAME_REACH)), fixed.NAME_RUN, 0)).alias("value")))
+    runs = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), _person_value(extract_at(t, s["start"], fixed.NAME_RUN, WORDS_SEEN)).alias("value")))
     good = F.filter(runs, lambda s: (s["value"] != "") & checks.person(s["value"]) & ~before(t, s["start"], 16).rlike(fixed.AFTER_STREET))
 
     def step(a: Column, s: Column) -> Column:
         end = s["start"] + F.length(s["value"])
         return F.when(s["start"] >= a["at"], F.struct(end.alias("at"), F.concat(a["out"], F.array(finding("PERSON", s["start"], end, 0.72, "name_dictionary"))).alias("out"))).otherwise(a)
 
-    return F.aggregate(good, F.struct(F.lit(-1).alias("at"), F.array().cast(FINDINGS).alias("out")), step, lambda a: a["out"])
+    return gated(known, F.aggregate(good, F.struct(F.lit(-1).alias("at"), F.array().cast(FINDINGS).alias("out")), step, lambda a: a["out"]))
 
 
-def surname_first(t: Column, words: Dictionaries) -> Column:
+def surname_first(t: Column, words: Dictionaries, known: Column | None = None) -> Column:
     """SURNAME Given, or Surname Given in a roster or alone on its line; the given name is a known one."""
     if not words.first_names:
         return F.array().cast(FINDINGS)
+    known = mentions(t, words.first_names) if known is None else known
 
     def alone(s: Column) -> Column:
         line = F.concat(F.substring_index(F.substring(t, F.lit(1), s["start"]), "\n", -1), s["value"], F.substring_index(F.substring(t, s["end"] + 1, F.length(t)), "\n", 1))
@@ -282,7 +302,7 @@ def surname_first(t: Column, words: Dictionaries) -> Column:
         return checks.is_first_name(checks.words(s["g2"])[0], words.first_names) & ~s["g1"].isin(fixed.SURNAME_STOP) & listed
 
     found = F.concat(F.filter(spans(t, fixed.SURNAME_FIRST, (1, 2)), ok), F.filter(spans(t, fixed.SURNAME_ROSTER, (1, 2)), ok))
-    return F.transform(found, lambda s: finding("PERSON", s["start"], s["end"], 0.8, "surname_first_rule"))
+    return gated(known, F.transform(found, lambda s: finding("PERSON", s["start"], s["end"], 0.8, "surname_first_rule")))
 
 
 def place_context(t: Column, start: Column) -> Column:
@@ -301,26 +321,35 @@ def place_shape(value: Column) -> Column:
     return (v != "") & ~((v == F.lower(v)) & (v != F.upper(v))) & v.rlike(fixed.PLACE_TEXT) & v.rlike(fixed.PLACE_TOKEN)
 
 
-def dictionary_places(t: Column, words: Dictionaries) -> Column:
+def dictionary_places(t: Column, words: Dictionaries, known: Column | None = None) -> Column:
     """Longest run of words that the place dictionary knows; words are used up before context is asked for."""
     if not words.places:
         return F.array().cast(FINDINGS)
+    known = mentions(t, words.places) if known is None else known
     first_words = sorted({p.split()[0] for p in words.places})
-    tokens = spans(t, fixed.PLACE_TOKEN, keep=lambda v: checks.normal_place(v).isin(first_words))
+    starts = lambda v: checks.normal_token(v).isin(first_words)
+    tokens = spans(t, fixed.PLACE_TOKEN, keep=starts)
+    run = rf"(?U)^{fixed.PLACE_TOKEN}(?:\s+{fixed.PLACE_TOKEN}){{0,{words.longest - 1}}}"
 
     def longest(s: Column) -> Column:
-        def of_rest(rest: Column) -> Column:
-            def phrase(k: int) -> Column:
-                known = lambda value: F.when((value != "") & checks.normal_place(value).isin(words.places), F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end")))
-                return let(F.regexp_extract(rest, rf"(?U)^{fixed.PLACE_TOKEN}(?:\s+{fixed.PLACE_TOKEN}){{{k - 1}}}", 0), known)
+        """As many words of the run as the dictionary knows as one place: the last such number decides."""
+
+        def of_run(phrase: Column) -> Column:
+            def of_words(parts: Column) -> Column:
+                counts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " ").isin(words.places))
+                return let(F.element_at(F.concat(F.array(F.lit(0)), counts), -1), of_count)
+
+            def of_count(k: Column) -> Column:
+                exactly = F.concat(F.lit(rf"(?U)^{fixed.PLACE_TOKEN}(?:\s+{fixed.PLACE_TOKEN}){{"), (k - 1).cast("string"), F.lit("}"))
+                value = F.call_function("regexp_extract", phrase, exactly, F.lit(0))
+                return F.when(k > 0, F.struct(s["start"].alias("start"), (s["start"] + F.length(value)).alias("end")))
 
-            return F.coalesce(*(phrase(k) for k in range(words.longest, 0, -1)))
+            return let(F.transform(F.regexp_extract_all(phrase, F.lit(fixed.PLACE_TOKEN), F.lit(0)), checks.normal_token), of_words)
 
-        return let(F.substring(t, s["start"] + 1, F.lit(NAME_REACH)), of_rest)
+        return let(extract_at(t, s["start"], run, WORDS_SEEN), of_run)
 
-    known = F.filter(F.transform(tokens, longest), lambda s: s.isNotNull())
     kept = F.aggregate(
-        known,
+        F.filter(F.transform(tokens, longest), lambda s: s.isNotNull()),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
         lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a),
         lambda a: a["out"],
@@ -328,7 +357,7 @@ def dictionary_places(t: Column, words: Dictionaries) -> Column:
     named = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(t, s["start"] + 1, s["end"] - s["start"]).alias("value")))
     region = lambda s: checks.normal_place(s["value"]).isin(words.regions) if words.regions else F.lit(False)
     good = F.filter(named, lambda s: place_shape(s["value"]) & (region(s) | place_context(t, s["start"]) | standalone_field(t, s["start"], s["end"])))
-    return F.transform(good, lambda s: finding("LOCATION", s["start"], s["end"], F.when(region(s), 0.9).otherwise(0.82), "location_dictionary"))
+    return gated(known, F.transform(good, lambda s: finding("LOCATION", s["start"], s["end"], F.when(region(s), 0.9).otherwise(0.82), "location_dictionary")))
 
 
 def never_a_place(value: Column, words: Dictionaries) -> Column:
@@ -364,7 +393,7 @@ def accept_model_place(t: Column, start: Column, end: Column, words: Dictionarie
     marks = any_of(value, (fixed.ADDRESS_MARK, fixed.INSTITUTION_MARK, fixed.NOT_PLACE_MARK, fixed.TITLE_MARK, r"\n[ \t]*\n"))
     rejected = ~place_shape(value) | marks | before(t, start, 40).rlike(fixed.TITLE_BEFORE) | plain.isin(*fixed.MODEL_PLACE_REJECTS) | plain.rlike(fixed.LEGAL_PHRASE) | never_a_place(value, words)
     context = place_context(t, start)
-    ambiguous = (plain == "potenza") & F.substring(t, end + 1, F.lit(100)).rlike(fixed.POTENZA_AFTER) & ~context & ~standalone_field(t, start, end)
+    ambiguous = (plain == "potenza") & F.substring(t, end + 1, F.length(t)).rlike(fixed.POTENZA_AFTER) & ~context & ~standalone_field(t, start, end)
     known = plain.isin(words.places) if words.places else F.lit(False)
     return ~rejected & ~ambiguous & (known | context | (F.size(F.split(plain, " ")) >= 2))
 
@@ -386,3 +415,5 @@ RULES: list[tuple[str, Callable]] = [
     ("dictionary_persons", dictionary_persons), ("surname_first", surname_first), ("dates", dates),
 ]
 WITH_WORDS = {"dictionary_places", "listed_places", "dictionary_persons", "surname_first"}
+#: Which of them look first names or places up.
+LOOKS_UP = {"dictionary_places": "places", "dictionary_persons": "first_names", "surname_first": "first_names"}

@@ -10,6 +10,9 @@ from veilspark.functions.spans import let
 from veilspark.operators.resolve import lookup
 from veilspark.operators.rewrite import check_mode
 
+#: Findings of a document beyond which a review groups them by value, and from which it offers a search.
+GROUPED_ABOVE, SEARCH_FROM = 30, 8
+
 
 def label(entity: Column, count: Column) -> Column:
     one, many = ({e[0]: e[k] for e in fixed.ENTITIES} for k in (2, 3))
@@ -133,6 +136,32 @@ def model_benchmark(found: DataFrame, required: DataFrame, forbidden: DataFrame)
 
 
 def fingerprints(detected: DataFrame) -> DataFrame:
-    """doc_id, text_sha256, selection_sha256: of the text, and of type, start, end, source of the findings as JSON."""
-    rows = F.to_json(F.transform("findings", lambda f: F.struct(f["entity_type"].alias("type"), f["start"].alias("start"), f["end"].alias("end"), f["source"].alias("source"))))
+    """doc_id, text_sha256, selection_sha256: of the text, and of type, start, end, source and choice of the findings as JSON.
+
+    The choice is that of ``included`` (an array beside ``findings``), where there is such a column; what it does not reach is included.
+    """
+    chosen = (lambda i: F.coalesce(F.get("included", i), F.lit(True))) if "included" in detected.columns else (lambda i: F.lit(True))
+    rows = F.to_json(F.transform("findings", lambda f, i: F.struct(f["entity_type"].alias("type"), f["start"].alias("start"), f["end"].alias("end"), f["source"].alias("source"), chosen(i).alias("included"))))
     return detected.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.sha2(rows.cast("binary"), 256).alias("selection_sha256"))
+
+
+def provenance(detected: DataFrame, mode: str, output_format: str, revision: int = 1, used_ocr: bool = False) -> DataFrame:
+    """Where an output comes from: doc_id, revision, mode, both fingerprints, findings in all, included and excluded, format, and whether a restore map belongs to it."""
+    total = F.size("findings")
+    left_out = F.size(F.filter("included", lambda x: ~x)) if "included" in detected.columns else F.lit(0)
+    sums = detected.select("doc_id", total.alias("total_findings"), F.greatest(total - left_out, F.lit(0)).alias("included_findings"), left_out.alias("excluded_findings"))
+    fixed_parts = {"revision": revision, "mode": check_mode(mode), "output_format": output_format, "used_ocr": used_ocr, "map_required": mode == "reversible", "kind": "anonymized"}
+    return sums.join(fingerprints(detected), "doc_id").withColumns({k: F.lit(v) for k, v in fixed_parts.items()})
+
+
+def serialized(long: DataFrame) -> DataFrame:
+    """Findings in long form as a display takes them: labels beside codes, score to four digits, the value as preview."""
+    return long.select(
+        "doc_id", "entity_type", label(F.col("entity_type"), F.lit(1)).alias("label"), "start", "end", F.round("score", 4).alias("score"), "source", source_label(F.col("source")).alias("source_label"),
+        F.col("value").alias("preview"),
+    )
+
+
+def review_form(reviewed: DataFrame, grouped_above: int = GROUPED_ABOVE, search_from: int = SEARCH_FROM) -> DataFrame:
+    """doc_id, n, grouped, searchable: whether a document's findings are shown by value, and with a search field."""
+    return reviewed.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", "n", (F.col("n") > grouped_above).alias("grouped"), (F.col("n") >= search_from).alias("searchable"))

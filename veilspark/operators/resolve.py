@@ -5,6 +5,9 @@ All in-row; joins only where choices come as tables.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,22 +108,24 @@ _EXTRA = ArrayType(StructType([StructField("entity_type", StringType()), StructF
 
 
 def literal_spans(text: str, value: str) -> list[tuple[int, int]]:
-    """Case-folded occurrences as offsets of the original text; none cuts a character that folds to several."""
+    """Places (start, end) where ``value`` stands in ``text`` but for letter case; they may overlap.
+
+    Case folding can turn one character into several. Each folded character knows the one it came from; an occurrence counts if it begins with the first and
+    ends with the last of the characters that came from one.
+    """
     wanted = value.casefold()
     if not wanted:
         return []
-    folded = [c.casefold() for c in text]
-    place = {0: 0}
-    total = 0
-    for i, f in enumerate(folded):
-        total += len(f)
-        place[total] = i + 1
-    joined, out, at = "".join(folded), [], 0
-    while (at := joined.find(wanted, at)) >= 0:
-        if at in place and at + len(wanted) in place:
-            out.append((place[at], place[at + len(wanted)]))
-        at += 1
-    return out
+    folded = text.casefold()
+    if len(folded) == len(text):
+        source = np.arange(len(text))
+    else:
+        source = np.repeat(np.arange(len(text)), [len(c.casefold()) for c in text])
+    begin = np.array([m.start() for m in re.finditer(f"(?={re.escape(wanted)})", folded)], np.int64)
+    edge = np.ones(len(source) + 1, bool)  # between characters of different origin
+    edge[1:-1] = source[1:] != source[:-1]
+    begin = begin[edge[begin] & edge[begin + len(wanted)]]
+    return list(zip(source[begin].tolist(), (source[begin + len(wanted) - 1] + 1).tolist()))
 
 
 @F.pandas_udf(_EXTRA)
@@ -128,15 +133,17 @@ def _manual(text: pd.Series, values: pd.Series, taken: pd.Series) -> pd.Series:
     # Unicode case folding with offsets has no built-in function
     out = []
     for t, vs, spans in zip(text, values, taken):
-        busy = [(s["start"], s["end"]) for s in (spans if spans is not None else [])]
+        busy = np.zeros(len(t or ""), bool)
+        for s in spans if spans is not None else []:
+            busy[s["start"] : s["end"]] = True
         found, seen = [], set()
         for v in sorted(vs if vs is not None else [], key=lambda v: (-len(v["value"] or ""), v["entity_type"], v["value"] or "")):
             if not v["value"] or (v["entity_type"], v["value"].casefold()) in seen:
                 continue
             seen.add((v["entity_type"], v["value"].casefold()))
             for a, b in literal_spans(t or "", v["value"]):
-                if not any(a < y and x < b for x, y in busy):
-                    busy.append((a, b))
+                if not busy[a:b].any():
+                    busy[a:b] = True
                     found.append({"entity_type": v["entity_type"], "start": a, "end": b})
         out.append(found)
     return pd.Series(out)

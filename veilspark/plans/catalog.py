@@ -14,7 +14,7 @@ from veilspark.plans.letters import LETTERS, WORDS_NAMES, WORDS_PLACES, WORDS_RE
 from veilspark.sources import activity_log, documents
 
 WORDS = Dictionaries(WORDS_NAMES, WORDS_REGIONS, WORDS_PLACES)
-#: Rules whose values occur in the documents table.
+#: Rules whose values occur in the documents table, and which SQL can follow there: for the oracle's sake, beside the queries with all rules.
 NATURAL = {"emails", "foreign_phones", "cards"}
 
 
@@ -50,7 +50,7 @@ def intl_phone_findings(spark, sf_dir):
 
 
 def findings_by_type(spark, sf_dir):
-    """Flagship: findings per language and type over all documents."""
+    """Findings of the rules that SQL can follow on these documents, per language and type."""
     return report.counts(_natural(spark, sf_dir, NATURAL, "lang"), "lang")
 
 
@@ -68,6 +68,31 @@ def detect_all_rules(spark, sf_dir):
     return engine.detect(_documents(spark, sf_dir).select("doc_id", "text"), "maximum", WORDS).select("doc_id", F.size("findings").alias("n_findings"), report.summary(F.col("findings")).alias("summary"))
 
 
+def _every_rule(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return engine.detect(_documents(spark, sf_dir).select("doc_id", *keep, "text"), "maximum", WORDS)
+
+
+def all_rules_by_type(spark, sf_dir):
+    """Flagship: findings per language and type over all documents, by every rule, with coreference."""
+    return report.counts(engine.explode(_every_rule(spark, sf_dir, "lang"), "lang"), "lang")
+
+
+def all_rules_by_category(spark, sf_dir):
+    return report.by_category(engine.explode(_every_rule(spark, sf_dir)))
+
+
+def all_rules_masked(spark, sf_dir):
+    return engine.anonymize(_documents(spark, sf_dir).select("doc_id", "text"), "maximum", WORDS).select("doc_id", "anonymized")
+
+
+def all_rules_standard(spark, sf_dir):
+    return engine.anonymize(_documents(spark, sf_dir).select("doc_id", "text"), "standard", WORDS).select("doc_id", "anonymized")
+
+
+def all_rules_reports(spark, sf_dir):
+    return report.report(_every_rule(spark, sf_dir), "maximum").select("doc_id", "total", "summary")
+
+
 def reports(spark, sf_dir):
     out = engine.detect(_documents(spark, sf_dir).select("doc_id", "text"), "maximum", WORDS, only=NATURAL, coreference=False)
     return report.report(out, "maximum").select("doc_id", "total", "summary")
@@ -186,7 +211,7 @@ def accepted_requests(spark, sf_dir):
 
 
 _PLAIN = [
-    email_findings, card_findings, intl_phone_findings, findings_by_type, findings_by_category, mask_maximum, detect_all_rules, reports, reliability_levels, initials, numbered_placeholders, pseudonymized,
+    email_findings, card_findings, intl_phone_findings, findings_by_type, findings_by_category, mask_maximum, detect_all_rules, all_rules_by_type, all_rules_by_category, all_rules_masked, all_rules_standard, all_rules_reports, reports, reliability_levels, initials, numbered_placeholders, pseudonymized,
     restore_roundtrip, placeholder_status, excluded_pairs, exclude_by_value, same_value_toggle, review_groups, value_rows, search_values, extra_values, corpus_metrics, ocr_words, output_names,
     activity_log_tail, fingerprints, accepted_requests,
 ]

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions import fixed
+
 
 def digits(n: int, factor: int) -> str:
     return f"lpad(CAST((k * {factor}) % {10**n} AS STRING), {n}, '0')"
@@ -44,10 +46,6 @@ def iban(wrong: int = 0) -> str:
     return f"'IT' || lpad(CAST((98 - {remainder} + {wrong} - 1) % 97 + 1 AS STRING), 2, '0') || 'X000000000000' || {body}"
 
 
-# Check-letter weights at odd places, two digits for each of A to Z (digits share the first ten).
-_ODD = "0100050709131517192102041820110306081214161022252423"
-
-
 def fiscal(wrong: int = 0) -> str:
     letter = lambda f: f"chr(65 + CAST((k * {f}) % 26 AS INT))"
     d = lambda f, n: digits(n, f)
@@ -57,8 +55,11 @@ def fiscal(wrong: int = 0) -> str:
         c = f"ascii(substr({x}, {i + 1}, 1))"
         return f"(CASE WHEN {c} < 65 THEN {c} - 48 ELSE {c} - 65 END)"
 
-    # digits and the first ten letters share their weights
-    odd = lambda i: f"CAST(substr('{_ODD}', 1 + 2 * {code(i)}, 2) AS INT)"
+    # digits and the first ten letters share their weights; both dialects of SQL know CASE
+    def odd(i: int) -> str:
+        arms = " ".join(f"WHEN {c} THEN {w}" for c, w in enumerate(fixed.FISCAL_ODD_LETTERS))
+        return f"(CASE {code(i)} {arms} END)"
+
     total = " + ".join(odd(i) if i % 2 == 0 else code(i) for i in range(15))
     return f"{x} || chr(65 + CAST(({total} + {wrong}) % 26 AS INT))"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
@@ -40,8 +40,8 @@ def entries(detected: DataFrame, action: str, source_kind: str, mode: str, versi
     has = lambda c, kind: F.col(c) if c in detected.columns else F.lit(None).cast(kind)
     out = has("anonymized", "string").cast("binary")
     return detected.select(
-        F.lit(1).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.lit(action).alias("action"), F.lit(action).alias("action_label"),
-        F.lit(source_kind).alias("source_kind"), F.lit(source_kind).alias("source_label"), F.lit(mode).alias("mode"), F.lit(fixed.MODE_LABELS[mode]).alias("mode_label"), F.size("findings").alias("total_findings"),
+        F.lit(1).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.lit(action).alias("action"), F.lit(fixed.LOG_ACTIONS.get(action, action)).alias("action_label"),
+        F.lit(source_kind).alias("source_kind"), F.lit(fixed.LOG_SOURCES.get(source_kind, source_kind)).alias("source_label"), F.lit(mode).alias("mode"), F.lit(fixed.MODE_LABELS[mode]).alias("mode_label"), F.size("findings").alias("total_findings"),
         counts.alias("finding_counts"), has("extension", "string").alias("source_extension"), has("size_bytes", "bigint").alias("source_size_bytes"), has("sha256", "string").alias("source_sha256"),
         F.lit(None).cast("string").alias("output_extension"), F.octet_length(out).cast("bigint").alias("output_size_bytes"), F.sha2(out, 256).alias("output_sha256"), F.lit(version).alias("app_version"),
     )
@@ -60,7 +60,7 @@ def read(spark: SparkSession, path: str, last: int | None = None) -> DataFrame:
 
 def trim(rows: DataFrame, settings: Settings, order: str = "timestamp") -> DataFrame:
     """The newest entries that retention allows (a limit that is at most ``MOST``)."""
-    return rows.withColumn("_n", F.row_number().over(Window.orderBy(F.desc(order)))).where(F.col("_n") <= settings.retention).drop("_n")
+    return rows.orderBy(F.desc(order)).limit(settings.retention)
 
 
 def exported(rows: DataFrame) -> DataFrame:
