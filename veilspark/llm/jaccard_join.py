@@ -11,7 +11,7 @@ more where two sets share them. Then candidates come in two ways:
 The boundary is the largest size at which enumerating costs less than scanning lists, whose mean length comes from a
 count sketch of all shingles. The sketch has a fixed size (2 MB) whatever the corpus; it also gives the order. Any order is
 exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity
-sketch of each set, a bit or two for each shingle: 64 bytes or more in the first scan of the lists, 256 or more in the later ones.
+sketch of each set, a bit or two for each shingle: 64 bytes of it or more in the lists, 256 or more where pairs are looked at.
 
 No group is expanded into all its pairs. A scan of the lists gives, of the pairs in a list that may link and are in different
 components, a spanning forest: at most one pair less than the list has rows, however many pairs there are. These are
@@ -48,7 +48,7 @@ MOST_LIGHT = 14
 #: Pairs that are verified together against one text, about.
 PIVOT_SPLIT = 200
 #: Scans that give spanning forests, before the one that gives what is left.
-FORESTS = 3
+FORESTS = 2
 #: Pairs of a list that are looked at together.
 BLOCK = 1 << 16
 #: Fewest cells of the large and the small parity; sets with more shingles have more cells.
@@ -572,6 +572,16 @@ def open_pairs(lists: DataFrame, comps: DataFrame | None, signs: DataFrame, ligh
     return dealt.mapInArrow(lean(_open_pairs(light, forest)), "a long, b long").distinct()
 
 
+def in_shared_lists(postings: DataFrame) -> DataFrame:
+    """Of token, key, n, pos the rows of :func:`_shared`, written."""
+    spark = postings.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    dealt = postings.select("token", "key", "n", "pos").repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
+    out = materialize(dealt.mapInArrow(lean(in_lists(_shared, False)), "token long, key long, n int, pos int"), "lists")
+    small_batches(spark)
+    return out
+
+
 def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (row, text): (row, n, key), and the components (key, comp) of the keys that have links."""
     spark: SparkSession = rows.sparkSession
@@ -587,14 +597,14 @@ def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("fold").alias("fold")), "reps")
     small_batches(spark)
     made = rows.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light, shared)), "token long, key long, n int, pos int")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    dealt = made.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
-    lists = materialize(dealt.mapInArrow(lean(in_lists(_shared, False)), "token long, key long, n int, pos int"), "lists")
+    lists = in_shared_lists(made)
     # all rows with the small parities: who has a pair at all
     first = materialize(open_pairs(lists, None, reps.select("key", F.col("fold").alias("parity")), light, 0), "open")
     alive = materialize(both_ends(first), "alive")
-    signs = materialize(reps.select("key", "n", "parity").join(alive, "key", "left_semi"), "signs")
-    short = materialize(lists.join(alive, "key", "left_semi"), "lists")
+    signs = materialize(reps.join(alive, "key", "left_semi").select("key", "n", "parity", "fold"), "signs")
+    folds = signs.select("key", F.col("fold").alias("parity"))
+    # what is left of the lists: rows that still have another one of a size that may link
+    short = in_shared_lists(lists.join(alive, "key", "left_semi"))
     texts = texts_of(alive, rows, reps)
     discard(lists)
     # links, scan by scan
@@ -603,7 +613,7 @@ def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     tested, comps, brought = pairs, components(links), True
     for turn in range(1, FORESTS + 1):
         last = turn == FORESTS or not brought
-        pairs = materialize(open_pairs(short, comps, signs.select("key", "parity"), light, None if last else turn).join(tested, ["a", "b"], "left_anti"), "open")
+        pairs = materialize(near_pairs(open_pairs(short, comps, folds, light, None if last else turn).join(tested, ["a", "b"], "left_anti"), signs), "open")
         found = verify(pairs, texts, shared)
         brought = not found.isEmpty()
         if brought:
