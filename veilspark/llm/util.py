@@ -259,3 +259,19 @@ def bounded_sample(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
         share = min(1.0, 1.3 * most / total + 50 / total)
         df = df.where(F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     return df.orderBy(order, key).limit(most)
+
+
+#: A group is hot if it holds more than one in so many of all rows; so there are never more hot groups than this.
+HOT_SHARE = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups``: ``keys``, ``size`` (how many of the ``total`` rows have them) and what else it has, one row for each group.
+
+    Groups of more than ``total`` / ``HOT_SHARE`` rows are broadcast, at most ``HOT_SHARE`` of them, so that no task gets all rows of one; the others meet
+    their rows in a shuffle. ``how`` is "inner" or "left". Keys are not null.
+    """
+    hot = F.col("size") * HOT_SHARE > total
+    tried = rows.join(F.broadcast(groups.where(hot)), keys, "left")
+    rest = tried.where(F.col("size").isNull()).select(*rows.columns).join(groups.where(~hot), keys, how)
+    return tried.where(F.col("size").isNotNull()).unionByName(rest)
