@@ -115,3 +115,44 @@ def test_one_file_has_a_bound(spark, monkeypatch):
     rows = spark.range(3).select(F.col("id").cast("string").alias("placeholder"))
     with pytest.raises(reverse_map.MapError):
         reverse_map.encrypt(rows, "pass")
+
+
+_LOGGED = """
+import glob, os, sys
+from pyspark.sql import SparkSession
+from veilspark.functions import reverse_map
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", "file://" + folder).config("spark.eventLog.compress", "false").config("spark.sql.maxMetadataStringLength", "100000").config("spark.eventLog.includeTaskMetricsAccumulators", "true").getOrCreate()
+real, made = reverse_map._key, []
+def key(*a):
+    made.append(real(*a))
+    return made[-1]
+reverse_map._key = key
+rows = spark.createDataFrame([("k1", None, "<EMAIL_1>", "EMAIL_ADDRESS", "a@b.it"), ("k2", None, "<EMAIL_1>", "EMAIL_ADDRESS", "c@d.it")], "row_key string, doc_id long, placeholder string, entity_type string, value string")
+sealed = reverse_map.encrypt_each(rows, "pass")
+sealed.write.parquet(folder + "/sealed")
+opened = reverse_map.decrypt_each(spark.read.parquet(folder + "/sealed"), "pass")
+assert sorted(map(tuple, opened.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+plans = "".join(d._jdf.queryExecution().toString() for d in (sealed, opened))
+spark.stop()
+logs = [open(f).read() for f in glob.glob(folder + "/**/*", recursive=True) if os.path.isfile(f) and "sealed" not in f]
+assert made and any("aesencrypt" in x.lower() for x in logs)
+for k in made:
+    for shown in (k.hex(), k.hex().upper(), k.hex(" ").upper(), str(list(k))[1:20], ", ".join(str(b if b < 128 else b - 256) for b in k)[:20]):
+        assert shown not in plans and not any(shown in x for x in logs), shown
+"""
+
+
+def test_keys_stand_in_no_plan_and_no_log(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    done = subprocess.run([sys.executable, "-c", _LOGGED, str(tmp_path)], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[1], timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_corpus_maps_are_sealed_as_one_file(spark):
+    rows = spark.createDataFrame([("<EMAIL_1>", "EMAIL_ADDRESS", "a@b.it")], "placeholder string, entity_type string, value string")
+    with pytest.raises(reverse_map.MapError):
+        reverse_map.encrypt_each(rows, "pass")

@@ -17,6 +17,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.identity import ROW_KEY
+
 SCHEMA_VERSION = 1
 ROUNDS = 390_000
 FORMAT = "veilspark-restore-map"
@@ -54,27 +56,41 @@ def encrypt(mapping: DataFrame, passphrase: str) -> bytes:
     return json.dumps(text, indent=2).encode()
 
 
+def _keys(spark: SparkSession, passphrase: str, salts: list[bytes]) -> DataFrame:
+    """map_salt, map_key: rows of a relation, not literals, so that neither plan nor event log shows a key. One row for each salt, to be broadcast."""
+    return F.broadcast(spark.createDataFrame([(bytearray(s), bytearray(_key(passphrase, s))) for s in salts], "map_salt binary, map_key binary"))
+
+
+def _of_document(table: DataFrame) -> list[str]:
+    found = [c for c in (ROW_KEY, "doc_id") if c in table.columns]
+    if not found:
+        raise MapError("a mapping of a whole corpus has no documents to seal: seal it as one file")
+    return found
+
+
 def encrypt_each(mapping: DataFrame, passphrase: str) -> DataFrame:
-    """doc_id, salt, token: the sealed map of each document of a mapping with doc_id, made where the rows are.
+    """row_key and doc_id (what of them the mapping has), salt, token: the sealed map of each document, made where the rows are.
 
     One salt and key serve all maps of a call (deriving a key is made slow on purpose); every map has a nonce of its own.
     """
     salt = os.urandom(16)
-    key = bytearray(_key(passphrase, salt))
+    of = _of_document(mapping)
     entries = F.to_json(F.array_sort(F.collect_list(F.struct("placeholder", "entity_type", "value"))))
-    made = mapping.groupBy("doc_id").agg(entries.alias("entries"))
-    return made.select("doc_id", F.lit(bytearray(salt)).alias("salt"), F.aes_encrypt(F.col("entries").cast("binary"), F.lit(key), F.lit("GCM")).alias("token"))
+    made = mapping.groupBy(*of).agg(entries.alias("entries")).withColumn("salt", F.lit(bytearray(salt)))
+    sealed = made.join(_keys(mapping.sparkSession, passphrase, [salt]), F.col("salt") == F.col("map_salt"))
+    return sealed.select(*of, "salt", F.aes_encrypt(F.col("entries").cast("binary"), F.col("map_key"), F.lit("GCM")).alias("token"))
 
 
 def decrypt_each(maps: DataFrame, passphrase: str) -> DataFrame:
-    """doc_id, placeholder, entity_type, value of maps by :func:`encrypt_each`; a map that does not open (wrong password, damage) is a row with nulls."""
-    salts = [bytes(r.salt) for r in maps.select("salt").distinct().limit(MOST_SALTS + 1).collect()]
+    """row_key and doc_id (what of them the maps have), placeholder, entity_type, value; a map that does not open (wrong password, damage) is a row with nulls."""
+    of = _of_document(maps)
+    salts = [bytes(r.salt) for r in maps.select("salt").where("salt is not null").distinct().limit(MOST_SALTS + 1).collect()]
     if len(salts) > MOST_SALTS:
         raise MapError(f"maps of more than {MOST_SALTS} calls: open them call by call")
-    keys = F.create_map(*(F.lit(x) for s in salts for x in (s.hex(), bytearray(_key(passphrase, s))))) if salts else F.create_map().cast("map<string,binary>")
-    opened = F.try_aes_decrypt("token", F.try_element_at(keys, F.lower(F.hex("salt"))), F.lit("GCM")).cast("string")
+    opened = F.try_aes_decrypt("token", "map_key", F.lit("GCM")).cast("string")
     rows = F.from_json(opened, "array<struct<placeholder:string,entity_type:string,value:string>>")
-    return maps.select("doc_id", F.explode_outer(rows).alias("e")).select("doc_id", "e.*")
+    keyed = maps.join(_keys(maps.sparkSession, passphrase, salts), F.col("salt") == F.col("map_salt"), "left")
+    return keyed.select(*of, F.explode_outer(rows).alias("e")).select(*of, "e.*")
 
 
 def decrypt(spark: SparkSession, data: bytes, passphrase: str) -> list[dict]:

@@ -23,6 +23,54 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def gathered(items: Column, zero: dict[str, Column], kind: str, step) -> Column:
+    """A fold that gathers an array of type ``kind``: struct<..., out>, with the fields of ``zero`` carried along.
+
+    ``step(state, item)`` returns (new fields, array to append). Appending copies an array, so items are gathered by ``CHUNK`` and chunks are joined.
+    """
+    none = F.array().cast(kind)
+    named = lambda fields: [c.alias(n) for n, c in fields.items()]
+
+    def one(acc: Column, item: Column) -> Column:
+        fields, more = step(acc, item)
+        return F.struct(*named(fields), F.concat(acc["out"], more).alias("out"))
+
+    def fold(all_: Column) -> Column:
+        def of_chunk(acc: Column, k: Column) -> Column:
+            some = F.aggregate(F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)), F.struct(*(acc[n].alias(n) for n in zero), none.alias("out")), one)
+            return let(some, lambda got: F.struct(*(got[n].alias(n) for n in zero), F.concat(acc["out"], got["out"]).alias("out")))
+
+        chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / CHUNK).cast("int"))
+        return F.aggregate(chunks, F.struct(*named(zero), none.alias("out")), of_chunk)
+
+    return let(items, fold)
+
+
+def apart(ordered: Column, kind: str) -> Column:
+    """Of spans in order, those that start no earlier than the last kept one ends."""
+    some = lambda f, keep: F.filter(F.array(f), lambda _: keep)
+    return gathered(ordered, {"at": F.lit(0)}, kind, lambda a, f: ({"at": F.when(f["start"] >= a["at"], f["end"]).otherwise(a["at"])}, some(f, f["start"] >= a["at"])))["out"]
+
+
+#: Texts with more spans than this are cut by way of UTF-32, where a character has a place of its own.
+MANY = 64
+
+
+def wide(text: Column, n: Column) -> Column:
+    """What :func:`cut` takes beside the text: UTF-32 of texts with many spans, else null."""
+    return F.when((n > MANY) & F.is_valid_utf8(text), F.encode(text, "UTF-32"))
+
+
+def cut(text: Column, codes: Column, start: Column, end: Column) -> Column:
+    """Characters ``start`` to ``end``. With ``codes`` of :func:`wide` that costs no walk from the beginning of the text.
+
+    The letter in front keeps a byte order mark at the start of a piece from being taken for one.
+    """
+    lead = F.lit("x").cast("binary")
+    piece = F.decode(F.concat(F.lit(bytearray(b"\0\0\0")), lead, F.substring(codes, start * 4 + 1, (end - start) * 4)), "UTF-32")
+    return F.when(codes.isNotNull(), F.substring(piece, F.lit(2), end - start)).otherwise(F.substring(text, start + 1, end - start))
+
+
 def clean(text: Column) -> Column:
     """Text of the same length without the two marks; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), OPEN + FIELD, "\u0003\u0003")

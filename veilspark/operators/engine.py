@@ -9,7 +9,9 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import FINDINGS, clean
+from veilspark.functions import fixed
+from veilspark.functions.identity import ROW_KEY, identity_columns, key_of, null_safe, others, with_row_key
+from veilspark.functions.spans import FINDINGS, clean, cut, let, wide
 from veilspark.operators import resolve, rewrite
 from veilspark.operators.recognizers import LOOKS_UP, RULES, WITH_WORDS, Dictionaries, mentions
 from veilspark.operators.rewrite import check_mode
@@ -38,9 +40,9 @@ def _key(words: Dictionaries) -> tuple:
 
 def rule_column(name: str, rule: Callable, words: Dictionaries) -> Column:
     if name not in WITH_WORDS:
-        return built((name,), lambda: rule(F.col("_clean")).alias(f"_{name}"))
-    known = [F.col(f"_has_{LOOKS_UP[name]}")] if name in LOOKS_UP and getattr(words, LOOKS_UP[name]) else []
-    return built((name, *_key(words)), lambda: rule(F.col("_clean"), words, *known).alias(f"_{name}"))
+        return built((name,), lambda: rule(F.col("_vs_clean")).alias(f"_vs_{name}"))
+    known = [F.col(f"_vs_has_{LOOKS_UP[name]}")] if name in LOOKS_UP and getattr(words, LOOKS_UP[name]) else []
+    return built((name, *_key(words)), lambda: rule(F.col("_vs_clean"), words, *known).alias(f"_vs_{name}"))
 
 
 def candidates(docs: DataFrame, mode: str = "standard", words: Dictionaries | None = None, only: set[str] | None = None, text: str = "text") -> DataFrame:
@@ -50,11 +52,13 @@ def candidates(docs: DataFrame, mode: str = "standard", words: Dictionaries | No
     """
     check_mode(mode)
     words = words or Dictionaries()
-    out = docs.withColumn("_clean", clean(F.col(text)))
+    if any(c.lower().startswith("_vs_") for c in docs.columns):
+        raise ValueError("names of columns that begin with _vs_ are kept for the engine")
+    out = docs.withColumn("_vs_clean", clean(F.col(text)))
     rules = [(n, f) for n, f in RULES if (mode != "standard" or n != "dates") and (only is None or n in only)]
     gates = sorted({LOOKS_UP[n] for n, _ in rules if n in LOOKS_UP and getattr(words, LOOKS_UP[n])})
     if gates:
-        out = out.select("*", *(built((kind, *_key(words)), lambda kind=kind: mentions(F.col("_clean"), getattr(words, kind)).alias(f"_has_{kind}")) for kind in gates))
+        out = out.select("*", *(built((kind, *_key(words)), lambda kind=kind: mentions(F.col("_vs_clean"), getattr(words, kind)).alias(f"_vs_has_{kind}")) for kind in gates))
     for at in range(0, len(rules), 7):
         out = out.select("*", *(rule_column(n, f, words) for n, f in rules[at : at + 7]))
     return out
@@ -73,18 +77,18 @@ def detect(
     """``docs`` with ``findings``: typed, scored spans that do not overlap, by start.
 
     ``extra`` names a column of further findings; ``detector`` is any function of the text column that returns
-    findings, a vectorised UDF for instance. Null text has no findings.
+    findings, a vectorised UDF for instance. Null text has no findings. A column ``findings`` of the input gives way to the new one.
     """
     found = candidates(docs, mode, words, only, text)
-    rules = [c for c in found.columns if c.startswith("_") and c != "_clean" and not c.startswith("_has_") and c not in docs.columns]
+    rules = [c for c in found.columns if c.startswith("_vs_") and c != "_vs_clean" and not c.startswith("_vs_has_")]
     out = found.withColumn("findings", built(("dedupe", *rules), lambda: resolve.dedupe(F.concat(*(F.col(c) for c in rules)))))
     if extra is not None:
         out = out.withColumn("findings", resolve.merge(F.col("findings"), F.col(extra)))
     if detector is not None:
         out = out.withColumn("findings", resolve.merge(F.col("findings"), detector(F.col(text))))
     if coreference:
-        out = out.withColumn("findings", built(("coreferences",), lambda: resolve.coreferences(F.col("_clean"), F.col("findings"))))
-    return out.select(*docs.columns, F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+        out = out.withColumn("findings", built(("coreferences",), lambda: resolve.coreferences(F.col("_vs_clean"), F.col("findings"))))
+    return out.select(*others(docs, "findings"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def explode(detected: DataFrame, *keep: str) -> DataFrame:
@@ -92,8 +96,10 @@ def explode(detected: DataFrame, *keep: str) -> DataFrame:
 
     ``explode_outer`` with a filter behind it: a plain explode would push a size test through the projection and detect twice.
     """
-    long = detected.select("doc_id", *keep, "text", F.explode_outer("findings").alias("f")).where(F.col("f").isNotNull())
-    return long.select("doc_id", *keep, "f.*", F.substring(F.col("text"), F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("value"))
+    text = F.col("text")
+    valued = lambda codes: F.transform("findings", lambda f: F.struct(f.alias("f"), cut(text, codes, f["start"], f["end"]).alias("value")))
+    long = detected.select("doc_id", *keep, F.explode_outer(let(wide(text, F.size("findings")), valued)).alias("v")).where(F.col("v").isNotNull())
+    return long.select("doc_id", *keep, "v.f.*", "v.value")
 
 
 def findings(docs: DataFrame, mode: str = "standard", words: Dictionaries | None = None, keep: tuple[str, ...] = (), **options) -> DataFrame:
@@ -105,27 +111,66 @@ def anonymize(docs: DataFrame, mode: str = "standard", words: Dictionaries | Non
     """``docs`` with ``findings``, ``anonymized`` and ``preview`` (spans of the replacements). Reversible mode: :func:`pseudonymize`."""
     if check_mode(mode) == "reversible":
         raise ValueError("reversible mode numbers its placeholders: use pseudonymize")
-    out = detect(docs, mode, words, **options).withColumn("_r", rewrite.anonymized(F.col("text"), F.col("findings"), mode))
-    return out.select(*docs.columns, "findings", F.col("_r.text").alias("anonymized"), F.col("_r.spans").alias("preview"))
+    out = detect(docs, mode, words, **options).withColumn("_vs_r", rewrite.anonymized(F.col("text"), F.col("findings"), mode))
+    return out.select(*others(docs, "findings", "anonymized", "preview"), "findings", F.col("_vs_r.text").alias("anonymized"), F.col("_vs_r.spans").alias("preview"))
 
 
 def pseudonymize(docs: DataFrame, words: Dictionaries | None = None, known: DataFrame | None = None, scope: str = "document", **options) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with ``anonymized``, mapping): numbered placeholders that :func:`restore` puts back."""
-    detected = detect(docs, "reversible", words, **options)
-    long = explode(detected)
-    mapping = rewrite.numbered(docs, long, known, scope)
-    keys = [k for k in ("doc_id", "entity_type", "value") if k in mapping.columns]
-    named = long.join(mapping, keys).groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "start", "end", "placeholder")).alias("_named"))
-    out = docs.join(named, "doc_id", "left").withColumn("anonymized", F.when(F.col("_named").isNull(), F.col("text")).otherwise(rewrite.with_placeholders(F.col("text"), F.col("_named"))["text"]))
-    return out.drop("_named"), mapping
+    """(``docs`` with ``row_key`` and ``anonymized``, mapping): numbered placeholders that :func:`restore` puts back.
+
+    Rows are judged, not ids: null and repeated doc_ids are as good as others, and ``row_key`` ties a row to its part of the mapping
+    (:mod:`veilspark.functions.identity`). ``known`` (entity_type, value, placeholder) are entries to go on with: with doc_id or row_key those of a document,
+    with neither those of the corpus. ``scope`` "document" numbers each row by itself, in the row, without a join; its mapping is row_key, doc_id, entity_type,
+    value, placeholder. "corpus" numbers over all documents; its mapping is entity_type, value, placeholder.
+    """
+    if scope not in ("document", "corpus"):
+        raise ValueError(f"unknown scope {scope!r}: document or corpus")
+    detected = with_row_key(detect(docs, "reversible", words, **options), "doc_id", "text")
+    columns = others(detected, "findings", "anonymized")
+    if scope == "document":
+        entries = None
+        if known is not None:
+            of = identity_columns(detected, known)
+            same = known.groupBy(*of, "entity_type", "value").agg(F.min("placeholder").alias("placeholder"))
+            old = same.groupBy(*of).agg(F.collect_list(F.struct("entity_type", "value", "placeholder")).alias("_vs_known"))
+            detected, entries = null_safe(detected, old, of, "left"), F.col("_vs_known")
+        made = detected.withColumn("_vs_made", rewrite.numbered_in_row(F.col("text"), F.col("findings"), entries))
+        out = made.select(*columns, rewrite.with_placeholders(F.col("text"), F.col("_vs_made.named"))["text"].alias("anonymized"))
+        listed = made.select(ROW_KEY, "doc_id", F.explode_outer("_vs_made.entries").alias("e")).where(F.col("e").isNotNull())
+        return out, listed.select(ROW_KEY, "doc_id", "e.*").distinct()
+    long = explode(detected, ROW_KEY)
+    mapping = rewrite.numbered_corpus(detected, long, known)
+    # rows that agree in id and text have one key and the same spans
+    spans = long.select(ROW_KEY, "entity_type", "start", "end", "value").distinct().join(mapping, ["entity_type", "value"])
+    named = spans.groupBy(ROW_KEY).agg(F.collect_list(F.struct("entity_type", "start", "end", "placeholder")).alias("_vs_named"))
+    placed = detected.join(named, ROW_KEY, "left")
+    anonymized = F.when(F.col("_vs_named").isNull(), F.col("text")).otherwise(rewrite.with_placeholders(F.col("text"), F.col("_vs_named"))["text"])
+    return placed.select(*columns, anonymized.alias("anonymized")), mapping
 
 
 def restore(docs: DataFrame, mapping: DataFrame, text: str = "anonymized") -> DataFrame:
-    """``docs`` with ``restored`` and ``status`` by a mapping with doc_id."""
-    entries = mapping.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("placeholder", "entity_type", "value"))).alias("_entries"))
+    """``docs`` with ``restored`` and ``status`` by a mapping of :func:`pseudonymize`.
+
+    Rows meet their entries by row_key where both sides have it. Without it they meet by doc_id; a placeholder that stands for different values under one
+    doc_id is then no entry, so it is left in the text and counts as unknown: nobody's value is put into another row. A mapping with neither is one of the
+    corpus, and texts meet it by the placeholders that they hold.
+    """
+    entry = F.struct("placeholder", "entity_type", "value")
+    if ROW_KEY in mapping.columns or "doc_id" in mapping.columns:
+        of = identity_columns(docs, mapping)
+        one = mapping.groupBy(*of, "placeholder").agg(F.min(F.struct("entity_type", "value")).alias("e"), F.max(F.struct("entity_type", "value")).alias("other"))
+        one = one.where(F.col("e") == F.col("other")).select(*of, "placeholder", "e.*")
+        source = docs
+    else:
+        # the key is of the anonymized text: equal texts hold equal placeholders
+        of = ["_vs_text"]
+        source = docs.withColumn("_vs_text", key_of(F.col(text)))
+        held = source.select("_vs_text", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.NUMBERED), F.lit(0)))).alias("placeholder")).distinct()
+        one = held.join(mapping, "placeholder")
+    entries = one.groupBy(*of).agg(F.array_sort(F.collect_list(entry)).alias("_vs_entries"))
     none = F.array().cast("array<struct<placeholder:string,entity_type:string,value:string>>")
-    out = docs.join(entries, "doc_id", "left").withColumn("_entries", F.coalesce("_entries", none))
-    return out.withColumn("restored", rewrite.restored(F.col(text), F.col("_entries"))).withColumn("status", rewrite.placeholder_status(F.col(text), F.col("_entries"))).drop("_entries")
+    out = null_safe(source, entries, of, "left").withColumn("_vs_entries", F.coalesce("_vs_entries", none))
+    return out.withColumn("restored", rewrite.restored(F.col(text), F.col("_vs_entries"))).withColumn("status", rewrite.placeholder_status(F.col(text), F.col("_vs_entries"))).drop("_vs_entries", "_vs_text")
 
 
 @contextmanager

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from veilspark.functions import checks, fixed
-from veilspark.functions.spans import FINDINGS, finding, let
+from veilspark.functions.identity import ROW_KEY, identity_columns, null_safe
+from veilspark.functions.spans import FINDINGS, apart, cut, finding, let, wide
 
 
 def lookup(pairs: dict[str, object], key: Column, default: Column) -> Column:
@@ -33,13 +34,7 @@ def dedupe(found: Column) -> Column:
             f["start"].alias("start"), (f["start"] - f["end"]).alias("shorter"), (-priority(f["entity_type"])).alias("rank"), (-f["score"]).alias("worse"), i.alias("at"), f.alias("f")
         ),
     )
-    # kept spans ascend, so the last end decides
-    return F.aggregate(
-        F.array_sort(keyed),
-        F.struct(F.lit(0).alias("end"), F.array().cast(FINDINGS).alias("kept")),
-        lambda a, k: F.when((k["f"]["start"] >= a["end"]), F.struct(k["f"]["end"].alias("end"), F.concat(a["kept"], F.array(k["f"])).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
+    return apart(F.transform(F.array_sort(keyed), lambda k: k["f"]), FINDINGS)
 
 
 def overlaps(f: Column, others: Column) -> Column:
@@ -60,7 +55,9 @@ def _places_of(text: Column, literal: Column) -> Column:
 
 def coreferences(text: Column, found: Column) -> Column:
     """Persons of two or more words are found again by full name and by surname, where nothing was found; then deduped."""
-    persons = F.filter(F.transform(found, lambda f: F.struct(f["entity_type"].alias("type"), f["source"].alias("source"), F.trim(F.substring(text, f["start"] + 1, f["end"] - f["start"])).alias("name"))), lambda p: p["type"] == "PERSON")
+    of_type = F.filter(found, lambda f: f["entity_type"] == "PERSON")
+    named = lambda codes: F.transform(of_type, lambda f: F.struct(f["source"].alias("source"), F.trim(cut(text, codes, f["start"], f["end"])).alias("name")))
+    persons = let(wide(text, F.size(of_type)), named)
     many = F.filter(persons, lambda p: F.size(checks.words(p["name"])) >= 2)
 
     def surname(p: Column) -> Column:
@@ -86,22 +83,24 @@ def merge(found: Column, extra: Column) -> Column:
 
 
 def excluded_pairs(reviewed: DataFrame) -> DataFrame:
-    """doc_id, entity_type, value of pairs of which every occurrence is unchecked.
+    """doc_id (or row_key, where ``reviewed`` has it), entity_type, value of pairs of which every occurrence is unchecked.
 
     ``reviewed``: doc_id, entity_type, value, included; null counts as included.
     """
-    return reviewed.groupBy("doc_id", "entity_type", "value").agg(F.bool_or(F.coalesce("included", F.lit(True))).alias("any")).where(~F.col("any")).drop("any")
+    return reviewed.groupBy(*identity_columns(reviewed), "entity_type", "value").agg(F.bool_or(F.coalesce("included", F.lit(True))).alias("any")).where(~F.col("any")).drop("any")
 
 
 def exclude(long: DataFrame, pairs: DataFrame) -> DataFrame:
     """Findings in long form without excluded (type, exact value) pairs; what does not match exactly stays protected."""
-    keys = [k for k in ("doc_id", "entity_type", "value") if k in pairs.columns]
-    return long.join(pairs.select(*keys).distinct(), keys, "left_anti")
+    of = identity_columns(long, pairs) if {"doc_id", ROW_KEY} & set(pairs.columns) else []
+    keys = [*of, "entity_type", "value"]
+    return null_safe(long, pairs.select(*keys).distinct(), keys, "left_anti")
 
 
 def same_value(long: DataFrame, picked: DataFrame) -> DataFrame:
     """All findings with the type and value of a picked one, within its document."""
-    return long.join(picked.select("doc_id", "entity_type", "value").distinct(), ["doc_id", "entity_type", "value"], "left_semi")
+    keys = [*identity_columns(long, picked), "entity_type", "value"]
+    return null_safe(long, picked.select(*keys).distinct(), keys, "left_semi")
 
 
 _EXTRA = ArrayType(StructType([StructField("entity_type", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
@@ -150,16 +149,21 @@ def _manual(text: pd.Series, values: pd.Series, taken: pd.Series) -> pd.Series:
 
 
 def add_manual(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """Add findings of caller-given values (doc_id, entity_type, value): longest first, so results do not depend on any order."""
-    wanted = values.groupBy("doc_id").agg(F.collect_set(F.struct("entity_type", "value")).alias("_values"))
-    joined = docs.join(wanted, "doc_id", "left")
+    """Add findings of caller-given values (doc_id or row_key, entity_type, value): longest first, so results do not depend on any order.
+
+    Values of a doc_id, null included, hold for every row that has it.
+    """
+    of = identity_columns(docs, values)
+    wanted = values.groupBy(*of).agg(F.collect_set(F.struct("entity_type", "value")).alias("_vs_values"))
+    joined = null_safe(docs, wanted, of, "left")
     taken = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
-    extra = _manual(F.col("text"), F.col("_values"), taken)
-    added = F.transform(F.col("_extra"), lambda s: finding(None, s["start"], s["end"], 1.0, "manual").withField("entity_type", s["entity_type"]))
-    kept = joined.withColumn("_extra", F.when(F.col("_values").isNotNull(), extra))
-    return kept.withColumn("findings", F.when(F.col("_extra").isNull(), F.col("findings")).otherwise(F.array_sort(F.concat("findings", added.cast(FINDINGS)), lambda a, b: a["start"] - b["start"]))).drop("_values", "_extra")
+    extra = _manual(F.col("text"), F.col("_vs_values"), taken)
+    added = F.transform(F.col("_vs_extra"), lambda s: finding(None, s["start"], s["end"], 1.0, "manual").withField("entity_type", s["entity_type"]))
+    kept = joined.withColumn("_vs_extra", F.when(F.col("_vs_values").isNotNull(), extra))
+    return kept.withColumn("findings", F.when(F.col("_vs_extra").isNull(), F.col("findings")).otherwise(F.array_sort(F.concat("findings", added.cast(FINDINGS)), lambda a, b: a["start"] - b["start"]))).drop("_vs_values", "_vs_extra")
 
 
 def replace_manually(long: DataFrame, spans: DataFrame) -> DataFrame:
     """Drop automatic findings on exactly the spans a reviewer marked anew."""
-    return long.join(spans.select("doc_id", "start", "end").distinct(), ["doc_id", "start", "end"], "left_anti")
+    keys = [*identity_columns(long, spans), "start", "end"]
+    return null_safe(long, spans.select(*keys).distinct(), keys, "left_anti")

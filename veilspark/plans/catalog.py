@@ -133,6 +133,25 @@ def placeholder_status(spark, sf_dir):
     return back.select("doc_id", F.array_join("status.matched", ",").alias("matched"), F.array_join("status.missing", ",").alias("missing"), F.array_join("status.unknown", ",").alias("unknown"), F.col("status.restorable").alias("restorable"))
 
 
+def _nameless_mails(spark, sf_dir) -> DataFrame:
+    """The mail letters under null ids and ids that repeat; every fourth letter stands twice."""
+    texts = MAILS.texts(spark, sf_dir)
+    again = texts.where("doc_id % 4 = 0").unionByName(texts)
+    return again.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") - F.col("doc_id") % 2))
+
+
+def pseudonymized_rows(spark, sf_dir):
+    """Reversible work on rows without usable ids: rewritten, then restored."""
+    out, mapping = engine.pseudonymize(_nameless_mails(spark, sf_dir), WORDS, only=MAILS.rules, coreference=False)
+    return engine.restore(out, mapping).select("doc_id", "text", "anonymized", "restored", F.col("status.restorable").alias("restorable"))
+
+
+def corpus_placeholders(spark, sf_dir):
+    """Values numbered over the whole corpus, and the letters rewritten with those numbers."""
+    out, mapping = engine.pseudonymize(_nameless_mails(spark, sf_dir), WORDS, scope="corpus", only=MAILS.rules, coreference=False)
+    return engine.restore(out, mapping).select("doc_id", "anonymized", "restored")
+
+
 def _reviewed(spark, sf_dir) -> DataFrame:
     long = engine.findings(MAILS.texts(spark, sf_dir), "maximum", WORDS, only=MAILS.rules, coreference=False)
     # the reviewer unchecks what starts with a, and one of two occurrences of the other value
@@ -212,7 +231,7 @@ def accepted_requests(spark, sf_dir):
 
 _PLAIN = [
     email_findings, card_findings, intl_phone_findings, findings_by_type, findings_by_category, mask_maximum, detect_all_rules, all_rules_by_type, all_rules_by_category, all_rules_masked, all_rules_standard, all_rules_reports, reports, reliability_levels, initials, numbered_placeholders, pseudonymized,
-    restore_roundtrip, placeholder_status, excluded_pairs, exclude_by_value, same_value_toggle, review_groups, value_rows, search_values, extra_values, corpus_metrics, ocr_words, output_names,
+    restore_roundtrip, pseudonymized_rows, corpus_placeholders, placeholder_status, excluded_pairs, exclude_by_value, same_value_toggle, review_groups, value_rows, search_values, extra_values, corpus_metrics, ocr_words, output_names,
     activity_log_tail, fingerprints, accepted_requests,
 ]
 
@@ -275,6 +294,13 @@ FROM (SELECT p_partkey, list_filter(regexp_extract_all(p_name, '[A-Za-zÀ-ÖØ-
     out["numbered_placeholders"] = f"{_KEYS} SELECT k AS doc_id, 'EMAIL_ADDRESS' AS entity_type, b AS value, '<EMAIL_5>' AS placeholder FROM keys UNION ALL SELECT k, 'EMAIL_ADDRESS', a, '<EMAIL_6>' FROM keys"
     out["pseudonymized"] = "SELECT c_custkey AS doc_id, 'Da <EMAIL_5> a <EMAIL_6>, copia <EMAIL_5>; già <EMAIL_4>.' AS anonymized FROM customer"
     out["restore_roundtrip"] = f"{_KEYS} SELECT k AS doc_id, 'Da ' || b || ' a ' || a || ', copia ' || b || '; già <EMAIL_4>.' AS restored, true AS same FROM keys"
+    nameless = f"""{_KEYS}, l AS (SELECT k, a, b FROM keys UNION ALL SELECT k, a, b FROM keys WHERE k % 4 = 0),
+r AS (SELECT CASE WHEN k % 3 <> 0 THEN k - k % 2 END AS doc_id, a, b, 'Da ' || b || ' a ' || a || ', copia ' || b || '; già <EMAIL_4>.' AS text FROM l)"""
+    out["pseudonymized_rows"] = f"{nameless} SELECT doc_id, text, 'Da <EMAIL_5> a <EMAIL_6>, copia <EMAIL_5>; già <EMAIL_4>.' AS anonymized, text AS restored, false AS restorable FROM r"
+    out["corpus_placeholders"] = f"""{nameless}, v AS (SELECT doc_id, b AS value, 3 AS s FROM r UNION ALL SELECT doc_id, a, 6 + len(b) FROM r),
+f AS (SELECT value, doc_id, s FROM v QUALIFY row_number() OVER (PARTITION BY value ORDER BY doc_id NULLS LAST, s) = 1),
+n AS (SELECT value, '<EMAIL_' || (4 + row_number() OVER (ORDER BY doc_id NULLS LAST, s, value)) || '>' AS p FROM f)
+SELECT doc_id, 'Da ' || nb.p || ' a ' || na.p || ', copia ' || nb.p || '; già <EMAIL_4>.' AS anonymized, CASE WHEN h.value IS NULL THEN text ELSE replace(text, '<EMAIL_4>', h.value) END AS restored FROM r JOIN n nb ON nb.value = b JOIN n na ON na.value = a LEFT JOIN n h ON h.p = '<EMAIL_4>'"""
     out["placeholder_status"] = "SELECT c_custkey AS doc_id, '<EMAIL_5>' AS matched, '<EMAIL_6>' AS missing, '<EMAIL_4>' AS unknown, false AS restorable FROM customer"
     out["excluded_pairs"] = f"{_REVIEW} SELECT doc_id, entity_type, value FROM r GROUP BY ALL HAVING NOT bool_or(included)"
     out["exclude_by_value"] = f"{_REVIEW} SELECT {_COLUMNS} FROM r WHERE value LIKE 'b%'"

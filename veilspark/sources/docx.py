@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from veilspark.functions import fixed
+from veilspark.functions.identity import ROW_KEY, key_of, null_safe
 from veilspark.functions.spans import FINDINGS
 from veilspark.operators import engine, resolve, rewrite
 from veilspark.operators.recognizers import Dictionaries
@@ -284,32 +285,36 @@ def _apply(content: pd.Series, edits: pd.Series) -> pd.DataFrame:
 
 
 def sanitize(files: DataFrame, mode: str = "standard", words: Dictionaries | None = None, excluded: DataFrame | None = None, extra: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame | None]:
-    """(path, content, error) of sanitized packages, and the mapping of placeholders (doc_id is the path; None but in reversible mode).
+    """(path, content, error) of sanitized packages, and the mapping of placeholders (row_key, doc_id, which is the path, entity_type, value, placeholder;
+    None but in reversible mode).
 
     ``files``: path, content. ``excluded``: path, entity_type, value that stay as they are; ``extra``: path, entity_type, value that go
-    besides what is found. A package that cannot be read has an error and no content. Packages meet their edits by path; the only thing that
-    travels is edits and packages.
+    besides what is found; those of a path, null included, hold for every package that has it. A package that cannot be read has an error and no content.
+    Packages meet their edits by a key of path and content, so null or repeated paths do not matter; the only thing that travels is edits and packages.
     """
-    read = files.select("path", _runs("content").alias("r"))
-    texts = read.select(F.col("path").alias("doc_id"), F.explode("r.runs").alias("u")).select("doc_id", "u.part", "u.run", "u.text")
+    keyed = files.select("path", "content", key_of(F.col("path"), F.sha2("content", 256)).alias(ROW_KEY))
+    read = keyed.select("path", ROW_KEY, _runs("content").alias("r"))
+    texts = read.select(F.col("path").alias("doc_id"), ROW_KEY, F.explode("r.runs").alias("u")).select("doc_id", ROW_KEY, "u.part", "u.run", "u.text")
     found = engine.detect(texts, mode, words, **options)
     if excluded is not None:
-        kept = excluded.groupBy(F.col("path").alias("doc_id")).agg(F.collect_set(F.struct("entity_type", "value")).alias("_kept"))
+        kept = excluded.groupBy(F.col("path").alias("doc_id")).agg(F.collect_set(F.struct("entity_type", "value")).alias("_vs_kept"))
         value = lambda f: F.substring(F.col("text"), f["start"] + 1, f["end"] - f["start"])
-        stays = lambda f: F.exists("_kept", lambda k: (k["entity_type"] == f["entity_type"]) & (k["value"] == value(f)))
-        left = F.when(F.col("_kept").isNull(), F.col("findings")).otherwise(F.filter("findings", lambda f: ~stays(f)))
-        found = found.join(kept, "doc_id", "left").withColumn("findings", left.cast(FINDINGS)).drop("_kept")
+        stays = lambda f: F.exists("_vs_kept", lambda k: (k["entity_type"] == f["entity_type"]) & (k["value"] == value(f)))
+        left = F.when(F.col("_vs_kept").isNull(), F.col("findings")).otherwise(F.filter("findings", lambda f: ~stays(f)))
+        found = null_safe(found, kept, ["doc_id"], "left").withColumn("findings", left.cast(FINDINGS)).drop("_vs_kept")
     if extra is not None:
         found = resolve.add_manual(found, extra.select(F.col("path").alias("doc_id"), "entity_type", "value"))
-    long = engine.explode(found, "part", "run")
+    # packages that agree in path and content have one key and the same edits
+    long = engine.explode(found, ROW_KEY, "part", "run").distinct()
     mapping = None
     if mode == "reversible":
         # runs follow one another in the order of parts, so a place in the document is a run and an offset in it
         placed = long.withColumn("start", F.struct(F.col("part") != "word/document.xml", "part", "run", "start"))
-        mapping = rewrite.numbered(texts, placed)
-        edits = long.join(mapping, ["doc_id", "entity_type", "value"]).withColumnRenamed("placeholder", "new")
+        made = rewrite.numbered(texts, placed, ROW_KEY)
+        edits = long.join(made, [ROW_KEY, "entity_type", "value"]).withColumnRenamed("placeholder", "new")
+        mapping = edits.select(ROW_KEY, "doc_id", "entity_type", "value", F.col("new").alias("placeholder")).distinct()
     else:
         edits = long.withColumn("new", rewrite.replacement(F.col("value"), F.col("entity_type"), mode))
-    grouped = edits.groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(F.struct("part", "run", "start", "end", "new")).alias("edits"))
-    done = files.select("path", "content").join(grouped, "path", "left").select("path", _apply("content", "edits").alias("d"))
+    grouped = edits.groupBy(ROW_KEY).agg(F.collect_list(F.struct("part", "run", "start", "end", "new")).alias("edits"))
+    done = keyed.join(grouped, ROW_KEY, "left").select("path", _apply("content", "edits").alias("d"))
     return done.select("path", "d.content", "d.error"), mapping
