@@ -6,7 +6,8 @@ target and size is split into whole repeats of every document and a fractional i
 
 The fractions are rounded by the cube method, balanced on documents and on words of each source. Flight: three
 documents at a time, probabilities move along the null space of the constraints (1, size) until one is 0 or 1,
-which then leaves; both totals stay exact. A source is split by a hash of doc_id into blocks of about ``BLOCK``
+which then leaves; both totals stay exact. A source is split by a hash of each row (doc_id and size; also its place in the order of doc_id and text, where
+ids repeat or are null) into blocks of about ``BLOCK``
 documents, so a source with a third of all rows is many tasks; a block leaves at most two documents
 undecided, which meet again in blocks of the next level, until a source has one block. Landing: its last two
 documents take the rounding with the smallest error in words, and one exchange within the last block takes up most
@@ -24,10 +25,10 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.util import WORD, materialize
+from veilspark.llm.util import WORD, materialize, numbered
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -135,7 +136,10 @@ def _round_block(last: bool):
 def with_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source_rank, size, source_size, source_docs, target of every row; the text goes no further."""
     spark = docs.sparkSession
-    sized = materialize(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    rows, key = numbered(docs.select("doc_id", "source", "text"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    sized = materialize(rows.select("doc_id", "source", size, F.col(key).alias("row")), "sizes")
+    sized = sized.withColumn("rank", F.xxhash64("doc_id", "size")) if key == "doc_id" else _places(sized).withColumn("rank", F.xxhash64("doc_id", "size", "row"))
     # one row per source, not per document
     found = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_docs")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
@@ -143,14 +147,24 @@ def with_targets(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     rows = sorted(found, key=lambda r: (r.source is None, (r.source or "").encode()))
     share = targets(np.array([r.source_size for r in rows]), np.array([weights[i % len(weights)] for i in range(len(rows))]), most) if rows else []
     stats = spark.createDataFrame([(r.source, i, r.source_size, r.source_docs, float(t)) for i, (r, t) in enumerate(zip(rows, share))], "s string, source_rank int, source_size long, source_docs long, target double")
-    return sized.join(stats, sized.source.eqNullSafe(stats.s), "left").select("doc_id", "source", "source_rank", "size", "source_size", "source_docs", "target")
+    return sized.join(stats, sized.source.eqNullSafe(stats.s), "left").select("doc_id", "source", "source_rank", "size", "rank", "source_size", "source_docs", "target")
+
+
+def _places(sized: DataFrame) -> DataFrame:
+    """``row`` of a sorted numbering as the place in the sort: wherever partitions were cut, a rerun gives equal rows equal places."""
+    part = F.shiftright("row", 33)
+    counts = sized.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # one row for each partition of the sort
+    earlier = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    placed = sized.withColumn("part", part).join(F.broadcast(earlier), "part")
+    return placed.withColumn("row", F.col("row") - F.shiftleft("part", 33) + F.col("earlier")).drop("part", "earlier")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     rows = with_targets(docs, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(ratio + EPS).cast("int")).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0))).withColumn("rank", F.xxhash64("doc_id", "size"))
+    rows = rows.withColumn("whole", F.floor(ratio + EPS).cast("int")).withColumn("p", F.greatest(ratio - F.col("whole"), F.lit(0.0)))
     rows = rows.withColumns({"level": F.lit(0), "left": F.col("source_docs")})
     done = None
     while True:

@@ -4,7 +4,7 @@ Text becomes typed tokens: numbers (``<num>``), units behind a number (``<unit>`
 sentence (``<name>``), and plain words in lower case without punctuation. Windows of ``WINDOW`` typed tokens, and the same
 windows with names as plain words (so that a copy in other letter case is found), are hashed and joined with those of the benchmark items, so a question asked again with other numbers, names or
 units gives the same windows. One monotone alignment of document and item is chosen, the one that covers most windows with
-fewest changes of shift, equal tokens first. An alignment of nothing but slots is held against the exact tokens, as any
+fewest changes of shift, equal tokens first; however much is inserted between or deleted, the rest of an item counts together. An alignment of nothing but slots is held against the exact tokens, as any
 numbers in a row would fit it. Slots then have to agree: along the alignment, equal slot
 values of the item must stay equal in the document, and different ones different, for at least ``CONSISTENT``
 of the slots. An item leaks into a document if aligned windows cover ``COVERAGE`` of its windows.
@@ -12,7 +12,7 @@ of the slots. An item leaks into a document if aligned windows cover ``COVERAGE`
 The benchmark is the stated query set: its windows go to the workers in blocks of at most ``BLOCK_WINDOWS``
 (a fixed size), each block against all documents; nothing of the documents is shuffled but the matches.
 Items shorter than a window are one window of their own length; as a few words may stand anywhere, they leak only into
-documents of which they are at least ``SHORT_SHARE`` of the tokens.
+documents of which they are at least ``short_share`` of the tokens (0: anywhere).
 
 Defined cases: null or empty text or item matches nothing, nor does an item without a word; repeated rows match alike (results
 are distinct pairs); ties in alignment take the smallest shift; texts are read whole; extra columns are ignored.
@@ -167,7 +167,7 @@ class Templates:
         self.widths = sorted({min(window, int(x)) for x in size if x})
         self.windows = np.maximum(1, size - window + 1)
 
-    def match(self, buf: np.ndarray, off: np.ndarray, coverage: float, consistent: float) -> list[tuple[int, int, int, int, float]]:
+    def match(self, buf: np.ndarray, off: np.ndarray, coverage: float, consistent: float, short_share: float = SHORT_SHARE) -> list[tuple[int, int, int, int, float]]:
         """(row, item index, aligned windows, windows, share of consistent slots) of each leak."""
         kind, exact, row = tokens(buf, off)
         docs, items, shifts, offsets = [], [], [], []
@@ -187,9 +187,9 @@ class Templates:
             return []
         docs, items, shifts, offsets = (np.concatenate(x) for x in (docs, items, shifts, offsets))
         short = self.size[items] < self.window
-        fits = ~short | (self.size[items] >= SHORT_SHARE * np.bincount(row)[docs])
+        fits = ~short | (self.size[items] >= short_share * np.bincount(row)[docs])
         docs, items, shifts, offsets = docs[fits], items[fits], shifts[fits], offsets[fits]
-        # alignments: the same item at nearly the same shift; insertions and deletions move it by a few tokens
+        # whatever is inserted or deleted moves the rest of an item: all its hits in a document are aligned together
         order = np.lexsort((offsets, shifts, items, docs))
         docs, items, shifts, offsets = docs[order], items[order], shifts[order], offsets[order]
         # a window that hits in both typings is one
@@ -197,7 +197,7 @@ class Templates:
         once[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (shifts[1:] != shifts[:-1]) | (offsets[1:] != offsets[:-1])
         docs, items, shifts, offsets = docs[once], items[once], shifts[once], offsets[once]
         new = np.ones(len(docs), bool)
-        new[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (shifts[1:] - shifts[:-1] > 3)
+        new[1:] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1])
         group = np.cumsum(new) - 1
         best: dict[tuple[int, int], tuple[int, float]] = {}
         starts = np.flatnonzero(new)
@@ -293,7 +293,7 @@ def blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[Templates]:
         yield Templates(ids, texts, window)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT, block: int = BLOCK_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT, block: int = BLOCK_WINDOWS, short_share: float = SHORT_SHARE) -> DataFrame:
     """Pairs doc_id, item_id with matched_windows, item_windows, slot_consistency."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -307,7 +307,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 ids, rows = batch.column(0).to_pylist(), []
                 buf, off = text_bytes(batch.column(1))
                 for lo, hi in chunked(off):
-                    for d, i, c, w, s in t.match(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], coverage, consistent):
+                    for d, i, c, w, s in t.match(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], coverage, consistent, short_share):
                         rows.append((ids[lo + d], int(t.ids[i]), c, w, s))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "matched_windows", "item_windows", "slot_consistency"])
@@ -319,7 +319,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     return out.groupBy("doc_id", "item_id").agg(F.max("matched_windows").alias("matched_windows"), F.max("item_windows").alias("item_windows"), F.max("slot_consistency").alias("slot_consistency"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT, block: int = BLOCK_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, consistent: float = CONSISTENT, block: int = BLOCK_WINDOWS, short_share: float = SHORT_SHARE) -> DataFrame:
     """``docs`` without the rows that hold an item; each row is judged by its own text, so ids may repeat or be null."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -332,7 +332,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 clean = np.ones(batch.num_rows, bool)
                 buf, off = text_bytes(batch.column(at))
                 for lo, hi in chunked(off):
-                    for d, *_ in sent.value.match(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], coverage, consistent):
+                    for d, *_ in sent.value.match(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], coverage, consistent, short_share):
                         clean[lo + d] = False
                 yield batch.filter(pa.array(clean))
 

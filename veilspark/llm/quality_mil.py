@@ -140,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, epochs
     small_batches(docs.sparkSession, 256)
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     chosen = bounded_sample(known, train_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(lean(_features), "doc_id long, quality int, x binary").collect()
+    # one text for each label, the first where ids repeat: so the sample is bounded whatever the documents are
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "text", "quality").mapInArrow(lean(_features), "doc_id long, quality int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, r.x))
     model = GatedAttention(seed)
     y = np.array([r.quality for r in rows], float)

@@ -6,7 +6,8 @@ The order is by frequency, rare first. (Bigrams that repeat within a word count
 So whichever word's prefix ends first, its surviving bigram lies in the other's prefix.)
 
 The edit lies wholly in front of or behind a surviving bigram. So words do not meet by the bigram alone but by the bigram together with all that stands in
-front of it, or together with all that stands behind it; both are joined on, as hashes. Every pair that meets is verified.
+front of it, or together with all that stands behind it; both are joined on, as hashes. Every pair that meets is verified: first by length and by which letters
+stand an odd number of times, then by its edit distance.
 
 What grows with the corpus is shuffled: occurrences are summed before they travel, then the join works on distinct words. Broadcast are only the frequencies
 of bigrams: at most 90 * 90, as the alphabet has 90 letters.
@@ -51,8 +52,14 @@ def _bigrams(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(word) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
 
 
+def _parity(word: Column) -> Column:
+    """A bit for each letter (modulo 64) that stands in the word an odd number of times. One edit turns two bits at most."""
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+
+
 def prefixes(words: DataFrame) -> DataFrame:
-    """word, n, key, at: for each of the rarest bigrams of a word two keys, the bigram with what stands in front of it and with what stands behind it."""
+    """word, n, length, parity, key, at: for each of the rarest bigrams of a word two keys, the bigram with what stands in front of it and with what stands behind it."""
     placed = words.select("word", "n", F.posexplode(_bigrams(F.col("word"))).alias("at", "bigram"))
     frequency = placed.groupBy("bigram").agg(F.count(F.lit(1)).alias("f"))
     ranked = placed.join(F.broadcast(frequency), "bigram").groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("f", "bigram", "at"))).alias("b"))
@@ -60,14 +67,16 @@ def prefixes(words: DataFrame) -> DataFrame:
     first = F.filter("b", lambda x: F.struct(x["f"], x["bigram"]) <= F.struct(last["f"], last["bigram"]))
     front = lambda x: F.struct(F.xxhash64(F.lit("front"), F.substring("word", F.lit(1), x["at"] + 2)).alias("key"), x["at"].alias("at"))
     back = lambda x: F.struct(F.xxhash64(F.lit("back"), F.substring("word", x["at"] + 1, F.length("word"))).alias("key"), x["at"].alias("at"))
-    return ranked.select("word", "n", F.explode(F.flatten(F.transform(first, lambda x: F.array(front(x), back(x))))).alias("k")).select("word", "n", "k.*")
+    shape = (F.length("word").alias("length"), _parity(F.col("word")).alias("parity"))
+    return ranked.select("word", "n", *shape, F.explode(F.flatten(F.transform(first, lambda x: F.array(front(x), back(x))))).alias("k")).select("word", "n", "length", "parity", "k.*")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b with a before b: every pair of near words once. ``words``: word, n; distinct words of at least four code points."""
     keys = materialize(prefixes(words), "prefixes")
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("word", "n", "at"))) for side in "ab")
-    close = (F.col("word_a") < F.col("word_b")) & (F.abs(F.length("word_a") - F.length("word_b")) <= 1) & (F.abs(F.col("at_a") - F.col("at_b")) <= 1)
+    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("word", "n", "length", "parity", "at"))) for side in "ab")
+    # cheap tests first: of the pairs that meet, few are near
+    close = (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2) & (F.abs(F.col("length_a") - F.col("length_b")) <= 1) & (F.abs(F.col("at_a") - F.col("at_b")) <= 1) & (F.col("word_a") < F.col("word_b"))
     near = F.levenshtein("word_a", "word_b", 1) == 1
     met = a.join(b, (a["key"] == b["key"]) & close & near)
     pairs = materialize(met.select(F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b").distinct(), "near-words")

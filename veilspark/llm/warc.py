@@ -214,7 +214,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
 def with_revisits(pages: DataFrame) -> DataFrame:
     """Payload, its length and digest, and for every repeated long payload the page_id of its response.
 
-    Groups of copies are found on digests alone, by a partial maximum, and only digests that repeat are written. Payloads meet
+    Rows that agree in payload and in the largest page_id are one page that stands twice: each is the response. Groups of copies are found on digests alone, by a partial maximum, and only digests that repeat are written. Payloads meet
     them where they are as long as that table is small enough for a broadcast by its written size; beyond, in a plain join, which adaptive execution can split.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
