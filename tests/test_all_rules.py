@@ -105,7 +105,7 @@ def test_all_rules_are_the_union_of_single_ones(documents):
     """All rules at once give what a plain merge of each rule's own findings gives."""
     words = catalog.WORDS
     each = collections.defaultdict(list)
-    for row in engine.candidates(documents, "maximum", words).select("doc_id", *(F.col(f"_{rule}") for rule, _ in engine.RULES)).collect():
+    for row in engine.candidates(documents, "maximum", words).select("doc_id", *(F.col(f"_vs_rule_{rule}") for rule, _ in engine.RULES)).collect():
         for at, found in enumerate(row[1:]):
             each[row.doc_id] += [(f.start, f.start - f.end, -PRIORITY[f.entity_type], -f.score, at, f.entity_type, f.end) for f in found or []]
     got = collections.defaultdict(list)

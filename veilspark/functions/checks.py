@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
+from veilspark.functions.clues import WordTable
 from veilspark.functions.spans import let
 
 
@@ -124,6 +125,6 @@ def normal_place(value: Column) -> Column:
     return normal_token(F.array_join(F.regexp_extract_all(unified, F.lit(fixed.PLACE_TOKEN), F.lit(0)), " "))
 
 
-def is_first_name(word: Column, names: list[str]) -> Column:
+def is_first_name(word: Column, names: WordTable) -> Column:
     punctuation = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \t\n\r"
-    return F.lower(F.trim(word, F.lit(punctuation))).isin(names) if names else F.lit(False)
+    return names.has(F.lower(F.trim(word, F.lit(punctuation))))

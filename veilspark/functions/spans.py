@@ -73,47 +73,51 @@ def cut(text: Column, codes: Column, start: Column, end: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Text of the same length without the two marks; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + FIELD, "\u0003\u0003")
+    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(FIELD))
+    return F.coalesce(F.when(marked, F.translate(text, OPEN + FIELD, "\u0003\u0003")).otherwise(text), F.lit(""))
 
 
-def spans(text: Column, pattern: str, groups: tuple[int, ...] = (), value: int = 0, keep=None) -> Column:
-    """array<struct<start, end, value, from, to, g<i>...>> of all matches in ``clean`` text.
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    ``keep`` is a test of the value: matches that fail it are not gathered at all, which matters for
-    patterns that match every word.
+
+def spans_sql(text: str, pattern: str, groups: tuple[int, ...] = (), value: int = 0) -> str:
+    """:func:`spans` as SQL; ``text`` is SQL too. Text is put together at no cost, while a column expression costs a call to the JVM for every node."""
+    taken = [value, *groups]
+    marks = OPEN + "$0" + "".join(f"{FIELD}${g}" for g in taken) + FIELD
+    names = ["start:int", "end:int", "value:string", "from:int", "to:int", *(f"g{g}:string" for g in groups)]
+    none = "cast(array() as array<struct<" + ",".join("`" + n.replace(":", "`:") for n in names) + ">>)"
+    own = "".join(f", 'g{g}', f[{2 + i}]" for i, g in enumerate(groups))
+    span = f"named_struct('start', ends - length(f[1]), 'end', ends, 'value', f[1], 'from', a.at, 'to', ends{own})"
+    step = f"""transform(array(split(piece, '{FIELD}', {len(taken) + 2})), f ->
+        transform(array(a.at + length(f[0])), ends -> named_struct('at', ends + length(f[{len(taken) + 1}]), 'out', concat(a.out, array({span}))))[0])[0]"""
+    chunk = f"aggregate(slice(pieces, k * {CHUNK} + 2, {CHUNK}), named_struct('at', acc.at, 'out', {none}), (a, piece) -> {step})"
+    return f"""transform(array(split(regexp_replace({text}, {sql_string(pattern)}, {sql_string(marks)}), '{OPEN}')), pieces -> aggregate(
+        sequence(0, cast(floor(greatest(size(pieces) - 2, 0) / {CHUNK}) as int)), named_struct('at', length(pieces[0]), 'out', {none}),
+        (acc, k) -> transform(array({chunk}), got -> named_struct('at', got.at, 'out', concat(acc.out, got.out)))[0], acc -> acc.out))[0]"""
+
+
+def spans(text: str | Column, pattern: str, groups: tuple[int, ...] = (), value: int = 0) -> Column:
+    """array<struct<start, end, value, from, to, g<i>...>> of all matches in ``text``, SQL or a column of :func:`clean` text.
 
     ``start`` and ``end`` are of group ``value``, which has to end the match; ``from`` and ``to`` are of
     the match.
     """
+    if isinstance(text, str):
+        return F.expr(spans_sql(text, pattern, groups, value))
+    # the same as expressions, for a text that has no name
     taken = [value, *groups]
     marked = F.regexp_replace(text, F.lit(pattern), F.lit(OPEN + "$0" + "".join(f"{FIELD}${g}" for g in taken) + FIELD))
     names = ", ".join(["start:int", "end:int", "value:string", "from:int", "to:int", *(f"g{g}:string" for g in groups)])
-    none = F.array().cast(f"array<struct<{names}>>")
-
-    width = len(taken)
-
-    def step(acc: Column, piece: Column) -> Column:
-        def of_fields(fields: Column) -> Column:
-            def of_end(to: Column) -> Column:
-                span = F.struct(
-                    (to - F.length(fields[1])).alias("start"), to.alias("end"), fields[1].alias("value"), acc["at"].alias("from"), to.alias("to"), *(fields[2 + i].alias(f"g{g}") for i, g in enumerate(groups))
-                )
-                grown = F.concat(acc["out"], F.array(span))
-                return F.struct((to + F.length(fields[width + 1])).alias("at"), (grown if keep is None else F.when(keep(fields[1]), grown).otherwise(acc["out"])).alias("out"))
-
-            return let(acc["at"] + F.length(fields[0]), of_end)
-
-        return let(F.split(piece, FIELD, width + 2), of_fields)
-
-    def fold(pieces: Column) -> Column:
-        def of_chunk(acc: Column, k: Column) -> Column:
-            some = F.aggregate(F.slice(pieces, k * CHUNK + 2, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
-            return let(some, lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], got["out"]).alias("out")))
 
-        chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(pieces) - 2, F.lit(0)) / CHUNK).cast("int"))
-        return F.aggregate(chunks, F.struct(F.length(pieces[0]).alias("at"), none.alias("out")), of_chunk, lambda a: a["out"])
+    def step(a: Column, piece: Column) -> tuple[dict[str, Column], Column]:
+        f = F.split(piece, FIELD, len(taken) + 2)
+        end = a["at"] + F.length(f[0])
+        own = (f[2 + i].alias(f"g{g}") for i, g in enumerate(groups))
+        span = F.struct((end - F.length(f[1])).alias("start"), end.alias("end"), f[1].alias("value"), a["at"].alias("from"), end.alias("to"), *own)
+        return {"at": end + F.length(f[len(taken) + 1])}, F.array(span)
 
-    return let(F.split(marked, OPEN), fold)
+    return let(F.split(marked, OPEN), lambda pieces: gathered(F.slice(pieces, F.lit(2), F.size(pieces) - 1), {"at": F.length(pieces[0])}, f"array<struct<{names}>>", step)["out"])
 
 
 def extract_at(text: Column, start: Column, pattern: str, seen: str, window: int = 1000) -> Column:

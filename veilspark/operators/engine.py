@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
+from veilspark.functions.clues import Clues, has_digit, stems_of, words_of
 from veilspark.functions.identity import ROW_KEY, identity_columns, key_of, null_safe, others, with_row_key
 from veilspark.functions.spans import FINDINGS, clean, cut, let, wide
 from veilspark.operators import resolve, rewrite
-from veilspark.operators.recognizers import LOOKS_UP, RULES, WITH_WORDS, Dictionaries, mentions
+from veilspark.operators.recognizers import RULES, WITH_WORDS, Dictionaries
 from veilspark.operators.rewrite import check_mode
 
 #: Longest text of one interactive request.
@@ -39,26 +40,25 @@ def _key(words: Dictionaries) -> tuple:
 
 
 def rule_column(name: str, rule: Callable, words: Dictionaries) -> Column:
+    seen = Clues("_vs_clean", F.col("_vs_digit"), F.col("_vs_words"), F.col("_vs_stems"))
     if name not in WITH_WORDS:
-        return built((name,), lambda: rule(F.col("_vs_clean")).alias(f"_vs_{name}"))
-    known = [F.col(f"_vs_has_{LOOKS_UP[name]}")] if name in LOOKS_UP and getattr(words, LOOKS_UP[name]) else []
-    return built((name, *_key(words)), lambda: rule(F.col("_vs_clean"), words, *known).alias(f"_vs_{name}"))
+        return built((name,), lambda: rule(F.col("_vs_clean"), seen).alias(f"_vs_rule_{name}"))
+    return built((name, *_key(words)), lambda: rule(F.col("_vs_clean"), seen, words).alias(f"_vs_rule_{name}"))
 
 
 def candidates(docs: DataFrame, mode: str = "standard", words: Dictionaries | None = None, only: set[str] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` and one array column ``_<rule>`` per recognizer, in four projections, so that generated code stays small.
+    """``docs`` and one array column ``_vs_rule_<rule>`` per recognizer, in several projections, so that generated code stays small.
 
-    Whether a text has a first word of the dictionaries at all is found in a projection before, once for all rules that look words up.
+    What the gates of the rules ask (:mod:`veilspark.functions.clues`) is worked out in the projections before them.
     """
     check_mode(mode)
     words = words or Dictionaries()
     if any(c.lower().startswith("_vs_") for c in docs.columns):
         raise ValueError("names of columns that begin with _vs_ are kept for the engine")
     out = docs.withColumn("_vs_clean", clean(F.col(text)))
+    out = out.select("*", has_digit(F.col("_vs_clean")).alias("_vs_digit"), words_of(F.col("_vs_clean")).alias("_vs_words"))
+    out = out.withColumn("_vs_stems", stems_of(F.col("_vs_words")))
     rules = [(n, f) for n, f in RULES if (mode != "standard" or n != "dates") and (only is None or n in only)]
-    gates = sorted({LOOKS_UP[n] for n, _ in rules if n in LOOKS_UP and getattr(words, LOOKS_UP[n])})
-    if gates:
-        out = out.select("*", *(built((kind, *_key(words)), lambda kind=kind: mentions(F.col("_vs_clean"), getattr(words, kind)).alias(f"_vs_has_{kind}")) for kind in gates))
     for at in range(0, len(rules), 7):
         out = out.select("*", *(rule_column(n, f, words) for n, f in rules[at : at + 7]))
     return out
@@ -80,7 +80,7 @@ def detect(
     findings, a vectorised UDF for instance. Null text has no findings. A column ``findings`` of the input gives way to the new one.
     """
     found = candidates(docs, mode, words, only, text)
-    rules = [c for c in found.columns if c.startswith("_vs_") and c != "_vs_clean" and not c.startswith("_vs_has_")]
+    rules = [c for c in found.columns if c.startswith("_vs_rule_")]
     out = found.withColumn("findings", built(("dedupe", *rules), lambda: resolve.dedupe(F.concat(*(F.col(c) for c in rules)))))
     if extra is not None:
         out = out.withColumn("findings", resolve.merge(F.col("findings"), F.col(extra)))
@@ -91,6 +91,18 @@ def detect(
     return out.select(*others(docs, "findings"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt out to all cores if it is smaller than one file split for each of them.
+
+    A file of few row groups is read by few tasks, and a projection stays in them; rules cost far more than moving so little. Larger inputs stay as they are.
+    """
+    spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if size < split * cores else docs
+
+
 def explode(detected: DataFrame, *keep: str) -> DataFrame:
     """Long form: doc_id, entity_type, start, end, score, source, value.
 

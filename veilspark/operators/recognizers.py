@@ -6,7 +6,6 @@ Gates in front are conditions that a match implies, so that texts without a cand
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,9 +13,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspark.functions import checks, fixed
-from veilspark.functions.spans import FINDINGS, any_of, before, extract_at, finding, gated, let, spans, trimmed
+from veilspark.functions.clues import Clues, WordTable, first_words
+from veilspark.functions.spans import FINDINGS, any_of, apart, before, extract_at, finding, gated, let, spans, spans_sql, trimmed
 
-#: Most entries of a dictionary: its words stand in the plan, so they have to be a dimension table.
+#: Most entries of a dictionary: they stand in the plan, as one string, so they have to be a dimension table.
 MOST_WORDS = 200_000
 #: Behind a match, what shows that words further on cannot belong to it: two more words and a blank.
 WORDS_SEEN = r"(?U)^\s*\S+\s+\S+\s"
@@ -42,56 +42,52 @@ class Dictionaries:
         return max((len(p.split()) for p in self.places), default=0)
 
 
-def _digit(t: Column) -> Column:
-    return t.rlike("[0-9]")
-
-
-def _labelled(t: Column, entity: str, pattern: str, score: float, valid: Callable[[Column], Column] | None = None) -> Column:
-    found = spans(t, pattern, value=1)
+def _labelled(seen: Clues, entity: str, pattern: str, score: float, valid: Callable[[Column], Column] | None = None) -> Column:
+    found = spans(seen.text, pattern, value=1)
     if valid is not None:
         found = F.filter(found, lambda s: valid(s["value"]))
     return F.transform(found, lambda s: finding(entity, s["start"], s["end"], score))
 
 
-def _trimmed(t: Column, entity: str, pattern: str, score: float, period: bool = True) -> Column:
-    ends = F.transform(spans(t, pattern), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(trimmed(s["value"], period))).alias("end")))
+def _trimmed(seen: Clues, entity: str, pattern: str, score: float, period: bool = True) -> Column:
+    ends = F.transform(spans(seen.text, pattern), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(trimmed(s["value"], period))).alias("end")))
     return F.transform(F.filter(ends, lambda s: s["end"] > s["start"]), lambda s: finding(entity, s["start"], s["end"], score))
 
 
-def emails(t: Column) -> Column:
-    return gated(F.contains(t, F.lit("@")), _trimmed(t, "EMAIL_ADDRESS", fixed.EMAIL, 0.98))
+def emails(t: Column, seen: Clues) -> Column:
+    return gated(F.contains(t, F.lit("@")), _trimmed(seen, "EMAIL_ADDRESS", fixed.EMAIL, 0.98))
 
 
-def pec(t: Column) -> Column:
-    by_label = _labelled(t, "PEC_ADDRESS", fixed.PEC_LABELLED, 0.98)
-    by_domain = F.transform(F.filter(spans(t, fixed.EMAIL), lambda s: checks.pec_domain(s["value"])), lambda s: finding("PEC_ADDRESS", s["start"], s["end"], 0.97))
+def pec(t: Column, seen: Clues) -> Column:
+    by_label = _labelled(seen, "PEC_ADDRESS", fixed.PEC_LABELLED, 0.98)
+    by_domain = F.transform(F.filter(spans(seen.text, fixed.EMAIL), lambda s: checks.pec_domain(s["value"])), lambda s: finding("PEC_ADDRESS", s["start"], s["end"], 0.97))
     return gated(F.contains(t, F.lit("@")), F.concat(by_label, by_domain))
 
 
-def phones(t: Column) -> Column:
-    return gated(_digit(t), _trimmed(t, "PHONE_NUMBER", fixed.PHONE, 0.94))
+def phones(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit, _trimmed(seen, "PHONE_NUMBER", fixed.PHONE, 0.94))
 
 
-def foreign_phones(t: Column) -> Column:
+def foreign_phones(t: Column, seen: Clues) -> Column:
     count = lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15)
-    return gated(F.contains(t, F.lit("+")), F.transform(F.filter(spans(t, fixed.FOREIGN_PHONE), lambda s: count(s["value"])), lambda s: finding("PHONE_NUMBER", s["start"], s["end"], 0.92)))
+    return gated(F.contains(t, F.lit("+")), F.transform(F.filter(spans(seen.text, fixed.FOREIGN_PHONE), lambda s: count(s["value"])), lambda s: finding("PHONE_NUMBER", s["start"], s["end"], 0.92)))
 
 
-def fiscal_codes(t: Column) -> Column:
-    found = F.filter(spans(t, fixed.FISCAL), lambda s: checks.fiscal_code(F.upper(s["value"])))
-    return gated(_digit(t), F.transform(found, lambda s: finding("CODICE_FISCALE", s["start"], s["end"], 0.96)))
+def fiscal_codes(t: Column, seen: Clues) -> Column:
+    found = F.filter(spans(seen.text, fixed.FISCAL), lambda s: checks.fiscal_code(F.upper(s["value"])))
+    return gated(seen.digit, F.transform(found, lambda s: finding("CODICE_FISCALE", s["start"], s["end"], 0.96)))
 
 
-def labelled_fiscal_codes(t: Column) -> Column:
-    return gated(t.rlike(r"(?i)c\.?\s*f|fisc"), _labelled(t, "CODICE_FISCALE", fixed.FISCAL_LABELLED, 0.9))
+def labelled_fiscal_codes(t: Column, seen: Clues) -> Column:
+    return gated(t.rlike(r"(?i)c\.?\s*f|fisc"), _labelled(seen, "CODICE_FISCALE", fixed.FISCAL_LABELLED, 0.9))
 
 
-def tabular_fiscal_codes(t: Column) -> Column:
+def tabular_fiscal_codes(t: Column, seen: Clues) -> Column:
     """Upper-case codes in the columns that a header row names, down to the first empty row.
 
     Lines with offsets come from one fold; the first header decides alone.
     """
-    line = spans(F.concat(t, F.lit("\n")), f"(?s)(.*?)({fixed.PYTHON_LINES})", (1,))
+    line = spans(f"concat({seen.text}, '\\n')", f"(?s)(.*?)({fixed.PYTHON_LINES})", (1,))
     lines = F.transform(line, lambda s: F.struct(s["from"].alias("at"), F.regexp_replace(s["g1"], "[\r\n]+$", "").alias("row")))
     count = lambda row, d: F.length(row) - F.length(F.replace(row, F.lit(d), F.lit("")))
 
@@ -133,15 +129,15 @@ def tabular_fiscal_codes(t: Column) -> Column:
         return let(F.array_position(F.transform(lines, lambda x: is_head(x["row"])), True).cast("int"), of_place)
 
     found = F.coalesce(let(lines, of_lines), F.array().cast(FINDINGS))
-    return gated(t.rlike(r"(?i)c\.?[ \t]*f|fiscale") & t.rlike("[,;\t]") & t.rlike(fixed.FISCAL_SHAPE), found)
+    return gated(seen.digit & t.rlike(fixed.FISCAL_SHAPE) & t.rlike("[,;\t]") & t.rlike(r"(?i)c\.?[ \t]*f|fiscale"), found)
 
 
-def vat_numbers(t: Column) -> Column:
-    found = F.filter(spans(t, fixed.VAT, (1,)), lambda s: checks.vat(s["g1"]))
-    return gated(t.rlike("[0-9]{11}"), F.transform(found, lambda s: finding("PARTITA_IVA", s["start"], s["end"], 0.96)))
+def vat_numbers(t: Column, seen: Clues) -> Column:
+    found = F.filter(spans(seen.text, fixed.VAT, (1,)), lambda s: checks.vat(s["g1"]))
+    return gated(seen.digit & t.rlike("[0-9]{11}"), F.transform(found, lambda s: finding("PARTITA_IVA", s["start"], s["end"], 0.96)))
 
 
-def ibans(t: Column) -> Column:
+def ibans(t: Column, seen: Clues) -> Column:
     """Every head is tried, since one may stand inside a candidate that fails; accepted spans then go left to right.
 
     A candidate is cut to its country's length, counted without blanks and hyphens.
@@ -162,41 +158,35 @@ def ibans(t: Column) -> Column:
 
         return let(extract_at(t, s["start"], fixed.IBAN_WHOLE, CODE_SEEN, 300), of_whole)
 
-    tried = F.filter(F.transform(spans(t, fixed.IBAN_HEAD), candidate), lambda s: s["end"].isNotNull())
-    none = F.array().cast(FINDINGS)
-    kept = F.aggregate(
-        tried,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(finding("IBAN", s["start"], s["end"], 0.97))).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
-    return gated(t.rlike(r"(?i)[A-Z]{2}[\s-]*[0-9]{2}[\s-]*[A-Z0-9]"), kept)
+    tried = F.filter(F.transform(spans(seen.text, fixed.IBAN_HEAD), candidate), lambda s: s["end"].isNotNull())
+    kept = F.transform(apart(tried, "array<struct<start:int,end:int>>"), lambda s: finding("IBAN", s["start"], s["end"], 0.97))
+    return gated(seen.digit & t.rlike(r"(?i)[A-Z]{2}[\s-]*[0-9]{2}[\s-]*[A-Z0-9]"), kept)
 
 
-def sdi_codes(t: Column) -> Column:
-    return gated(t.rlike("(?i)sdi|destinatario|univoco"), _labelled(t, "SDI_CODE", fixed.SDI, 0.9, checks.sdi))
+def sdi_codes(t: Column, seen: Clues) -> Column:
+    return gated(seen.begins("sdi dest univ cod") & t.rlike("(?iu)sdi|destinatario|univoco"), _labelled(seen, "SDI_CODE", fixed.SDI, 0.9, checks.sdi))
 
 
-def health_cards(t: Column) -> Column:
-    return gated(t.rlike("(?i)tessera|cns|nazionale") & _digit(t), _labelled(t, "HEALTH_CARD", fixed.HEALTH_CARD, 0.9, checks.health_card))
+def health_cards(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit & t.rlike("(?iu)tessera|cns|nazionale"), _labelled(seen, "HEALTH_CARD", fixed.HEALTH_CARD, 0.9, checks.health_card))
 
 
-def identity_documents(t: Column) -> Column:
-    return gated(_digit(t), _labelled(t, "IDENTITY_DOCUMENT", fixed.IDENTITY, 0.92, checks.contextual_code))
+def identity_documents(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit, _labelled(seen, "IDENTITY_DOCUMENT", fixed.IDENTITY, 0.92, checks.contextual_code))
 
 
-def plates(t: Column) -> Column:
-    return gated(t.rlike("(?i)targ") & _digit(t), _labelled(t, "VEHICLE_PLATE", fixed.PLATE, 0.91, checks.contextual_code))
+def plates(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit & seen.any_of("targ"), _labelled(seen, "VEHICLE_PLATE", fixed.PLATE, 0.91, checks.contextual_code))
 
 
-def protocols(t: Column) -> Column:
-    return gated(_digit(t), _labelled(t, "PROTOCOL_CASE_NUMBER", fixed.PROTOCOL, 0.88, checks.protocol))
+def protocols(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit, _labelled(seen, "PROTOCOL_CASE_NUMBER", fixed.PROTOCOL, 0.88, checks.protocol))
 
 
-def cadastral(t: Column) -> Column:
+def cadastral(t: Column, seen: Clues) -> Column:
     """A strong label stands alone; a weak one needs a domain word or a strong label within 100 characters."""
     strong = lambda label: F.lower(F.regexp_replace(label, r"(?U)[\s.]", "")).rlike(fixed.CADASTRE_STRONG)
-    found = F.transform(spans(t, fixed.CADASTRE, (1,), 2), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["start"].alias("start"), s["end"].alias("end"), strong(s["g1"]).alias("strong")))
+    found = F.transform(spans(seen.text, fixed.CADASTRE, (1,), 2), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"), s["start"].alias("start"), s["end"].alias("end"), strong(s["g1"]).alias("strong")))
 
     def accepted(s: Column, all_: Column) -> Column:
         lo, hi = F.greatest(s["from"] - 100, F.lit(0)), s["to"] + 100
@@ -205,93 +195,98 @@ def cadastral(t: Column) -> Column:
         return s["strong"] | domain | near
 
     kept = let(found, lambda all_: F.filter(all_, lambda s: accepted(s, all_)))
-    return gated(t.rlike("(?i)f[og]|part|lla|mapp|sub|sez|cat"), F.transform(kept, lambda s: finding("CATASTO", s["start"], s["end"], 0.9)))
+    return gated(seen.any_of("fogl fgl fg part p plla mapp suba sub sezi sez cate cat catc"), F.transform(kept, lambda s: finding("CATASTO", s["start"], s["end"], 0.9)))
 
 
-def cards(t: Column) -> Column:
+def cards(t: Column, seen: Clues) -> Column:
     digits = lambda v: F.regexp_replace(v, "[ -]", "")
     ok = lambda v: F.length(digits(v)).between(13, 19) & F.coalesce(checks.luhn(digits(v)), F.lit(False))
-    return gated(t.rlike("[0-9](?:[ -]?[0-9]){12}"), F.transform(F.filter(spans(t, fixed.CARD), lambda s: ok(s["value"])), lambda s: finding("CREDIT_CARD", s["start"], s["end"], 0.95)))
+    return gated(seen.digit & t.rlike("[0-9](?:[ -]?[0-9]){12}"), F.transform(F.filter(spans(seen.text, fixed.CARD), lambda s: ok(s["value"])), lambda s: finding("CREDIT_CARD", s["start"], s["end"], 0.95)))
 
 
-def addresses(t: Column) -> Column:
-    ends = F.transform(spans(t, fixed.ADDRESS), lambda s: F.struct(s["start"].alias("start"), trimmed(s["value"]).alias("value")))
+def addresses(t: Column, seen: Clues) -> Column:
+    ends = F.transform(spans(seen.text, fixed.ADDRESS), lambda s: F.struct(s["start"].alias("start"), trimmed(s["value"]).alias("value")))
     no = lambda v: v.rlike(fixed.ADDRESS_NOT_VIA) | v.rlike(fixed.ADDRESS_NOT_CORSO) | (v.rlike(fixed.ADDRESS_HAMLET) & ~v.rlike(r"(?U)\d"))
     kept = F.filter(ends, lambda s: (F.length(s["value"]) > 0) & ~no(s["value"]))
-    return gated(t.rlike(r"(?i)v(?:ia|\.)|p(?:iazza|\.zza)|c(?:orso|\.so|ontrada)|vicolo|largo|strada|loc|frazione"), F.transform(kept, lambda s: finding("ADDRESS", s["start"], s["start"] + F.length(s["value"]), 0.86)))
+    return gated(seen.any_of("via v vial piaz p cors c vico larg stra cont loca loc fraz"), F.transform(kept, lambda s: finding("ADDRESS", s["start"], s["start"] + F.length(s["value"]), 0.86)))
 
 
-def lower_addresses(t: Column) -> Column:
-    found = F.filter(spans(t, fixed.LOWER_ADDRESS, (1,)), lambda s: ~F.exists(checks.words(s["g1"]), lambda w: w.isin(fixed.LOWER_STREET_STOP)))
-    return gated(_digit(t), F.transform(found, lambda s: finding("ADDRESS", s["start"], s["end"], 0.78)))
+def lower_addresses(t: Column, seen: Clues) -> Column:
+    found = F.filter(spans(seen.text, fixed.LOWER_ADDRESS, (1,)), lambda s: ~F.exists(checks.words(s["g1"]), lambda w: w.isin(fixed.LOWER_STREET_STOP)))
+    return gated(seen.digit & seen.any_of("via vial piaz cors vico larg stra cont fraz loca"), F.transform(found, lambda s: finding("ADDRESS", s["start"], s["end"], 0.78)))
 
 
-def postcode_cities(t: Column) -> Column:
+def postcode_cities(t: Column, seen: Clues) -> Column:
     stop = [*fixed.PERSON_STOP, *(m.capitalize() for m in fixed.MONTHS), *fixed.CITY_STOP]
     ok = lambda s: ~before(t, s["start"], 80).rlike(fixed.POSTCODE_REGISTER) & ~checks.words(s["g1"])[0].isin(stop)
-    return gated(t.rlike("[0-9]{5}[ \t]"), F.transform(F.filter(spans(t, fixed.POSTCODE_CITY, (1,)), ok), lambda s: finding("ADDRESS", s["start"], s["end"], 0.8)))
+    return gated(seen.digit & t.rlike("[0-9]{5}[ \t]"), F.transform(F.filter(spans(seen.text, fixed.POSTCODE_CITY, (1,)), ok), lambda s: finding("ADDRESS", s["start"], s["end"], 0.8)))
+
+
+def labelled_postcodes(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit & t.rlike("[0-9]{5}"), _labelled(seen, "POSTAL_CODE", fixed.POSTCODE_LABELLED, 0.94))
 
 
-def labelled_postcodes(t: Column) -> Column:
-    return gated(t.rlike("[0-9]{5}"), _labelled(t, "POSTAL_CODE", fixed.POSTCODE_LABELLED, 0.94))
+#: Legal forms behind a blank or hyphen.
+_FORMS = r"[ \t-]s\.?[ \t]*(?:r\.?[ \t]*l|p\.?[ \t]*a|n\.?[ \t]*c|a\.?[ \t]*s|s)(?!\w)|soc\.?[ \t]*coop|onlus|[ \t](?:aps|ets)(?!\w)"
 
 
-def organizations(t: Column) -> Column:
+def organizations(t: Column, seen: Clues) -> Column:
     """Legal forms, business keywords, forms broken by a hyphen (which outrank what they overlap), and academic bodies."""
-    broken = _trimmed(t, "ORGANIZATION", fixed.FIRM_BROKEN, 0.94, period=False)
-    plain = F.concat(_trimmed(t, "ORGANIZATION", fixed.FIRM_SUFFIX, 0.9, period=False), _trimmed(t, "ORGANIZATION", fixed.FIRM_PREFIX, 0.88, period=False))
+    broken = _trimmed(seen, "ORGANIZATION", fixed.FIRM_BROKEN, 0.94, period=False)
+    plain = F.concat(_trimmed(seen, "ORGANIZATION", fixed.FIRM_SUFFIX, 0.9, period=False), _trimmed(seen, "ORGANIZATION", fixed.FIRM_PREFIX, 0.88, period=False))
     joined = let(broken, lambda bs: F.concat(F.filter(plain, lambda f: ~F.exists(bs, lambda b: (f["start"] < b["end"]) & (b["start"] < f["end"]))), bs))
-    found = F.concat(joined, _trimmed(t, "ORGANIZATION", fixed.ACADEMIC, 0.9))
-    forms = r"[ \t-]s\.?[ \t]*(?:r\.?[ \t]*l|p\.?[ \t]*a|n\.?[ \t]*c|a\.?[ \t]*s|s)(?!\w)|soc\.?[ \t]*coop|onlus|[ \t](?:aps|ets)(?!\w)"
-    gate = t.rlike(rf"(?i){forms}|cooperativa|ditta|societ|impresa|azienda|ragione\s|denominazione|universit|dipartimento")
+    found = F.concat(joined, _trimmed(seen, "ORGANIZATION", fixed.ACADEMIC, 0.9))
+    stems = "s sr sp sn sa srl spa snc sas ss soc socc coop onlu aps ets ditt soci impr azie ragi deno univ dipa"
+    gate = seen.any_of(stems) & t.rlike(rf"(?iu){_FORMS}|cooperativa|ditta|societ|impresa|azienda|ragione|denominazione|universit|dipartimento")
     return gated(gate, F.filter(found, lambda f: checks.organization(F.substring(t, f["start"] + 1, f["end"] - f["start"]))))
 
 
-def territorial_bodies(t: Column) -> Column:
-    gate = t.rlike("(?i)provinci|regione|comun|metropolitana|municipio|prefettura|questura|procura|tribunale|camera")
-    return gated(gate, _trimmed(t, "TERRITORIAL_BODY", fixed.BODY, 0.88))
+def territorial_bodies(t: Column, seen: Clues) -> Column:
+    gate = seen.any_of("prov regi comu citt muni unio ammi pref ques proc trib came")
+    return gated(gate, _trimmed(seen, "TERRITORIAL_BODY", fixed.BODY, 0.88))
 
 
 def _person_value(value: Column) -> Column:
     return F.split(trimmed(value), fixed.PERSON_CUT, 2)[0]
 
 
-def persons(t: Column) -> Column:
+_TITLE_STEMS = "sig sigr sign dott avv ing geom rag prof nota sott clie refe rapp tito nato nata inte bene"
+
+
+def persons(t: Column, seen: Clues) -> Column:
     none = "array<struct<start:int,end:int,value:string,from:int,to:int>>"
-    titled = gated(t.rlike(r"(?i)(?<![a-z])(?:sig|dott|avv|ing[.\s]|geom|rag[.\s]|prof|notai|sottoscritt|client|referent|rappresentant|titolar|nat[oa]\s|intestat|beneficiari)"), spans(t, fixed.PERSON_TITLED, value=1), none)
+    titled = gated(seen.any_of(_TITLE_STEMS) & t.rlike(r"(?i)(?<![a-z])(?:sig|dott|avv|ing[.\s]|geom|rag[.\s]|prof|notai|sottoscritt|client|referent|rappresentant|titolar|nat[oa]\s|intestat|beneficiari)"), spans(seen.text, fixed.PERSON_TITLED, value=1), none)
     behind = r"(?i)[^a-z0-9](?:nat[oa]|residente|domiciliat[oa]|codice\s+fiscale|c\.?\s*f|e-?mail|pec|tel|telefono|cell|cellulare)(?![a-z])"
-    found = F.concat(titled, gated(t.rlike(behind), spans(t, fixed.PERSON_BEFORE), none))
+    found = F.concat(titled, gated(seen.any_of("nato nata resi domi codi c cf emai e pec tel tele cell") & t.rlike(behind), spans(seen.text, fixed.PERSON_BEFORE), none))
     cut = F.transform(found, lambda s: F.struct(s["start"].alias("start"), _person_value(s["value"]).alias("value")))
     return F.transform(F.filter(cut, lambda s: checks.person(F.trim(s["value"]))), lambda s: finding("PERSON", s["start"], s["start"] + F.length(s["value"]), 0.84))
 
 
-def mentions(t: Column, phrases: list[str]) -> Column:
-    """Whether the text has a run of letters that begins one of the phrases: a gate for the rules that look dictionary words up."""
-    first = sorted({found[0].replace("ß", "ss") for p in phrases if (found := re.findall(f"[{fixed.LETTERS}]+", p.lower()))})
-    return F.exists(F.split(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), f"[^{fixed.LETTERS}]+"), lambda w: w.isin(first))
+def mentions(seen: Clues, phrases: list[str]) -> Column:
+    """Whether the text has a word that begins one of the phrases: a gate for the rules that look dictionary words up."""
+    first = first_words(phrases)
+    return F.lit(True) if first is None else seen.has_word(first)
 
 
-def dictionary_persons(t: Column, words: Dictionaries, known: Column | None = None) -> Column:
+def dictionary_persons(t: Column, seen: Clues, words: Dictionaries) -> Column:
     """From each known first name on, up to four capitalised words; not behind a street word; no start inside a person."""
     if not words.first_names:
         return F.array().cast(FINDINGS)
-    known = mentions(t, words.first_names) if known is None else known
-    tokens = spans(t, fixed.NAME_TOKEN, keep=lambda v: checks.is_first_name(v, words.first_names))
+    known = mentions(seen, words.first_names)
+    names = WordTable(words.first_names)
+    tokens = F.filter(spans(seen.text, fixed.NAME_TOKEN), lambda s: checks.is_first_name(s["value"], names))
     runs = F.transform(tokens, lambda s: F.struct(s["start"].alias("start"), _person_value(extract_at(t, s["start"], fixed.NAME_RUN, WORDS_SEEN)).alias("value")))
     good = F.filter(runs, lambda s: (s["value"] != "") & checks.person(s["value"]) & ~before(t, s["start"], 16).rlike(fixed.AFTER_STREET))
 
-    def step(a: Column, s: Column) -> Column:
-        end = s["start"] + F.length(s["value"])
-        return F.when(s["start"] >= a["at"], F.struct(end.alias("at"), F.concat(a["out"], F.array(finding("PERSON", s["start"], end, 0.72, "name_dictionary"))).alias("out"))).otherwise(a)
+    ends = F.transform(good, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end")))
+    return gated(known, F.transform(apart(ends, "array<struct<start:int,end:int>>"), lambda s: finding("PERSON", s["start"], s["end"], 0.72, "name_dictionary")))
 
-    return gated(known, F.aggregate(good, F.struct(F.lit(-1).alias("at"), F.array().cast(FINDINGS).alias("out")), step, lambda a: a["out"]))
 
-
-def surname_first(t: Column, words: Dictionaries, known: Column | None = None) -> Column:
+def surname_first(t: Column, seen: Clues, words: Dictionaries) -> Column:
     """SURNAME Given, or Surname Given in a roster or alone on its line; the given name is a known one."""
     if not words.first_names:
         return F.array().cast(FINDINGS)
-    known = mentions(t, words.first_names) if known is None else known
+    known, names = mentions(seen, words.first_names), WordTable(words.first_names)
 
     def alone(s: Column) -> Column:
         line = F.concat(F.substring_index(F.substring(t, F.lit(1), s["start"]), "\n", -1), s["value"], F.substring_index(F.substring(t, s["end"] + 1, F.length(t)), "\n", 1))
@@ -299,9 +294,9 @@ def surname_first(t: Column, words: Dictionaries, known: Column | None = None) -
 
     def ok(s: Column) -> Column:
         listed = checks.all_upper(s["g1"]) | before(t, s["start"], 80).rlike(fixed.ROSTER_BEFORE) | alone(s)
-        return checks.is_first_name(checks.words(s["g2"])[0], words.first_names) & ~s["g1"].isin(fixed.SURNAME_STOP) & listed
+        return checks.is_first_name(checks.words(s["g2"])[0], names) & ~s["g1"].isin(fixed.SURNAME_STOP) & listed
 
-    found = F.concat(F.filter(spans(t, fixed.SURNAME_FIRST, (1, 2)), ok), F.filter(spans(t, fixed.SURNAME_ROSTER, (1, 2)), ok))
+    found = F.concat(F.filter(spans(seen.text, fixed.SURNAME_FIRST, (1, 2)), ok), F.filter(spans(seen.text, fixed.SURNAME_ROSTER, (1, 2)), ok))
     return gated(known, F.transform(found, lambda s: finding("PERSON", s["start"], s["end"], 0.8, "surname_first_rule")))
 
 
@@ -321,14 +316,13 @@ def place_shape(value: Column) -> Column:
     return (v != "") & ~((v == F.lower(v)) & (v != F.upper(v))) & v.rlike(fixed.PLACE_TEXT) & v.rlike(fixed.PLACE_TOKEN)
 
 
-def dictionary_places(t: Column, words: Dictionaries, known: Column | None = None) -> Column:
+def dictionary_places(t: Column, seen: Clues, words: Dictionaries) -> Column:
     """Longest run of words that the place dictionary knows; words are used up before context is asked for."""
     if not words.places:
         return F.array().cast(FINDINGS)
-    known = mentions(t, words.places) if known is None else known
-    first_words = sorted({p.split()[0] for p in words.places})
-    starts = lambda v: checks.normal_token(v).isin(first_words)
-    tokens = spans(t, fixed.PLACE_TOKEN, keep=starts)
+    known = mentions(seen, words.places)
+    begin, places = WordTable(p.split()[0] for p in words.places), WordTable(words.places)
+    tokens = F.filter(spans(seen.text, fixed.PLACE_TOKEN), lambda s: begin.has(checks.normal_token(s["value"])))
     run = rf"(?U)^{fixed.PLACE_TOKEN}(?:\s+{fixed.PLACE_TOKEN}){{0,{words.longest - 1}}}"
 
     def longest(s: Column) -> Column:
@@ -336,7 +330,7 @@ def dictionary_places(t: Column, words: Dictionaries, known: Column | None = Non
 
         def of_run(phrase: Column) -> Column:
             def of_words(parts: Column) -> Column:
-                counts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " ").isin(words.places))
+                counts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: places.has(F.array_join(F.slice(parts, F.lit(1), k), " ")))
                 return let(F.element_at(F.concat(F.array(F.lit(0)), counts), -1), of_count)
 
             def of_count(k: Column) -> Column:
@@ -348,12 +342,7 @@ def dictionary_places(t: Column, words: Dictionaries, known: Column | None = Non
 
         return let(extract_at(t, s["start"], run, WORDS_SEEN), of_run)
 
-    kept = F.aggregate(
-        F.filter(F.transform(tokens, longest), lambda s: s.isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a),
-        lambda a: a["out"],
-    )
+    kept = apart(F.filter(F.transform(tokens, longest), lambda s: s.isNotNull()), "array<struct<start:int,end:int>>")
     named = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(t, s["start"] + 1, s["end"] - s["start"]).alias("value")))
     region = lambda s: checks.normal_place(s["value"]).isin(words.regions) if words.regions else F.lit(False)
     good = F.filter(named, lambda s: place_shape(s["value"]) & (region(s) | place_context(t, s["start"]) | standalone_field(t, s["start"], s["end"])))
@@ -366,24 +355,22 @@ def never_a_place(value: Column, words: Dictionaries) -> Column:
     return v.isin([x for x in fixed.NEVER_A_PLACE if x not in words.places]) if any(x not in words.places for x in fixed.NEVER_A_PLACE) else F.lit(False)
 
 
-def listed_places(t: Column, words: Dictionaries) -> Column:
-    def split_list(s: Column) -> Column:
-        parts = spans(F.concat(s["value"], F.lit("\n")), rf"(?is)(.+?)(?:{fixed.PLACE_GAP}|\n)", (1,))
-
-        def part(p: Column) -> Column:
-            raw = p["g1"]
-            value = F.trim(raw, F.lit(" \t.;:"))
-            start = s["start"] + p["from"] + F.length(raw) - F.length(F.ltrim(raw, F.lit(" \t.;:")))
-            return F.when((value != "") & ~never_a_place(value, words), finding("LOCATION", start, start + F.length(value), 0.86))
+def listed_places(t: Column, seen: Clues, words: Dictionaries) -> Column:
+    both = f"concat({spans_sql(seen.text, fixed.HAMLETS, value=1)}, {spans_sql(seen.text, fixed.MUNICIPALITIES, value=1)})"
+    parts = spans_sql("concat(s.value, '\\n')", rf"(?is)(.+?)(?:{fixed.PLACE_GAP}|\n)", (1,))
 
-        return F.filter(F.transform(parts, part), lambda f: f.isNotNull())
+    def part(s: Column, p: Column) -> Column:
+        raw = p["g1"]
+        value = F.trim(raw, F.lit(" \t.;:"))
+        start = s["start"] + p["from"] + F.length(raw) - F.length(F.ltrim(raw, F.lit(" \t.;:")))
+        return F.when((value != "") & ~never_a_place(value, words), finding("LOCATION", start, start + F.length(value), 0.86))
 
-    both = F.concat(spans(t, fixed.HAMLETS, value=1), spans(t, fixed.MUNICIPALITIES, value=1))
-    return gated(t.rlike("(?i)localit|frazione|comun"), F.flatten(F.transform(both, split_list)))
+    found = F.flatten(F.transform(F.expr(f"transform({both}, s -> named_struct('start', s.start, 'parts', {parts}))"), lambda s: F.transform(s["parts"], lambda p: part(s, p))))
+    return gated(seen.any_of("loca fraz comu"), F.filter(found, lambda f: f.isNotNull()))
 
 
-def dates(t: Column) -> Column:
-    return gated(_digit(t), _trimmed(t, "DATE", fixed.DATE, 0.82))
+def dates(t: Column, seen: Clues) -> Column:
+    return gated(seen.digit, _trimmed(seen, "DATE", fixed.DATE, 0.82))
 
 
 def accept_model_place(t: Column, start: Column, end: Column, words: Dictionaries) -> Column:
@@ -394,7 +381,7 @@ def accept_model_place(t: Column, start: Column, end: Column, words: Dictionarie
     rejected = ~place_shape(value) | marks | before(t, start, 40).rlike(fixed.TITLE_BEFORE) | plain.isin(*fixed.MODEL_PLACE_REJECTS) | plain.rlike(fixed.LEGAL_PHRASE) | never_a_place(value, words)
     context = place_context(t, start)
     ambiguous = (plain == "potenza") & F.substring(t, end + 1, F.length(t)).rlike(fixed.POTENZA_AFTER) & ~context & ~standalone_field(t, start, end)
-    known = plain.isin(words.places) if words.places else F.lit(False)
+    known = WordTable(words.places).has(plain)
     return ~rejected & ~ambiguous & (known | context | (F.size(F.split(plain, " ")) >= 2))
 
 
@@ -415,5 +402,3 @@ RULES: list[tuple[str, Callable]] = [
     ("dictionary_persons", dictionary_persons), ("surname_first", surname_first), ("dates", dates),
 ]
 WITH_WORDS = {"dictionary_places", "listed_places", "dictionary_persons", "surname_first"}
-#: Which of them look first names or places up.
-LOOKS_UP = {"dictionary_places": "places", "dictionary_persons": "first_names", "surname_first": "first_names"}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.functions.spans import let
+from veilspark.functions.spans import gathered, let
 from veilspark.operators.resolve import lookup
 from veilspark.operators.rewrite import check_mode
 
@@ -87,32 +87,37 @@ def search(reviewed: DataFrame, category_name: str | None = None, part: str = ""
     return out.where(F.contains(F.lower(F.translate("value", "\n", " ")), F.lower(F.lit(part))))
 
 
-def expected_status(text: Column, found: Column, value: Column, entity: Column) -> Column:
-    """not_extracted, leaked, detected or wrong_type_or_span over all occurrences in any case; closing punctuation may stay outside."""
-    quoted = F.concat(F.lit(r"(?iU)\Q"), value, F.lit(r"\E"))
+def occurrences(text: Column, value: Column) -> Column:
+    """array<struct<start, end>> of a value in any case, one after the other; closing punctuation stays outside."""
+    quoted = F.concat(F.lit(r"(?iU)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
     bare = F.length(F.rtrim(value, F.lit(".,;:")))
 
-    def judge(pieces: Column) -> Column:
-        spans = F.aggregate(
-            F.slice(pieces, 1, F.size(pieces) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-            lambda a, p: F.struct((a["at"] + F.length(p) + F.length(value)).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p)).alias("start"), (a["at"] + F.length(p) + bare).alias("end")))).alias("out")),
-            lambda a: a["out"],
-        )
+    def of_pieces(pieces: Column) -> Column:
+        def step(a: Column, piece: Column) -> tuple[dict[str, Column], Column]:
+            start = a["at"] + F.length(piece)
+            return {"at": start + F.length(value)}, F.array(F.struct(start.alias("start"), (start + bare).alias("end")))
+
+        return gathered(F.slice(pieces, 1, F.size(pieces) - 1), {"at": F.lit(0)}, "array<struct<start:int,end:int>>", step)["out"]
+
+    return F.when(F.length(value) > 0, let(F.split(text, quoted, -1), of_pieces)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
-        def of_spans(ss: Column) -> Column:
-            inside = lambda s, f: (f["start"] <= s["start"]) & (s["end"] <= f["end"])
-            covered = F.forall(ss, lambda s: F.exists(found, lambda f: inside(s, f)))
-            typed = F.exists(ss, lambda s: F.exists(found, lambda f: inside(s, f) & (f["entity_type"] == entity)))
-            return F.when(F.size(ss) == 0, "not_extracted").when(~covered, "leaked").when(typed, "detected").otherwise("wrong_type_or_span")
 
-        return let(spans, of_spans)
+def expected_status(text: Column, found: Column, value: Column, entity: Column) -> Column:
+    """not_extracted, leaked, detected or wrong_type_or_span over all occurrences in any case; closing punctuation may stay outside."""
+
+    def of_spans(ss: Column) -> Column:
+        inside = lambda s, f: (f["start"] <= s["start"]) & (s["end"] <= f["end"])
+        covered = F.forall(ss, lambda s: F.exists(found, lambda f: inside(s, f)))
+        typed = F.exists(ss, lambda s: F.exists(found, lambda f: inside(s, f) & (f["entity_type"] == entity)))
+        return F.when(F.size(ss) == 0, "not_extracted").when(~covered, "leaked").when(typed, "detected").otherwise("wrong_type_or_span")
 
-    return let(F.split(text, quoted, -1), judge)
+    return let(occurrences(text, value), of_spans)
 
 
 def remain_status(text: Column, anonymized: Column, value: Column) -> Column:
-    return F.when(~F.contains(text, value), "not_extracted").when(F.contains(anonymized, value), "preserved").otherwise("false_positive")
+    """Of a value that has to stay, in any case: not_extracted, preserved or false_positive."""
+    held = lambda t: F.size(occurrences(t, value)) > 0
+    return F.when(~held(text), "not_extracted").when(held(anonymized), "preserved").otherwise("false_positive")
 
 
 def rate(part: Column, whole: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.operators import engine, report, resolve, rewrite
+from veilspark.operators import engine, evaluation, report, resolve, rewrite
 from veilspark.operators.recognizers import Dictionaries
 from veilspark.plans.letters import LETTERS, WORDS_NAMES, WORDS_PLACES, WORDS_REGIONS, Letter
 from veilspark.sources import activity_log, documents
@@ -19,7 +19,7 @@ NATURAL = {"emails", "foreign_phones", "cards"}
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return engine.spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _placed(long: DataFrame) -> DataFrame:
@@ -201,6 +201,32 @@ def corpus_metrics(spark, sf_dir):
     return report.corpus_metrics(removed.unionByName(kept))
 
 
+def _cases(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A document for each customer, and its case: expected values that are found, found as something else, left or absent, and values that have to stay."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    mail = F.concat(F.lit("b"), F.col("k").cast("string"), F.lit("@example.it"))
+    file = F.concat(F.lit("/casi/"), F.col("k").cast("string"), F.lit(".txt"))
+    text = F.concat(F.lit("Resoconto: scrivere a "), mail, F.lit(" o "), F.upper(mail), F.lit(". Referente interno Zeta"), F.col("k").cast("string"), F.lit("; fine."))
+    expected = F.array(
+        F.struct(F.lit("EMAIL_ADDRESS").alias("entity_type"), F.concat(mail, F.when(F.col("k") % 2 == 0, ".").otherwise("")).alias("value")), F.struct(F.lit("PHONE_NUMBER").alias("entity_type"), mail.alias("value")),
+        F.struct(F.lit("PERSON").alias("entity_type"), F.concat(F.lit("zeta"), F.col("k").cast("string")).alias("value")), F.struct(F.lit("IBAN").alias("entity_type"), F.lit("IT00").alias("value")),
+    )
+    stay = F.array(F.lit("RESOCONTO"), F.lit("example.it"), F.lit("assente"))
+    sector = F.when(F.col("k") % 3 == 0, "sanità").otherwise("scuola")
+    return rows.select(file.alias("file"), text.alias("text")), rows.select(F.col("k").cast("string").alias("id"), sector.alias("sector"), file.alias("file"), expected.alias("expected_remove"), stay.alias("must_remain"))
+
+
+def corpus_evaluation(spark, sf_dir):
+    """Every status of every value of an evaluation corpus."""
+    docs, cases = _cases(spark, sf_dir)
+    return evaluation.evaluate(docs, cases, only={"emails"}, coreference=False)
+
+
+def corpus_evaluation_metrics(spark, sf_dir):
+    docs, cases = _cases(spark, sf_dir)
+    return evaluation.metrics(evaluation.evaluate(docs, cases, only={"emails"}, coreference=False))
+
+
 def ocr_words(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("text"), F.lit("1").alias("left"), F.lit("2").alias("top"),
@@ -231,7 +257,7 @@ def accepted_requests(spark, sf_dir):
 
 _PLAIN = [
     email_findings, card_findings, intl_phone_findings, findings_by_type, findings_by_category, mask_maximum, detect_all_rules, all_rules_by_type, all_rules_by_category, all_rules_masked, all_rules_standard, all_rules_reports, reports, reliability_levels, initials, numbered_placeholders, pseudonymized,
-    restore_roundtrip, pseudonymized_rows, corpus_placeholders, placeholder_status, excluded_pairs, exclude_by_value, same_value_toggle, review_groups, value_rows, search_values, extra_values, corpus_metrics, ocr_words, output_names,
+    restore_roundtrip, pseudonymized_rows, corpus_placeholders, placeholder_status, excluded_pairs, exclude_by_value, same_value_toggle, review_groups, value_rows, search_values, extra_values, corpus_metrics, corpus_evaluation, corpus_evaluation_metrics, ocr_words, output_names,
     activity_log_tail, fingerprints, accepted_requests,
 ]
 
@@ -311,6 +337,17 @@ SELECT doc_id, 'Da ' || nb.p || ' a ' || na.p || ', copia ' || nb.p || '; già <
     out["extra_values"] = """SELECT s_suppkey AS doc_id, 'ADDRESS' AS entity_type, 0 AS start_at, 6 AS end_at, 'Straße' AS value FROM supplier
 UNION ALL SELECT s_suppkey, 'ADDRESS', CAST(10 + len(s_name) AS INT), CAST(17 + len(s_name) AS INT), 'STRASSE' FROM supplier"""
     out["corpus_metrics"] = "SELECT 3 * count(*) AS detected, CAST(0 AS BIGINT) AS wrong_type_or_span, CAST(0 AS BIGINT) AS leaked, CAST(0 AS BIGINT) AS not_extracted, count(*) AS preserved, CAST(0 AS BIGINT) AS false_positive, CAST(100 AS DOUBLE) AS removal, CAST(100 AS DOUBLE) AS preservation FROM customer"
+    cases = """WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_custkey % 2 = 0 AS even, 'b' || c_custkey || '@example.it' AS mail FROM customer),
+v AS (SELECT k, 'expected_remove' AS kind, 'EMAIL_ADDRESS' AS entity_type, mail || CASE WHEN even THEN '.' ELSE '' END AS value, 'detected' AS status FROM c
+  UNION ALL SELECT k, 'expected_remove', 'PHONE_NUMBER', mail, 'wrong_type_or_span' FROM c
+  UNION ALL SELECT k, 'expected_remove', 'PERSON', 'zeta' || k, 'leaked' FROM c
+  UNION ALL SELECT k, 'expected_remove', 'IBAN', 'IT00', 'not_extracted' FROM c
+  UNION ALL SELECT k, 'must_remain', NULL, 'RESOCONTO', 'preserved' FROM c
+  UNION ALL SELECT k, 'must_remain', NULL, 'example.it', 'false_positive' FROM c
+  UNION ALL SELECT k, 'must_remain', NULL, 'assente', 'not_extracted' FROM c)"""
+    out["corpus_evaluation"] = f"{cases} SELECT k AS id, '/casi/' || k || '.txt' AS file, kind, entity_type, value, status FROM v"
+    n = ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("detected", "wrong_type_or_span", "leaked", "not_extracted", "preserved", "false_positive"))
+    out["corpus_evaluation_metrics"] = f"{cases} SELECT {n}, CAST(round(200.0 / 3, 2) AS DOUBLE) AS removal, CAST(50 AS DOUBLE) AS preservation FROM v"
     out["ocr_words"] = """WITH w AS (SELECT o_custkey AS doc_id, o_orderkey AS seq, trim(o_orderpriority) AS text FROM orders WHERE o_orderstatus <> 'F' AND trim(o_orderpriority) <> ''),
 s AS (SELECT *, coalesce(sum(len(text) + 1) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM w)
 SELECT doc_id, seq, text, CAST(pos AS INT) AS start_at, CAST(pos + len(text) AS INT) AS end_at, 31 AS "right", 12 AS bottom FROM s"""
