@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
@@ -189,7 +190,7 @@ def restore(docs: DataFrame, mapping: DataFrame, text: str = "anonymized") -> Da
 def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
     """Jobs started in the block, by this thread, form a group; the value, called from any thread, cancels those that run.
 
-    How far they are is what Spark's status tracker says of the group (``sc.statusTracker().getJobIdsForGroup``).
+    How far they are: :func:`progress`.
     """
     context = spark.sparkContext
     context.setJobGroup(name, name, interruptOnCancel=True)
@@ -200,6 +201,48 @@ def cancellable(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
             context.setLocalProperty(key, None)
 
 
+@contextmanager
+def progress(spark: SparkSession, name: str, tell: Callable[[int, int], None], every: float = 0.2) -> Iterator[Callable[[], None]]:
+    """:func:`cancellable`, and ``tell(done, total)`` is called with the finished tasks and all tasks so far of the jobs in the block; ``done`` never falls.
+
+    ``total`` grows when a job is submitted; both are told a last time when the block ends.
+    """
+    tracker, stages, last, over = spark.sparkContext.statusTracker(), {}, [0, 0], threading.Event()
+
+    def look() -> None:
+        for job in tracker.getJobIdsForGroup(name):
+            for stage in (info.stageIds if (info := tracker.getJobInfo(job)) else ()):
+                if seen := tracker.getStageInfo(stage):
+                    done, _ = stages.get(stage, (0, 0))
+                    stages[stage] = max(done, seen.numCompletedTasks), seen.numTasks
+        now = [sum(d for d, _ in stages.values()), sum(n for _, n in stages.values())]
+        if now != last:
+            last[:] = now
+            tell(*now)
+
+    def watch() -> None:
+        while not over.wait(every):
+            look()
+
+    thread = threading.Thread(target=watch, daemon=True)
+    with cancellable(spark, name) as cancel:
+        thread.start()
+        try:
+            yield cancel
+        finally:
+            over.set()
+            thread.join()
+            look()
+
+
+def observed(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``rows`` and what is counted while they are written: rows, errors (rows with an ``error``) and bytes (of ``content``, or of ``text``)."""
+    seen = Observation(name)
+    size = next((F.octet_length(c).cast("long") for c in ("content", "anonymized", "text") if c in rows.columns), F.lit(0).cast("long"))
+    errors = F.col("error").isNotNull() if "error" in rows.columns else F.lit(False)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(errors).alias("errors"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")), seen
+
+
 def accepted(docs: DataFrame, most: int = MOST_CHARACTERS) -> DataFrame:
     """Texts that one request may hold: not blank and not too long."""
     return docs.where((F.length("text") <= most) & (F.trim("text") != ""))

@@ -106,6 +106,9 @@ def same_value(long: DataFrame, picked: DataFrame) -> DataFrame:
 _EXTRA = ArrayType(StructType([StructField("entity_type", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
+_MARKED = StructType([StructField("places", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))), StructField("extra", _EXTRA)])
+
+
 def literal_spans(text: str, value: str) -> list[tuple[int, int]]:
     """Places (start, end) where ``value`` stands in ``text`` but for letter case; they may overlap.
 
@@ -127,25 +130,39 @@ def literal_spans(text: str, value: str) -> list[tuple[int, int]]:
     return list(zip(source[begin].tolist(), (source[begin + len(wanted) - 1] + 1).tolist()))
 
 
+def _free_places(text: str, values, taken: list[tuple[int, int]]) -> list[dict]:
+    """Places of the values, longest first, that touch nothing that is taken."""
+    busy = np.zeros(len(text), bool)
+    for start, end in taken:
+        busy[start:end] = True
+    found, seen = [], set()
+    for v in sorted(values, key=lambda v: (-len(v["value"] or ""), v["entity_type"], v["value"] or "")):
+        if not v["value"] or (v["entity_type"], v["value"].casefold()) in seen:
+            continue
+        seen.add((v["entity_type"], v["value"].casefold()))
+        for a, b in literal_spans(text, v["value"]):
+            if not busy[a:b].any():
+                busy[a:b] = True
+                found.append({"entity_type": v["entity_type"], "start": a, "end": b})
+    return found
+
+
 @F.pandas_udf(_EXTRA)
 def _manual(text: pd.Series, values: pd.Series, taken: pd.Series) -> pd.Series:
     # Unicode case folding with offsets has no built-in function
-    out = []
+    rows = zip(text, values, taken)
+    return pd.Series([_free_places(t or "", vs if vs is not None else [], [(s["start"], s["end"]) for s in (spans if spans is not None else [])]) for t, vs, spans in rows])
+
+
+@F.pandas_udf(_MARKED)
+def _marked(text: pd.Series, values: pd.Series, taken: pd.Series) -> pd.DataFrame:
+    places, extra = [], []
     for t, vs, spans in zip(text, values, taken):
-        busy = np.zeros(len(t or ""), bool)
-        for s in spans if spans is not None else []:
-            busy[s["start"] : s["end"]] = True
-        found, seen = [], set()
-        for v in sorted(vs if vs is not None else [], key=lambda v: (-len(v["value"] or ""), v["entity_type"], v["value"] or "")):
-            if not v["value"] or (v["entity_type"], v["value"].casefold()) in seen:
-                continue
-            seen.add((v["entity_type"], v["value"].casefold()))
-            for a, b in literal_spans(t or "", v["value"]):
-                if not busy[a:b].any():
-                    busy[a:b] = True
-                    found.append({"entity_type": v["entity_type"], "start": a, "end": b})
-        out.append(found)
-    return pd.Series(out)
+        t, vs = t or "", list(vs) if vs is not None else []
+        given = {p for v in vs for p in literal_spans(t, v["value"])}
+        places.append([{"start": a, "end": b} for a, b in sorted(given)])
+        extra.append(_free_places(t, vs, [s for s in ((s["start"], s["end"]) for s in (spans if spans is not None else [])) if s not in given]))
+    return pd.DataFrame({"places": places, "extra": extra})
 
 
 def add_manual(docs: DataFrame, values: DataFrame) -> DataFrame:
@@ -163,6 +180,26 @@ def add_manual(docs: DataFrame, values: DataFrame) -> DataFrame:
     return kept.withColumn("findings", F.when(F.col("_vs_extra").isNull(), F.col("findings")).otherwise(F.array_sort(F.concat("findings", added.cast(FINDINGS)), lambda a, b: a["start"] - b["start"]))).drop("_vs_values", "_vs_extra")
 
 
+def mark(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Findings of what a reviewer marked: ``marks`` are doc_id or row_key, entity_type, start, end.
+
+    A marked value is taken wherever it stands, in any case. Findings on exactly those places give way to it, what else overlaps an occurrence keeps its place,
+    and the whole is deduped. Marks outside the text or without a character are ignored; several in one call apply longest first.
+    """
+    of = identity_columns(docs, marks)
+    wanted = marks.groupBy(*of).agg(F.collect_set(F.struct("entity_type", "start", "end")).alias("_vs_marks"))
+    joined = null_safe(docs, wanted, of, "left")
+    valid = F.filter("_vs_marks", lambda m: (m["start"] >= 0) & (m["start"] < m["end"]) & (m["end"] <= F.length("text")))
+    values = F.transform(valid, lambda m: F.struct(m["entity_type"].alias("entity_type"), F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("value")))
+    valued = joined.withColumn("_vs_values", values)
+    taken = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end")))
+    found = valued.withColumn("_vs_marked", F.when(F.size("_vs_values") > 0, _marked(F.col("text"), F.col("_vs_values"), taken)))
+    left = F.filter("findings", lambda f: ~F.exists("_vs_marked.places", lambda p: (p["start"] == f["start"]) & (p["end"] == f["end"])))
+    added = F.transform("_vs_marked.extra", lambda s: finding(None, s["start"], s["end"], 1.0, "manual").withField("entity_type", s["entity_type"]))
+    out = found.withColumn("findings", F.when(F.col("_vs_marked").isNull(), F.col("findings")).otherwise(dedupe(F.concat(left, added.cast(FINDINGS)))))
+    return out.drop("_vs_marks", "_vs_values", "_vs_marked")
+
+
 def replace_manually(long: DataFrame, spans: DataFrame) -> DataFrame:
     """Drop automatic findings on exactly the spans a reviewer marked anew."""
     keys = [*identity_columns(long, spans), "start", "end"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from veilspark.functions import fixed
 from veilspark.operators import engine, evaluation, report, resolve, rewrite
 from veilspark.operators.recognizers import Dictionaries
 from veilspark.plans.letters import LETTERS, WORDS_NAMES, WORDS_PLACES, WORDS_REGIONS, Letter
+from veilspark.functions.written import shared_folder
 from veilspark.sources import activity_log, documents
+from veilspark.streaming import log_sink
 
 WORDS = Dictionaries(WORDS_NAMES, WORDS_REGIONS, WORDS_PLACES)
 #: Rules whose values occur in the documents table, and which SQL can follow there: for the oracle's sake, beside the queries with all rules.
@@ -246,6 +249,17 @@ def activity_log_tail(spark, sf_dir):
     return activity_log.trim(rows, activity_log.Settings(True, 50))
 
 
+def activity_log_stream(spark, sf_dir):
+    """The log that a stream's sink leaves: batches of events, some of them replayed, compacted in between to what retention allows."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.lit(1).alias("schema_version"), F.concat(F.lit("T"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("timestamp"), F.col("event_type").alias("action"))
+    path, settings = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", activity_log.Settings(True, 70)
+    write = log_sink.sink(path, settings, compact_every=2)
+    for k in (0, 1, 1, 2, 3, 3, 2, 4):
+        write(rows.where(F.col("event_id") % 5 == k).drop("event_id"), k)
+    log_sink.compact(spark, path, settings)
+    return log_sink.read(spark, path).select("schema_version", "timestamp", "action")
+
+
 def fingerprints(spark, sf_dir):
     out = engine.detect(_documents(spark, sf_dir).select("doc_id", "text"), "maximum", WORDS, only={"emails"}, coreference=False)
     return report.fingerprints(out).select("doc_id", "text_sha256")
@@ -258,7 +272,7 @@ def accepted_requests(spark, sf_dir):
 _PLAIN = [
     email_findings, card_findings, intl_phone_findings, findings_by_type, findings_by_category, mask_maximum, detect_all_rules, all_rules_by_type, all_rules_by_category, all_rules_masked, all_rules_standard, all_rules_reports, reports, reliability_levels, initials, numbered_placeholders, pseudonymized,
     restore_roundtrip, pseudonymized_rows, corpus_placeholders, placeholder_status, excluded_pairs, exclude_by_value, same_value_toggle, review_groups, value_rows, search_values, extra_values, corpus_metrics, corpus_evaluation, corpus_evaluation_metrics, ocr_words, output_names,
-    activity_log_tail, fingerprints, accepted_requests,
+    activity_log_tail, activity_log_stream, fingerprints, accepted_requests,
 ]
 
 
@@ -354,6 +368,7 @@ SELECT doc_id, seq, text, CAST(pos AS INT) AS start_at, CAST(pos + len(text) AS
     out["output_names"] = """WITH p AS (SELECT replace(s_name, '#', '-') AS stem, ['.txt', '.CSV', '.pdf', '.doc', '.docx', '.md'][1 + s_suppkey % 6] AS e, ['.txt', '.csv', '.pdf', '.docx', '.docx', '.txt'][1 + s_suppkey % 6] AS o FROM supplier)
 SELECT '/in/' || stem || e AS path, stem || '_anonimizzato' || o AS name FROM p"""
     out["activity_log_tail"] = "SELECT 1 AS schema_version, 'T' || lpad(CAST(event_id AS STRING), 12, '0') AS timestamp, event_type AS action FROM events ORDER BY event_id DESC LIMIT 50"
+    out["activity_log_stream"] = out["activity_log_tail"].replace("LIMIT 50", "LIMIT 70")
     out["fingerprints"] = "SELECT doc_id, sha256(text) AS text_sha256 FROM documents"
     out["accepted_requests"] = "SELECT doc_id FROM documents WHERE len(text) <= 5000 AND trim(text) <> ''"
     return out

@@ -61,8 +61,10 @@ class Part:
 
 
 def kind_of(name: str) -> str | None:
-    """What a package member is: body, note, metadata, or nothing to look at."""
+    """What a package member is: body, note, metadata, links, or nothing to look at."""
     path = PurePosixPath(name)
+    if path.suffix == ".rels":
+        return "links"
     if path.suffix != ".xml":
         return None
     if path.parts[0] == "docProps":
@@ -212,6 +214,13 @@ def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
     return text
 
 
+def _plain_link(tag: bytes) -> bytes:
+    """A relationship to outside the package without its address, which may be that of a person; those within it stay."""
+    if not re.search(rb"""\sTargetMode\s*=\s*["']External["']""", tag):
+        return tag
+    return _ATTRIBUTE.sub(lambda m: m[1] + b'"about:blank"' if m[2] == b"Target" else m[0], tag)
+
+
 def _plain_tag(tag: bytes, metadata: bool) -> bytes:
     def value(m: re.Match) -> bytes:
         name = m[2].decode()
@@ -223,7 +232,7 @@ def _plain_tag(tag: bytes, metadata: bool) -> bytes:
 
 
 def sanitize_docx(data: bytes, edits: dict[tuple[str, int], list[tuple[int, int, str]]]) -> bytes:
-    """The package with ``edits`` (start, end, new text of a run) applied, properties emptied and attributes with persons blanked."""
+    """The package with ``edits`` (start, end, new text of a run) applied, properties emptied, attributes with persons and addresses of outside links blanked."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
         for item, content in _members(data):
@@ -232,13 +241,13 @@ def sanitize_docx(data: bytes, edits: dict[tuple[str, int], list[tuple[int, int,
                 content = _utf8(content)
                 part = parse(content, kind == "body")
                 patches = [(n.at, n.to, b"") for n in part.data if n.text.strip()] if kind == "metadata" else []
-                for i, run in enumerate(part.runs if kind != "metadata" else []):
+                for i, run in enumerate(part.runs if kind not in ("metadata", "links") else []):
                     for node, own in zip(run, node_edits([len(n.text) for n in run], edits.get((item.filename, i), []))):
                         if own:
                             patches.append((node.at, node.to, escape(edited(node.text, own)).encode()))
                 for at in part.tags:
                     tag = _TAG.match(content, at)[0]
-                    if (plain := _plain_tag(tag, kind == "metadata")) != tag:
+                    if (plain := _plain_link(tag) if kind == "links" else _plain_tag(tag, kind == "metadata")) != tag:
                         patches.append((at, at + len(tag), plain))
                 pieces, done = [], 0
                 for at, to, new in sorted(patches):
