@@ -98,6 +98,15 @@ def test_op11_dense_words_and_chains(spark):
     assert got[chain[0]][1] == chain[-1] and got["zwölfzig"][0] == "zwölfzag"
 
 
+def test_op11_words_about_the_long_ones(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcde") for _ in range(64))
+    words = {base[:k] for k in range(60, 65)} | {base + x for x in ("", "a", "ab", "ba")} | {"z" + base, "z" + base[1:], base[:40] + "z" + base[40:], base[:63] + "z", "ab" * 31 + "a", "ab" * 32, "ab" * 31 + "b", "ba" * 31}
+    n = {w: rng.choice([5, 30, 200]) for w in sorted(words)}
+    table = spelling_groups.materialize(spark.createDataFrame(list(n.items()), "word string, n long"), "words")
+    assert grouped(spelling_groups.group_words(table)) == brute_groups(n)
+
+
 def test_op11_long_words_and_nothing(spark, empty):
     long = "ab" * 150_000
     df = spark.createDataFrame([(i, f"{long}c {long}d") for i in range(5)], "doc_id long, text string")

@@ -9,6 +9,9 @@ The edit lies wholly in front of or behind a surviving bigram. So words do not m
 front of it, or together with all that stands behind it; both are joined on, as hashes. Every pair that meets is verified: first by length and by which letters
 stand an odd number of times, then by its edit distance.
 
+Words of more than ``LONG`` code points may hold one bigram thousands of times. One edit leaves their first or their last ``LONG`` // 2 code points as they are,
+so they are joined on those; words of about that length on both, so that no pair falls between.
+
 What grows with the corpus is shuffled: occurrences are summed before they travel, then the join works on distinct words. Broadcast are only the frequencies
 of bigrams: at most 90 * 90, as the alphabet has 90 letters.
 
@@ -21,8 +24,12 @@ stand; of near words with equal counts the smallest in code-point order is the f
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from veilspark.llm.util import discard, materialize
 
@@ -31,6 +38,8 @@ MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 #: Bigrams of a word that are joined: one more than an edit can destroy.
 PREFIX = 3
 LETTERS = "A-Za-zÀ-ÿ"
+#: Words of more code points than this, runs without a blank rather than words, meet by their first or last half of so many instead of by bigrams.
+LONG = 63
 #: One run in so many of a document loses a code point in :func:`op11`.
 SLIP = 199
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,8 +57,9 @@ def counted(words: DataFrame) -> DataFrame:
 
 
 def _bigrams(word: Column) -> Column:
-    letters = F.split(word, "")
-    return F.transform(F.sequence(F.lit(0), F.length(word) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
+    # the letters are bound once, not split anew for each bigram
+    pairs = lambda letters: F.transform(F.sequence(F.lit(0), F.length(word) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
+    return F.transform(F.array(F.split(word, "")), pairs)[0]
 
 
 def _parity(word: Column) -> Column:
@@ -71,15 +81,35 @@ def prefixes(words: DataFrame) -> DataFrame:
     return ranked.select("word", "n", *shape, F.explode(F.flatten(F.transform(first, lambda x: F.array(front(x), back(x))))).alias("k")).select("word", "n", "length", "parity", "k.*")
 
 
+@F.pandas_udf(BooleanType())
+def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+    def near(x: str, y: str) -> bool:
+        p = len(os.path.commonprefix((x, y)))
+        return x != y and (x[p + 1 :] == y[p + 1 :] or x[p:] == y[p + 1 :] or x[p + 1 :] == y[p:])
+
+    return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+def _met(keys: DataFrame, *columns: str) -> DataFrame:
+    """Pairs of rows with one key: ``columns`` of both, with _a and _b behind their names."""
+    a, b = (keys.select(F.col("key").alias(f"key_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    # cheap tests first: of the pairs that meet, few are near
+    close = (F.abs(F.col("length_a") - F.col("length_b")) <= 1) & (F.col("word_a") < F.col("word_b"))
+    if "parity" in columns:
+        close = (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2) & (F.abs(F.col("at_a") - F.col("at_b")) <= 1) & close & (F.levenshtein("word_a", "word_b", 1) == 1)
+    return a.join(b, (F.col("key_a") == F.col("key_b")) & close)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b with a before b: every pair of near words once. ``words``: word, n; distinct words of at least four code points."""
-    keys = materialize(prefixes(words), "prefixes")
-    a, b = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("word", "n", "length", "parity", "at"))) for side in "ab")
-    # cheap tests first: of the pairs that meet, few are near
-    close = (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2) & (F.abs(F.col("length_a") - F.col("length_b")) <= 1) & (F.abs(F.col("at_a") - F.col("at_b")) <= 1) & (F.col("word_a") < F.col("word_b"))
-    near = F.levenshtein("word_a", "word_b", 1) == 1
-    met = a.join(b, (a["key"] == b["key"]) & close & near)
-    pairs = materialize(met.select(F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b").distinct(), "near-words")
+    keys = materialize(prefixes(words.where(F.length("word") <= LONG + 1)), "prefixes")
+    shown = [F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b"]
+    short = _met(keys, "word", "n", "length", "parity", "at").select(*shown)
+    half = LONG // 2
+    ends = F.array(F.xxhash64(F.lit("first"), F.substring("word", 1, half)), F.xxhash64(F.lit("last"), F.substring("word", -half, half)))
+    long = words.where(F.length("word") >= LONG).select("word", "n", F.length("word").alias("length"), F.explode(ends).alias("key"))
+    met = _met(long, "word", "n", "length").where(_one_edit("word_a", "word_b")).select(*shown)
+    pairs = materialize(short.unionByName(met).distinct(), "near-words")
     discard(keys)
     return pairs
 
