@@ -120,6 +120,14 @@ def spans(text: str | Column, pattern: str, groups: tuple[int, ...] = (), value:
     return let(F.split(marked, OPEN), lambda pieces: gathered(F.slice(pieces, F.lit(2), F.size(pieces) - 1), {"at": F.length(pieces[0])}, f"array<struct<{names}>>", step)["out"])
 
 
+def plain_words(pattern: str) -> str:
+    """``pattern`` with the word characters of the grammars: letters, numbers and the underscore.
+
+    Java's ``\\w`` takes combining marks and joiners for such too, but not all numbers.
+    """
+    return pattern.replace(r"\w", r"[\p{L}\p{N}_]")
+
+
 def extract_at(text: Column, start: Column, pattern: str, seen: str, window: int = 1000) -> Column:
     """What an anchored ``pattern`` matches in ``text`` from ``start`` on, however long.
 
