@@ -31,3 +31,17 @@ def test_card_behind_a_phone(spark, tmp_path):
     """The digits of the phone are no part of the card. SQL takes 19 digits that begin in the phone and then nothing, so it is not compared."""
     got, _ = rows(spark, tmp_path, "card_findings", [f"+1 (208) 555-1177 {CARD} b"])
     assert got == [(0, "CREDIT_CARD", 18, 34, CARD)]
+
+
+def test_foreign_phones_beside_marks(spark, tmp_path):
+    phone = "+44 20 7946 0958"
+    texts = [f"a {phone}{s} b" for s in SIGNS] + [f"a {s}{phone} b" for s in SIGNS]
+    got, sql = rows(spark, tmp_path, "intl_phone_findings", texts)
+    want = [(i, "PHONE_NUMBER", 2 + i // 4, 18 + i // 4, phone) for i in range(8)]
+    assert got == want and sql == want
+
+
+def test_foreign_phone_before_a_card(spark, tmp_path):
+    """A phone ends before digits that it cannot take all of. SQL takes up to four of them in each group, counts too many digits and drops the phone, so it is not compared."""
+    got, _ = rows(spark, tmp_path, "intl_phone_findings", [f"a +1 (208) 555-1177 {CARD} b"])
+    assert got == [(0, "PHONE_NUMBER", 2, 19, "+1 (208) 555-1177")]

@@ -70,7 +70,7 @@ def phones(t: Column, seen: Clues) -> Column:
 
 def foreign_phones(t: Column, seen: Clues) -> Column:
     count = lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(8, 15)
-    return gated(F.contains(t, F.lit("+")), F.transform(F.filter(spans(seen.text, fixed.FOREIGN_PHONE), lambda s: count(s["value"])), lambda s: finding("PHONE_NUMBER", s["start"], s["end"], 0.92)))
+    return gated(F.contains(t, F.lit("+")), F.transform(F.filter(spans(seen.text, plain_words(fixed.FOREIGN_PHONE)), lambda s: count(s["value"])), lambda s: finding("PHONE_NUMBER", s["start"], s["end"], 0.92)))
 
 
 def fiscal_codes(t: Column, seen: Clues) -> Column:
