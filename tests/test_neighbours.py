@@ -45,3 +45,12 @@ def test_foreign_phone_before_a_card(spark, tmp_path):
     """A phone ends before digits that it cannot take all of. SQL takes up to four of them in each group, counts too many digits and drops the phone, so it is not compared."""
     got, _ = rows(spark, tmp_path, "intl_phone_findings", [f"a +1 (208) 555-1177 {CARD} b"])
     assert got == [(0, "PHONE_NUMBER", 2, 19, "+1 (208) 555-1177")]
+
+
+@pytest.mark.parametrize("query", ["mask_maximum", "reports", "findings_by_type", "findings_by_category", "reliability_levels"])
+def test_marks_in_queries_on_all_three_rules(spark, tmp_path, query):
+    texts = [f"b{i}@example.it {CARD}{s} e +44 20 7946 0958{s} fine" for i, s in enumerate(SIGNS)]
+    got, sql = rows(spark, tmp_path, query, texts)
+    assert got == sql
+    if query == "mask_maximum":
+        assert got == [(i, f"<EMAIL> <CARTA_PAGAMENTO>{s} e <TELEFONO>{s} fine") for i, s in enumerate(SIGNS)]
