@@ -12,6 +12,7 @@ The boundary is the largest size at which enumerating costs less than scanning l
 count sketch of all shingles. The sketch has a fixed size (2 MB) whatever the corpus; it also gives the order. Any order is
 exact: a coarse sketch costs time only. Size and position filters drop pairs that cannot link, and so does a parity
 sketch of each set, a bit or two for each shingle: 64 bytes of it or more in the lists, 256 or more where pairs are looked at.
+Rows of lists that size and position leave without any partner go before parities travel with the lists.
 
 No group is expanded into all its pairs. A scan of the lists gives, of the pairs in a list that may link and are in different
 components, a spanning forest: at most one pair less than the list has rows, however many pairs there are. These are
@@ -153,6 +154,17 @@ class Signs:
         return out
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """:func:`materialize`, and the shuffle files of the plan go when it is written, not when the driver happens to collect garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return materialize(df, what)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def signs_of(*columns: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All words of binary columns, one column behind the other, and place and number of words of each value."""
     flat, at, words, base = [], [], [], 0
@@ -190,7 +202,7 @@ def boundary(sketch: np.ndarray) -> int:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and key of each set; at the end this task's sketch in parts."""
-    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("more", pa.int64()), ("parity", pa.binary()), ("fold", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("more", pa.int64()), ("parity", pa.binary()), ("part", pa.int32()), ("sketch", pa.binary())])
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         buf, off = text_bytes(batch.column(1))
@@ -204,11 +216,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     n[lo + i], cells[lo + i] = len(u), parity(u)
                     key[lo + i], more[lo + i] = set_key(u)
         none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(more, mask=n == 0), pa.array(cells, pa.binary()), pa.array([c and folded(c, m) for c, m in zip(cells, n.tolist())], pa.binary()), *none], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(key, mask=n == 0), pa.array(more, mask=n == 0), pa.array(cells, pa.binary()), *none], schema=schema)
     if sketch.any():
         pieces = np.split(np.minimum(sketch, 2**31 - 1).astype(np.int32), SKETCH_PARTS)
         k = len(pieces)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], schema=schema)
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +232,26 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "sketch": [v.tobytes() for v in sums.values()]})
 
 
-def describe(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """row, n, key, more, parity, fold of every row (row, text), and the summed sketch."""
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n, parity: the small parity instead of the large one."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(c, n) for n, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.binary())], ["key", "parity"])
+
+
+def folds_of(signs: DataFrame) -> DataFrame:
+    """key and small parity."""
+    return signs.select("key", "n", "parity").mapInArrow(lean(_fold), "key long, parity binary")
+
+
+def describe(rows: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """row, n, key, more, parity of every row (row, text), the written table that they are read from, and the summed sketch."""
     small_batches(rows.sparkSession)
-    made = materialize(rows.mapInArrow(lean(_describe), "row long, n long, key long, more long, parity binary, fold binary, part int, sketch binary"), "sets")
-    parts = made.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_add_sketches), "part int, sketch binary").collect()
+    made = written(rows.mapInArrow(lean(_describe), "row long, n long, key long, more long, parity binary, part int, sketch binary"), "sets")
+    parts = written(made.where(F.col("part").isNotNull()).select("part", "sketch").repartition(SKETCH_PARTS, "part").mapInArrow(lean(_add_sketches), "part int, sketch binary"), "sketch").collect()
     sketch = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in parts:  # of fixed size
         sketch[r.part] = np.frombuffer(r.sketch, np.int64)
-    return made.where(F.col("part").isNull()).select("row", "n", "key", "more", "parity", "fold"), sketch.ravel()
+    return made.where(F.col("part").isNull()).select("row", "n", "key", "more", "parity"), made, sketch.ravel()
 
 
 def classes_of(sketch: np.ndarray) -> np.ndarray:
@@ -335,21 +358,31 @@ def in_order(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def reach_of(t: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """For each row the end of its list's rows that are not too large to link with it."""
-    n = t["n"].astype(np.int64)
-    wide = int(n.max()) * DEN // NUM + 2
-    return np.searchsorted(owner * wide + n, owner * wide + n * DEN // NUM, side="right")
+def partnered(n: np.ndarray, most: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which rows have another one in their list so that neither is larger than the other's ``most``. Rows are in order of list and size."""
+    wide = int(max(n.max(), most.max())) + 2
+    code, limit = owner * wide + n, owner * wide + np.maximum(most, 0)
+    at = np.arange(len(n))
+    end = np.searchsorted(code, limit, side="right")  # rows of this list from here on are too large
+    # in front; limits of other lists in front are below every code of this one
+    found = np.concatenate([[-1], np.maximum.accumulate(limit)])[np.minimum(end, at)] >= code
+    # behind: the largest limit of each stretch, of two that overlap and are as long as a power of two
+    look = np.flatnonzero(~found & (end > at + 1))
+    begin, stop, code = at[look] + 1, end[look], code[look]
+    power = np.frexp((stop - begin).astype(float))[1] - 1
+    for k in range(int(power.max(initial=-1)) + 1):
+        now = power == k
+        found[look[now]] = np.maximum(limit[begin[now]], limit[stop[now] - (1 << k)]) >= code[now]
+        limit = np.maximum(limit[: -(1 << k)], limit[1 << k :])
+    return found
 
 
 def _shared(t: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of lists that have another set of a size that may link."""
+    """Rows of lists that have another set of a size and at a place that may link."""
     t, owner, _ = in_order(t)
-    at = np.arange(len(t))
-    reach = reach_of(t, owner)
-    keep = reach > at + 1
-    last = np.maximum.accumulate(np.concatenate([[0], reach[:-1]]))  # some row in front reaches so far
-    keep |= last > at
+    n = t["n"].astype(np.int64)
+    # a set can share no more than what is left of it from this place on, so its partner has a largest size
+    keep = partnered(n, (NUM + DEN) * (n - np.maximum(t["pos"], 0)) // NUM - n, owner)
     if keep.any():
         t = t[keep]
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(t[f])) for f in ("token", "key", "n", "pos")], ["token", "key", "n", "pos"])
@@ -523,8 +556,8 @@ def texts_of(keys: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     before = spark.conf.get(name)
     # lets the optimiser drop, before the shuffle, texts that nobody asks for
     spark.conf.set(name, "0")
-    wanted = materialize(reps.select("key", "row").join(keys, "key", "left_semi"), "wanted")
-    out = materialize(rows.join(wanted.where(F.col("row") >= F.lit(-(2**63))), "row").select("key", "text"), "texts")
+    wanted = written(reps.select("key", "row").join(keys, "key", "left_semi"), "wanted")
+    out = written(rows.join(wanted.where(F.col("row") >= F.lit(-(2**63))), "row").select("key", "text"), "texts")
     spark.conf.set(name, before)
     return out
 
@@ -545,27 +578,27 @@ def verify(pairs: DataFrame, texts: DataFrame, shared: frozenset[int]) -> DataFr
     members = split.join(texts, F.col("member") == F.col("key")).select("pivot", "member", "text", "salt")
     pivots = split.select("pivot", "salt").distinct().join(texts, F.col("pivot") == F.col("key")).select("pivot", F.col("pivot").alias("member"), "text", "salt")
     dealt = members.unionByName(pivots).repartition(shuffle_parts(spark), "pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member") != F.col("pivot"), "member")
-    return materialize(dealt.mapInArrow(lean(_verify(shared)), "a long, b long"), "links")
+    return written(dealt.mapInArrow(lean(_verify(shared)), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """key, comp (smallest key reachable) of every linked key: least neighbour labels with pointer jumping."""
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("comp")), "labels")
+    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = written(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("least")).select("key", F.least("key", "least").alias("comp")), "labels")
     while True:
         near = edges.join(labels, edges.b == labels.key).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.key == near.a).select("key", F.least("comp", "near").alias("next"), "comp")
         jump = step.select(F.col("key").alias("at"), F.col("next").alias("jumped"))
-        moved = materialize(step.join(jump, step.next == jump["at"], "left").select("key", F.least("next", F.coalesce("jumped", "next")).alias("next"), "comp"), "labels")
+        moved = written(step.join(jump, step.next == jump["at"], "left").select("key", F.least("next", F.coalesce("jumped", "next")).alias("next"), "comp"), "labels")
         labels = moved.select("key", F.col("next").alias("comp"))
         if moved.where(F.col("next") != F.col("comp")).isEmpty():
             return labels
 
 
 def open_pairs(lists: DataFrame, comps: DataFrame | None, signs: DataFrame, light: int, forest: int | None) -> DataFrame:
-    """Pairs (a, b), each once, that :func:`_open_pairs` gives of ``lists``; ``signs``: key and parity of its sets."""
+    """Pairs (a, b), each once, that :func:`_open_pairs` gives of ``lists``; ``signs``: key, n and parity of its sets."""
     spark = lists.sparkSession
-    signed = lists.join(signs, "key")
+    signed = lists.join(folds_of(signs), "key")
     tagged = signed.withColumn("comp", F.col("key")) if comps is None else signed.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     small_batches(spark, 8192)
     dealt = tagged.select("token", "key", "n", "pos", "comp", "parity").repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
@@ -577,7 +610,7 @@ def in_shared_lists(postings: DataFrame) -> DataFrame:
     spark = postings.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = postings.select("token", "key", "n", "pos").repartition(shuffle_parts(spark), "token").sortWithinPartitions("token")
-    out = materialize(dealt.mapInArrow(lean(in_lists(_shared, False)), "token long, key long, n int, pos int"), "lists")
+    out = written(dealt.mapInArrow(lean(in_lists(_shared, False)), "token long, key long, n int, pos int"), "lists")
     small_batches(spark)
     return out
 
@@ -585,7 +618,7 @@ def in_shared_lists(postings: DataFrame) -> DataFrame:
 def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (row, text): (row, n, key), and the components (key, comp) of the keys that have links."""
     spark: SparkSession = rows.sparkSession
-    sets, sketch = describe(rows)
+    sets, described, sketch = describe(rows)
     light = boundary(sketch)
     classes = spark.sparkContext.broadcast(classes_of(sketch))
     # keys that different sets share: by chance only, N**2 / 2**65 of N sets
@@ -593,27 +626,28 @@ def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = frozenset(r.key for r in clashing.select("key").collect())
     if shared:
         sets = sets.withColumn("key", F.when(F.col("key").isin(*shared), F.col("key").bitwiseXOR(F.col("more"))).otherwise(F.col("key")))
-    sets = sets.drop("more")
-    reps = materialize(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("fold").alias("fold")), "reps")
+    reps = written(sets.where(F.col("n") > 0).groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("parity").alias("parity")), "reps")
+    sets = written(sets.select("row", "n", "key"), "keys")
+    discard(described)
     small_batches(spark)
     made = rows.select("text").where(F.length("text") > 0).mapInArrow(lean(_postings(classes, light, shared)), "token long, key long, n int, pos int")
     lists = in_shared_lists(made)
     # all rows with the small parities: who has a pair at all
-    first = materialize(open_pairs(lists, None, reps.select("key", F.col("fold").alias("parity")), light, 0), "open")
-    alive = materialize(both_ends(first), "alive")
-    signs = materialize(reps.join(alive, "key", "left_semi").select("key", "n", "parity", "fold"), "signs")
-    folds = signs.select("key", F.col("fold").alias("parity"))
-    # what is left of the lists: rows that still have another one of a size that may link
+    first = written(open_pairs(lists, None, reps, light, 0), "open")
+    alive = written(both_ends(first), "alive")
+    signs = written(reps.join(alive, "key", "left_semi").select("key", "n", "parity"), "signs")
+    # what is left of the lists: rows that still have another one that may link
     short = in_shared_lists(lists.join(alive, "key", "left_semi"))
-    texts = texts_of(alive, rows, reps)
     discard(lists)
+    texts = texts_of(alive, rows, reps)
+    discard(reps)
     # links, scan by scan
-    pairs = materialize(near_pairs(first, signs), "near")
+    pairs = written(near_pairs(first, signs), "near")
     links = verify(pairs, texts, shared)
     tested, comps, brought = pairs, components(links), True
     for turn in range(1, FORESTS + 1):
         last = turn == FORESTS or not brought
-        pairs = materialize(near_pairs(open_pairs(short, comps, folds, light, None if last else turn).join(tested, ["a", "b"], "left_anti"), signs), "open")
+        pairs = written(near_pairs(open_pairs(short, comps, signs, light, None if last else turn).join(tested, ["a", "b"], "left_anti"), signs), "open")
         found = verify(pairs, texts, shared)
         brought = not found.isEmpty()
         if brought:
@@ -622,7 +656,8 @@ def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         if last:
             break
         tested = tested.unionByName(pairs)
-    return sets.select("row", "n", "key"), comps
+    discard(short, signs, texts)
+    return sets, comps
 
 
 def cluster(docs: DataFrame) -> DataFrame:
